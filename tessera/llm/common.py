@@ -71,3 +71,23 @@ def text_key(text: Column) -> list[Column]:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once for a row, however often and however deep in lambdas body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def with_key(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, the two columns of text_key() and the text, with the other columns that are asked for."""
+    return docs.select("doc_id", *text_key(F.col("text")), "text", *more)
+
+
+def left_on_key(docs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Left join by document; facts has one row for a document at most. A null doc_id equals itself."""
+    facts = facts.withColumnsRenamed({"doc_id": "_id", "_k1": "_f1", "_k2": "_f2"})
+    on = docs["doc_id"].eqNullSafe(facts["_id"]) & (docs["_k1"] == facts["_f1"]) & (docs["_k2"] == facts["_f2"])
+    return docs.join(facts, on, "left").drop("_id", "_f1", "_f2")
+
+
+KEY = ["doc_id", "_k1", "_k2"]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, shards
+from tessera.llm import bpe, chat, decontaminate, shards
 
 QUERIES = {
+    "op3_winnowing": decontaminate.op3_winnowing,
     "op7_chat_formatting": chat.op7_chat_formatting,
+    "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_virtual_slots": shards.op10_virtual_slots,
 }
-SQL = {"op7_chat_formatting": chat.op7_sql()}
+SQL = {"op3_winnowing": decontaminate.op3_sql(), "op7_chat_formatting": chat.op7_sql()}
