@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, decontaminate, lines, shards
+from tessera.llm import bpe, chat, decontaminate, licenses, lines, shards, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
     "op3_winnowing": decontaminate.op3_winnowing,
+    "op4_license_scan": licenses.op4_license_scan,
     "op7_chat_formatting": chat.op7_chat_formatting,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_virtual_slots": shards.op10_virtual_slots,
 }
-SQL = {"op1_line_dedup": lines.OP1_SQL, "op3_winnowing": decontaminate.op3_sql(), "op7_chat_formatting": chat.op7_sql()}
+SQL = {
+    "op1_line_dedup": lines.OP1_SQL,
+    "op3_winnowing": decontaminate.op3_sql(),
+    "op4_license_scan": licenses.op4_sql(),
+    "op7_chat_formatting": chat.op7_sql(),
+}
