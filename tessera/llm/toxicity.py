@@ -165,7 +165,7 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
     docs = docs.drop(name)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     at = docs.columns.index("text")
-    weights, bias = model.weights, model.bias
+    weights, bias, names = model.weights, model.bias, [*docs.columns, name]
 
     class Known(dict):
         def __missing__(self, word: str) -> tuple[int, ...]:
@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
                 found = set().union(*filter(None, map(known.__getitem__, words_of(text))))
                 logits.append(bias + sum(weights[b] for b in sorted(found)))
             scores = pa.array(_sigmoid(np.array(logits)), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*docs.columns, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names)
 
     return docs.mapInArrow(run, schema)
 
