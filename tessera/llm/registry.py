@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import ann, bpe, chat, decontaminate, licenses, lines, shards, toxicity
+from tessera.llm import ann, bpe, chat, decontaminate, jaccard, licenses, lines, shards, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
     "op3_winnowing": decontaminate.op3_winnowing,
     "op4_license_scan": licenses.op4_license_scan,
+    "op5_jaccard_tiles": jaccard.op5_jaccard_tiles,
     "op6_posting_lists": ann.op6_posting_lists,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_toxicity": toxicity.op8_toxicity,
