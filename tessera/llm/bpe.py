@@ -150,12 +150,17 @@ def encode_decode(
     return kept.mapInArrow(run, schema)
 
 
-def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+def digests(out: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (decimal ids joined by one space), decoded_sha256 and ids of encode_decode()'s rows."""
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        "ids",
     )
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digests(encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))).drop("ids")

@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tessera.llm.common import KEY, SPACE, left_on_key, partitions, table, with_key, written
 
 _STRIP = SPACE.encode()
-DROP, PENDING, COUNT = 0, 1, 2
+DROP, PENDING, COUNT, FIRST = 0, 1, 2, 3
 
 
 def line_key(line: bytes) -> bytes:
@@ -55,91 +55,83 @@ def _hash_lines(min_chars: int):
     return run
 
 
-def _stream(min_docs: int, schema: pa.Schema):
+def _stream(min_docs: int, keep_first: bool, schema: pa.Schema):
     """Rows (kind, document, hash, place): DROP for lines of keys found in min_docs documents at least.
 
     A key that the partition holds alone is decided here. Of the first and the last key of a partition a COUNT row gives
-    the documents counted here, and undecided lines go out as PENDING.
+    the documents counted here, and undecided lines go out as PENDING. With keep_first, the first line of a key goes out
+    only if the key may have begun in an earlier partition, as FIRST. The pos of a COUNT row is 1 if it surely hasn't.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = True  # no run of this partition is over yet
-
-        def result(part: pa.Table, kind: int) -> pa.RecordBatch:
-            kinds = pa.array(np.full(len(part), kind, np.int32))
-            return pa.Table.from_arrays([kinds, *part.columns, pa.nulls(len(part), pa.int64())], schema=schema).combine_chunks().to_batches()[0]
+        def result(part: pa.Table, kind: int) -> Iterator[pa.RecordBatch]:
+            if len(part):
+                kinds = pa.array(np.full(len(part), kind, np.int32))
+                yield from pa.Table.from_arrays([kinds, *part.columns, pa.nulls(len(part), pa.int64())], schema=schema).to_batches()
 
-        def count(h1: int, h2: int, docs: int) -> pa.RecordBatch:
-            row = {"kind": COUNT, "_k1": 0, "_k2": 0, "h1": int(h1), "h2": int(h2), "pos": 0, "docs": int(docs)}
+        def count(key: tuple, docs: int, begun: bool) -> pa.RecordBatch:
+            row = {"kind": COUNT, "_k1": 0, "_k2": 0, "h1": int(key[0]), "h2": int(key[1]), "pos": int(begun), "docs": int(docs)}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        # state of the run that the last batch ended in: documents counted, last document, rows held back
-        open_docs, open_last, held = 0, None, []
-        open_hash = None
+        first = True  # no run of this partition is over yet
+        # The run that the last batch ended in: its hash, last document, documents so far, and its rows while undecided.
+        key, last, docs, held = None, None, 0, []
+
+        def release(kind: int) -> Iterator[pa.RecordBatch]:
+            """The rows held back, which begin with the first of their run."""
+            for i, part in enumerate(held):
+                if keep_first and i == 0:
+                    if first:
+                        yield from result(part.slice(0, 1), FIRST)
+                    part = part.slice(1)
+                yield from result(part, kind)
+            held.clear()
+
         for batch in batches:
             if not len(batch):
                 continue
             part = pa.Table.from_batches([batch])
-            h1, h2 = (np.asarray(part["h1"]), np.asarray(part["h2"]))
-            k1, k2 = (np.asarray(part["_k1"]), np.asarray(part["_k2"]))
-            ids = part["doc_id"].combine_chunks()
-            ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
-            null = np.asarray(ids.is_null())
-            codes = np.asarray(ids.fill_null(0)) if pa.types.is_integer(ids.type) else np.asarray(ids.dictionary_encode().indices.fill_null(-1))
-            new_hash = np.empty(len(h1), bool)
-            new_doc = np.empty(len(h1), bool)
-            same = open_hash == (h1[0], h2[0])
-            new_hash[0] = not same
-            new_hash[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            new_doc[1:] = new_hash[1:] | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (codes[1:] != codes[:-1]) | (null[1:] != null[:-1])
-            new_doc[0] = not same or open_last != (ids[0].as_py(), k1[0], k2[0])
-            run_at = np.flatnonzero(new_hash)
-            begins = run_at if new_hash[0] else np.concatenate([[0], run_at])
-            docs = np.add.reduceat(new_doc.astype(np.int64), begins)
-            ends = np.concatenate([begins[1:], [len(h1)]])
-            if new_hash[0]:
-                if open_hash is not None:  # the run before is over
-                    if first:
-                        if open_docs < min_docs:
-                            for t in held:
-                                yield result(t, PENDING)
-                        yield count(*open_hash, open_docs)
+            k1, k2, h1, h2 = (np.asarray(batch.column(i)) for i in (1, 2, 3, 4))
+            ids = batch.column(0)
+            codes = np.asarray(ids.dictionary_encode().indices.fill_null(-1))
+            goes_on = key == (h1[0], h2[0])
+            new_key = np.r_[not goes_on, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
+            same_doc = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]) & (codes[1:] == codes[:-1])
+            new_doc = np.r_[not goes_on or last != (ids[0].as_py(), k1[0], k2[0]), new_key[1:] | ~same_doc]
+            begins = np.flatnonzero(np.r_[True, new_key[1:]])
+            ends = np.r_[begins[1:], len(h1)]
+            counts = np.add.reduceat(new_doc.astype(np.int64), begins)
+            if goes_on:
+                counts[0] += docs
+                if counts[0] >= min_docs:
+                    yield from release(DROP)
+            elif key is not None:
+                if first:
+                    yield from release(PENDING)
+                    yield count(key, docs, False)
                     first = False
-                held = []
-            else:
-                docs[0] += open_docs
-                if docs[0] >= min_docs:
-                    for t in held:
-                        yield result(t, DROP)
-                    held = []
-            kinds = np.full(len(h1), -1, np.int8)
-            over = np.repeat(docs >= min_docs, ends - begins)
-            kinds[over] = DROP
-            # the first run of the partition, if it ends in this batch
+                held.clear()
+            kinds = np.where(np.repeat(counts >= min_docs, ends - begins), DROP, -1)
+            if first and len(begins) > 1 and counts[0] < min_docs:
+                kinds[: ends[0]] = PENDING
+            if keep_first:
+                kinds[begins[1:]] = -1
+                if not goes_on and kinds[0] >= 0:
+                    kinds[0] = FIRST if first else -1
             if first and len(begins) > 1:
-                if docs[0] < min_docs:
-                    for t in held:
-                        yield result(t, PENDING)
-                    held = []
-                    kinds[: ends[0]] = PENDING
-                yield count(h1[0], h2[0], docs[0])
+                yield from release(PENDING)
+                yield count((h1[0], h2[0]), counts[0], False)
                 first = False
-            for kind in (DROP, PENDING):
-                if (rows := np.flatnonzero(kinds == kind)).size:
-                    yield result(part.take(pa.array(rows)), kind)
-            # the last run stays open
-            open_hash, open_docs = (h1[-1], h2[-1]), int(docs[-1])
-            open_last = (ids[len(ids) - 1].as_py(), k1[-1], k2[-1])
-            if open_docs < min_docs:
-                tail = part.slice(int(begins[-1]))
-                held = [*held, tail] if len(begins) == 1 and not new_hash[0] else [tail]
-            else:
-                held = []
-        if open_hash is not None:
-            if open_docs < min_docs:
-                for t in held:
-                    yield result(t, PENDING)
-            yield count(*open_hash, open_docs)
+            elif len(begins) > 1:
+                held.clear()
+            for kind in (DROP, PENDING, FIRST):
+                yield from result(part.take(pa.array(np.flatnonzero(kinds == kind))), kind)
+            key, last, docs = (h1[-1], h2[-1]), (ids[len(ids) - 1].as_py(), k1[-1], k2[-1]), int(counts[-1])
+            if docs < min_docs:
+                held.append(part.slice(int(begins[-1])))
+        if key is not None:
+            yield from release(PENDING)
+            yield count(key, docs, not first)
 
     return run
 
@@ -169,15 +161,15 @@ def dropped_lines(bitmap: bytes | None, n: int) -> np.ndarray:
     return np.concatenate([bits, np.zeros(n - len(bits), np.uint8)]).astype(bool)
 
 
-def line_bitmaps(docs: DataFrame, min_chars: int = 1, min_docs: int = 10) -> DataFrame:
+def line_bitmaps(docs: DataFrame, min_chars: int = 1, min_docs: int = 10, keep_first: bool = False) -> DataFrame:
     """doc_id, _k1, _k2, bitmap (zlib): for each document that loses lines, which ones.
 
     A line's key is the line stripped of white space and with A-Z lower-cased. Keys of at least min_chars code points
-    that are found in at least min_docs documents lose all their lines in every document. A null or empty text is one
-    empty line. Rows of equal doc_id and text (nulls included) are copies of one document and count once.
+    that are found in at least min_docs documents lose all their lines in every document, or, with
+    keep_first, all but the first in order of doc_id and place. A null or empty text is one empty line. Rows of equal doc_id and text (nulls included) are copies of one document and count once.
 
-    The lines' hashes, 128 bits, are range-partitioned by hash, document and place, so that a very common line spreads
-    over several partitions, and sorted so. Each partition streams its runs; what a run that reaches the partition's
+    The lines' hashes, 128 bits, are range-partitioned by hash and document, so that a very common line spreads
+    over several partitions, and sorted by hash, document and place. Each partition streams its runs; what a run that reaches the partition's
     edge leaves open is settled by adding up the counts of those runs, two rows for a partition.
     """
     spark = docs.sparkSession
@@ -186,14 +178,24 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 1, min_docs: int = 10) -> Dat
     schema = T.StructType([T.StructField(*f) for f in fields])
     lines = written(with_key(docs).mapInArrow(_hash_lines(max(1, min_chars)), schema), "line-hashes")
     order = ["h1", "h2", *KEY, "pos"]
-    ranged = lines.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    ranged = lines.repartitionByRange(partitions(spark), "h1", "h2", *KEY).sortWithinPartitions(*order)
     out = T.StructType([T.StructField("kind", T.IntegerType()), *schema.fields, T.StructField("docs", T.LongType())])
-    settled = written(ranged.mapInArrow(_stream(min_docs, to_arrow_schema(out)), out), "line-runs")
+    settled = written(ranged.mapInArrow(_stream(min_docs, keep_first, to_arrow_schema(out)), out), "line-runs")
     hot = settled.where(F.col("kind") == COUNT).groupBy("h1", "h2").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs)
     # hot has two rows for a partition at most.
+    hot = hot.select("h1", "h2")
     drops = settled.where(F.col("kind") == DROP).select(*KEY, "pos").unionByName(
-        settled.where(F.col("kind") == PENDING).join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_semi").select(*KEY, "pos")
+        settled.where(F.col("kind") == PENDING).join(F.broadcast(hot), ["h1", "h2"], "left_semi").select(*KEY, "pos")
     )
+    if keep_first:
+        # Of a partition's first key, the first line stays if the key begins there: at most a row for each partition.
+        begun = settled.where((F.col("kind") == COUNT) & (F.col("pos") == 1)).select("h1", "h2")
+        firsts = settled.where(F.col("kind") == FIRST).join(F.broadcast(hot), ["h1", "h2"], "left_semi")
+        order_of = F.struct(*KEY, "pos")
+        earliest = firsts.groupBy("h1", "h2").agg(F.min(order_of).alias("earliest"))
+        kept = earliest.join(F.broadcast(begun), ["h1", "h2"], "left_anti")
+        late = firsts.join(F.broadcast(kept), ["h1", "h2"], "left").where(F.col("earliest").isNull() | ~F.col("earliest").eqNullSafe(order_of))
+        drops = drops.unionByName(late.select(*KEY, "pos"))
     places = drops.groupBy(*KEY).agg(F.collect_set("pos").alias("places"))
     maps = T.StructType([*schema.fields[:3], T.StructField("bitmap", T.BinaryType())])
     return places.mapInArrow(_bitmap(to_arrow_schema(maps)), maps)
@@ -228,9 +230,9 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 1, min_docs: int = 10) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 1, min_docs: int = 10, keep_first: bool = False) -> DataFrame:
     """docs without the lines of common keys; a null text stays null. See line_bitmaps()."""
-    return apply_bitmaps(docs, line_bitmaps(docs, min_chars, min_docs))
+    return apply_bitmaps(docs, line_bitmaps(docs, min_chars, min_docs, keep_first))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
