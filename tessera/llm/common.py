@@ -37,11 +37,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def compact(df: DataFrame) -> DataFrame:
+    """In no more than a few partitions for each core: every file costs a task its set-up, and the store an entry."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df as a written table in the shared folder: it cuts lineage, survives lost executors and has a known size."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    compact(df).write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import ann, bpe, chat, decontaminate, jaccard, licenses, lines, shards, toxicity
+from tessera.llm import ann, bpe, chat, decontaminate, jaccard, licenses, lines, shards, suffixes, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_winnowing": decontaminate.op3_winnowing,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_jaccard_tiles": jaccard.op5_jaccard_tiles,
