@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from dataclasses import dataclass, field
 
@@ -54,6 +53,48 @@ class ScanEngine:
         return SearchResult([], found.limit(limit) if limit else found, query.warnings)
 
 
+class Pointer:
+    """Which version of what lies under a path is the current one: numbered files, each written once."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}")
+        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self) -> list[str]:
+        if not self._fs.exists(self._path("")):
+            return []
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path("")))
+
+    def pointers(self) -> list[str]:
+        return [n for n in self.names() if n.startswith("CURRENT-")]
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._path(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def get(self) -> str | None:
+        names = self.pointers()
+        return self.read(names[-1]) if names else None
+
+    def set(self, version: str) -> None:
+        """Of two writers at a time one fails: no pointer is written over."""
+        number = max((int(n[8:]) for n in self.pointers()), default=-1) + 1
+        stream = self._fs.create(self._path(f"CURRENT-{number:012d}"), False)
+        stream.write(bytearray(version.encode()))
+        stream.close()
+
+    def vacuum(self, keep: int) -> None:
+        """Deletes the tables, named as in name-version, of all but the newest versions, and their pointers."""
+        pointers = self.pointers()
+        live = {self.read(p) for p in pointers[-keep:]}
+        for n in self.names():
+            if n in pointers[:-keep] or "-" in n and n not in pointers and n.rsplit("-", 1)[1] not in live:
+                self._fs.delete(self._path(n), True)
+
+
 class IndexEngine:
     """An index under a path: folders documents-V, postings-V and vocabulary-V, and a pointer that names the current V.
 
@@ -65,36 +106,10 @@ class IndexEngine:
     def __init__(self, spark: SparkSession, path: str, lexer: Lexer = Lexer(), **options):
         self.spark, self.path, self.lexer, self.parser = spark, path.rstrip("/"), lexer, Parser(lexer, **options)
         self.builder = Builder(self.parser)
-        self._fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-
-    def version(self) -> str | None:
-        """The newest pointer; pointers are numbered, and each is written once."""
-        if not self._fs.exists(self._path("")):
-            return None
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path("")) if s.getPath().getName().startswith("CURRENT-"))
-        if not names:
-            return None
-        stream = self._fs.open(self._path(names[-1]))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())["version"]
-        finally:
-            stream.close()
-
-    def _point_to(self, version: str) -> None:
-        number = 0
-        if self._fs.exists(self._path("")):
-            numbers = [int(s.getPath().getName()[8:]) for s in self._fs.listStatus(self._path("")) if s.getPath().getName().startswith("CURRENT-")]
-            number = max(numbers, default=0) + 1
-        # Not overwriting: of two writers one fails.
-        stream = self._fs.create(self._path(f"CURRENT-{number:012d}"), False)
-        stream.write(bytearray(json.dumps({"version": version}).encode()))
-        stream.close()
+        self.pointer = Pointer(spark, self.path)
 
     def tables(self) -> Postings:
-        version = self.version()
+        version = self.pointer.get()
         if version is None:
             docs = self.spark.createDataFrame([], "content_id long")
             return Postings(docs, self.spark.createDataFrame([], "content_id long, term string, positions array<int>"), self.spark.createDataFrame([], "term string, documents long"))
@@ -107,7 +122,7 @@ class IndexEngine:
         postings.select("content_id", "term", "positions").repartitionByRange("term").sortWithinPartitions("term", "content_id").write.parquet(f"{self.path}/postings-{version}")
         written = self.spark.read.parquet(f"{self.path}/postings-{version}")
         written.groupBy("term").agg(F.count(F.lit(1)).alias("documents")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.path}/vocabulary-{version}")
-        self._point_to(version)
+        self.pointer.set(version)
 
     def update(self, docs: DataFrame) -> None:
         """Puts documents (content_id, content) in, in place of those of the same id. Of an id given twice, any one text counts."""
@@ -130,17 +145,7 @@ class IndexEngine:
         return SearchResult([], found.limit(limit) if limit else found, query.warnings)
 
     def vacuum(self, keep: int = 2) -> None:
-        """Deletes the tables of all but the newest versions, and their pointers."""
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path("")))
-        pointers = [n for n in names if n.startswith("CURRENT-")]
-        live = set()
-        for pointer in pointers[-keep:]:
-            stream = self._fs.open(self._path(pointer))
-            live.add(json.loads(bytes(stream.readAllBytes()).decode())["version"])
-            stream.close()
-        for n in names:
-            if n in pointers[:-keep] or "-" in n and not n.startswith("CURRENT-") and n.rsplit("-", 1)[1] not in live:
-                self._fs.delete(self._path(n), True)
+        self.pointer.vacuum(keep)
 
 
 def relevance(postings: Postings, words: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from tessera.functions.lexer import Lexer
-from tessera.operators.index import IndexEngine, SearchResult, files_of
+from tessera.operators.index import IndexEngine, Pointer, SearchResult, files_of
 from tessera.operators.mirror import CHANGED, CREATED, DELETED, FILE, RENAMED, apply_diff, orphaned, snapshot_diff
 from tessera.sources.files import read_texts, retried
 
@@ -135,13 +135,14 @@ class FileIndex:
 
     def __post_init__(self):
         self.engine = IndexEngine(self.spark, f"{self.path}/index", self.lexer)
-        self.current: str | None = None
+        self.pointer = Pointer(self.spark, f"{self.path}/state")
 
     def files(self) -> DataFrame:
         """path, content_id, length, mtime."""
-        if self.current is None:
+        version = self.pointer.get()
+        if version is None:
             return self.spark.createDataFrame([], "path string, content_id long, length long, mtime timestamp")
-        return self.spark.read.parquet(self.current)
+        return self.spark.read.parquet(f"{self.path}/state/files-{version}")
 
     def watch(self, target: str) -> None:
         self.targets.append(target)
@@ -151,11 +152,10 @@ class FileIndex:
         texts, long, failed = read_texts(self.spark, self.targets, self.pattern, self.charset, self.max_length, exclude=self.path)
         before, after = self.files(), texts.select("path", "length", "mtime")
         run = uuid.uuid4().hex[:12]
-        retried(lambda: snapshot_diff(before, after).write.mode("overwrite").parquet(f"{self.path}/diff-{run}"))
-        diff = self.spark.read.parquet(f"{self.path}/diff-{run}")
+        retried(lambda: snapshot_diff(before, after).write.mode("overwrite").parquet(f"{self.path}/state/diff-{run}"))
+        diff = self.spark.read.parquet(f"{self.path}/state/diff-{run}")
         fresh = diff.where(F.col("change_type").isin(CREATED, CHANGED)).select("path", "content_id")
-        apply_diff(before, after, diff).write.parquet(f"{self.path}/files-{run}")
-        files = self.spark.read.parquet(f"{self.path}/files-{run}")
+        apply_diff(before, after, diff).write.parquet(f"{self.path}/state/files-{run}")
         changed = diff.where(F.col("change_type") == CHANGED).select("path")
         removed = before.join(changed, "path", "left_semi").unionByName(before.join(diff.where(F.col("change_type") == DELETED).select("path"), "path", "left_semi"))
         gone = orphaned(before, removed)
@@ -163,8 +163,7 @@ class FileIndex:
             self.engine.remove(gone)
         if fresh.limit(1).count():
             self.engine.update(texts.join(fresh, "path").select("content_id", "content"))
-        self.current = f"{self.path}/files-{run}"
-        files.limit(0)
+        self.pointer.set(run)
         for listener in self.listeners:
             listener(diff)
         return diff

@@ -47,6 +47,7 @@ def test_file_index_follows_files(spark, tmp_path):
     assert diff == {"renamed/two.txt": RENAMED, "one.txt": CHANGED}
     assert found("text") == ["renamed/two.txt"] and found("changed") == ["one.txt"]
     os.remove(f"{top}/one.txt")
+    index = FileIndex(spark, str(tmp_path / "state"), [top])  # a later session
     index.refresh()
     assert found("changed") == [] and index.search("a (").failed
 
