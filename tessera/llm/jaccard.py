@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,14 +15,17 @@ from tessera.llm.common import partitions, table, written
 from tessera.llm.components import components
 from tessera.llm.shingles import mix, shingle_sets
 
-#: Buckets of the counts that order shingles, rarest first; their table has this size whatever the input.
-BUCKETS = 1 << 18
-#: Bits of a signature.
-BITS = 512
+#: Buckets of the counts that order shingles, rarest first; their table has this size whatever the input. A slice of it
+#: is summed at a time.
+BUCKETS, SLICE = 1 << 22, 1 << 16
+#: Bits of a signature in tiles; the long one, for the pairs that are left, has twice as many bits as its set shingles.
+BITS = 2048
 #: Rows up to which a side is broadcast, counted beforehand; beyond, the join shuffles.
 BROADCAST_ROWS = 400_000
 #: Sets that a chunk of the first linking pass holds, and a tile of the exact pass.
 CHUNK, TILE = 4000, 1024
+#: Sets of one key up to which they stand in one tile; more are dealt out to tiles by bands of size.
+BANDED = 2000
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -29,24 +33,62 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _counts(words: int):
+    """(salt, slice, counts): how often each bucket occurs in a task's texts, compressed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(BUCKETS, np.uint32)
+        salt = None
         for batch in batches:
-            for s in shingle_sets(batch.column(0), words):
-                np.add.at(counts, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-        at = np.flatnonzero(counts)
-        for i in range(0, len(at), 1 << 16):
-            some = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], ["bucket", "n"])
+            for at in range(0, len(batch), 1024):
+                sets = list(shingle_sets(batch.column(0).slice(at, 1024), words))
+                s = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                if salt is None and len(s):
+                    salt = int(s[0]) % SALTS
+                seen = np.sort((s & np.uint64(BUCKETS - 1)).astype(np.int64))
+                if len(seen):
+                    new = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]])
+                    counts[seen[new]] += np.diff(np.r_[new, len(seen)]).astype(np.uint32)
+        if salt is not None:
+            parts = [zstandard.ZstdCompressor(level=1).compress(counts[i : i + SLICE].tobytes()) for i in range(0, BUCKETS, SLICE)]
+            yield pa.RecordBatch.from_arrays([pa.array([salt] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["salt", "slice", "counts"])
 
     return run
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """BITS bits, as bytes: one for each shingle's hash."""
-    bits = np.zeros(BITS, np.uint8)
-    bits[(s >> np.uint64(40)).astype(np.int64) % BITS] = 1
-    return np.packbits(bits)
+#: Groups in which tasks' counts are summed first, so that no task gets the counts of all.
+SALTS = 64
+
+
+def _sum_counts(rows: pa.Table) -> pa.Table:
+    total = np.zeros(SLICE, np.uint64)
+    for data in rows["counts"].to_pylist():
+        data = zstandard.ZstdDecompressor().decompress(data)
+        total += np.frombuffer(data, np.uint32 if len(data) == 4 * SLICE else np.uint64)
+    data = zstandard.ZstdCompressor(level=1).compress(total.tobytes())
+    return pa.table({"salt": pa.array([0], pa.int32()), "slice": pa.array([rows["slice"][0].as_py()], pa.int32()), "counts": pa.array([data], pa.binary())})
+
+
+def signature(s: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """As many bits, as bytes: one for each shingle's hash. Its halves, united, are the signature of half as many bits."""
+    out = np.zeros(bits, np.uint8)
+    out[((s >> np.uint64(40)) % np.uint64(bits)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little")
+
+
+def long_bits(n: int) -> int:
+    return max(BITS, 1 << int(2 * n - 1).bit_length()) if n else BITS
+
+
+def may_link(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
+    """Whether long signatures let two sets of n and m shingles be similar."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    differ = int(np.bitwise_count(a ^ b).sum())
+    most = (n + m - max(differ, abs(n - m))) // 2
+    return 100 * most >= percent * (n + m - most)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -54,27 +96,28 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-_SEEDS = [np.uint64(x) for x in (0x1234567, 0x89ABCDEF1, 0xFEDCBA987)]
+_SEEDS = [np.uint64(x) for x in (0x1234567, 0x89ABCDEF1, 0xFEDCBA987, 0x13579BDF3)]
 
 
 def _describe(words: int, percent: int, counts: np.ndarray):
-    names = ["doc_id", "n", "class", "signature", "least", "prefix"]
+    names = ["doc_id", "n", "class", "signature", "long", "least", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             step = 512
             for at in range(0, len(batch), step):
                 part = batch.slice(at, step)
-                n, cls, sig, least, prefix = [], [], [], [], []
+                n, cls, sig, long, least, prefix = [], [], [], [], [], []
                 for s in shingle_sets(part.column(1), words):
                     n.append(len(s))
                     cls.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sig.append(signature(s).tobytes())
+                    long.append(signature(s, long_bits(len(s))).tobytes())
                     least.append([int(mix(s ^ seed).min().view(np.int64)) for seed in _SEEDS] if len(s) else [])
                     order = np.lexsort((s, counts[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))
                     prefix.append(s[order[: prefix_length(len(s), percent)]].view(np.int64) if len(s) else [])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))],
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary()), pa.array(long, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))],
                     names,
                 )
 
@@ -114,7 +157,6 @@ def tile_pairs(n: np.ndarray, bits: np.ndarray, group: np.ndarray, guest: np.nda
 
     Rows are sorted by n. Tiles of TILE x TILE rows are left out as a whole where the sizes are too far apart.
     """
-    ones = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
     for i in range(0, len(n), TILE):
         for j in range(i, len(n), TILE):
             if 100 * n[min(i + TILE, len(n)) - 1] < percent * n[j]:
@@ -125,8 +167,8 @@ def tile_pairs(n: np.ndarray, bits: np.ndarray, group: np.ndarray, guest: np.nda
             if i == j:
                 ok &= np.triu(np.ones(ok.shape, bool), 1)
             a, b = np.nonzero(ok)
-            for k in range(0, len(a), 1 << 18):
-                p, q = a[k : k + (1 << 18)] + i, b[k : k + (1 << 18)] + j
+            for k in range(0, len(a), 1 << 16):
+                p, q = a[k : k + (1 << 16)] + i, b[k : k + (1 << 16)] + j
                 # Each differing bit is a shingle that only one of the two has.
                 differ = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1).astype(np.int64)
                 most = (n[p] + n[q] - np.maximum(differ, np.abs(n[p] - n[q]))) // 2
@@ -134,43 +176,45 @@ def tile_pairs(n: np.ndarray, bits: np.ndarray, group: np.ndarray, guest: np.nda
                 yield p[keep], q[keep]
 
 
-def _tiles(percent: int, first_only: bool):
-    """Candidate pairs within each (key, band), rows sorted by key, band and n; first_only: one for a pair of components."""
+def _tiles(percent: int):
+    """Candidate pairs within each (key, band), rows sorted by key, band and n."""
+
+    def pairs(n, node, comp, guest, bits) -> Iterator[pa.RecordBatch]:
+        for p, q in tile_pairs(n, bits, comp, guest, percent):
+            if len(p):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[p], node[q])), pa.array(np.maximum(node[p], node[q]))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(part: pa.Table) -> Iterator[pa.RecordBatch]:
-            n = np.asarray(part["n"])
-            node, comp = np.asarray(part["node"]), np.asarray(part["component"])
-            if len(n) < 2 or (comp == comp[0]).all():
+        def groups(part: pa.Table, last: bool) -> tuple[list[tuple[int, int]], int]:
+            """(begin, end) of the groups of more than one component with a set at home, and where the last group begins, which may go on."""
+            key, band, comp = (np.asarray(part[c]) for c in ("key", "band", "component"))
+            begin = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (band[1:] != band[:-1])])
+            end = np.r_[begin[1:], len(key)]
+            mixed = np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)
+            home = ~np.logical_and.reduceat(np.asarray(part["guest"]), begin)
+            live = np.flatnonzero(mixed & home)
+            return [(int(begin[i]), int(end[i])) for i in live if last or i + 1 < len(begin)], int(begin[-1])
+
+        def worked(part: pa.Table, spans: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+            if not spans:
                 return
-            bits = np.frombuffer(b"".join(part["signature"].to_pylist()), np.uint64).reshape(len(n), -1)
-            said: set[tuple[int, int]] = set()
-            for p, q in tile_pairs(n, bits, comp, np.asarray(part["guest"]), percent):
-                if first_only and len(p):
-                    lo, hi = np.minimum(comp[p], comp[q]), np.maximum(comp[p], comp[q])
-                    _, at = np.unique(np.stack([lo, hi], 1), axis=0, return_index=True)
-                    at = np.array([i for i in at if (lo[i], hi[i]) not in said], np.int64)
-                    said.update(zip(lo[at].tolist(), hi[at].tolist(), strict=True))
-                    p, q = p[at], q[at]
-                if len(p):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (np.minimum(node[p], node[q]), np.maximum(node[p], node[q]), np.minimum(comp[p], comp[q]), np.maximum(comp[p], comp[q]))],
-                        ["a", "b", "ca", "cb"],
-                    )
+            n, node, comp, guest = (np.asarray(part[c]) for c in ("n", "node", "component", "guest"))
+            signatures = part["signature"].to_pylist()
+            for a, b in spans:
+                bits = np.frombuffer(b"".join(signatures[a:b]), np.uint64).reshape(b - a, -1)
+                yield from pairs(n[a:b], node[a:b], comp[a:b], guest[a:b], bits)
 
         held: pa.Table | None = None
         for batch in batches:
+            if not len(batch):
+                continue
             part = pa.Table.from_batches([batch])
-            part = part if held is None else pa.concat_tables([held, part])
-            key, band = np.asarray(part["key"]), np.asarray(part["band"])
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (band[1:] != band[:-1])) + 1
-            edges = [0, *cut.tolist()]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if b - a > 1:
-                    yield from pairs(part.slice(a, b - a))
-            held = part.slice(edges[-1])
+            part = part if held is None else pa.concat_tables([held, part]).combine_chunks()
+            spans, rest = groups(part, False)
+            yield from worked(part, spans)
+            held = part.slice(rest)
         if held is not None:
-            yield from pairs(held)
+            yield from worked(held, groups(held, True)[0])
 
     return run
 
@@ -184,11 +228,15 @@ class Join:
         self.n = partitions(docs.sparkSession)
 
     def describe(self) -> DataFrame:
-        counted = self.docs.select("text").mapInArrow(_counts(self.words), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-        got = counted.toArrow()  # BUCKETS rows at most
-        counts = np.zeros(BUCKETS, np.int64)
-        counts[np.asarray(got["bucket"])] = np.asarray(got["n"])
-        schema = "doc_id long, n long, class binary, signature binary, least array<long>, prefix array<long>"
+        counted = self.docs.select("text").mapInArrow(_counts(self.words), "salt int, slice int, counts binary")
+        for key in (["salt", "slice"], ["slice"]):
+            counted = counted.groupBy(*key).applyInArrow(_sum_counts, "salt int, slice int, counts binary")
+        total = np.zeros(BUCKETS)
+        for row in counted.collect():  # BUCKETS counts, whatever the input
+            total[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["counts"]), np.uint64)
+        # Steps of a fiftieth tell rare from common; within a step the hash decides.
+        counts = np.minimum(np.log1p(total) * 50, 65535).astype(np.uint16)
+        schema = "doc_id long, n long, class binary, signature binary, long binary, least array<long>, prefix array<long>"
         return written(self.docs.mapInArrow(_describe(self.words, self.percent, counts), schema), "sets")
 
     def shingles(self, rows: DataFrame) -> DataFrame:
@@ -205,10 +253,24 @@ class Join:
 
         return texts.mapInArrow(run, "node long, shingles binary").join(_small(rows), "node")
 
+    def plausible(self, pairs: DataFrame, few: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that the long signatures let be similar."""
+        percent = self.percent
+        pairs = written(pairs.select("a", "b").distinct(), "candidates")
+        side = lambda c: few.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("long").alias(f"l{c}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "la", "nb", "lb")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = [may_link(*row, percent) for row in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        return both.mapInArrow(run, "a long, b long")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are similar."""
         percent = self.percent
-        pairs = written(pairs.select("a", "b").distinct(), "pairs")
+        pairs = written(pairs, "pairs")
         ends = pairs.select(F.col("a").alias("node"), "a", "b").unionByName(pairs.select(F.col("b").alias("node"), "a", "b"))
         both = self.shingles(ends).repartition(self.n, "a", "b").sortWithinPartitions("a", "b", "node")
 
@@ -243,11 +305,11 @@ class Join:
         posted = nodes.select("node", "n", F.explode("prefix").alias("key")).repartition(self.n, "key").sortWithinPartitions("key", "n", "node")
         shared = written(posted.mapInArrow(_shared_keys, "node long, n long, key long"), "shared-keys")
         members = shared.select(F.col("node").alias("member")).distinct()
-        few = written(nodes.join(members, F.col("node") == F.col("member"), "left_semi").select("node", "n", "signature", "least"), "members")
+        few = written(nodes.join(members, F.col("node") == F.col("member"), "left_semi").select("node", "n", "signature", "long", "least"), "members")
 
         # First, links between neighbours in order of size, among nodes of the same least hash.
         links = None
-        for k in range(len(_SEEDS) - 1):
+        for k in range(len(_SEEDS)):
             rows = few.select("node", "n", F.element_at("least", k + 1).alias("key"))
             if links is not None:
                 rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -261,33 +323,30 @@ class Join:
             links = found if links is None else links.unionByName(found)
             labels = written(components(links), "components")
 
-        # Then every pair of nodes that share a prefix shingle and aren't connected yet: one for two components, then all.
-        for first_only in (True, False):
-            links = links.unionByName(written(self.verified(self.candidates(shared, few, labels, first_only)), "links"))
-            labels = written(components(links), "components")
+        # Then every pair of nodes that share a prefix shingle and aren't connected yet.
+        pairs = self.plausible(self.candidates(shared, few, labels), few)
+        links = links.unionByName(written(self.verified(pairs), "links"))
+        labels = written(components(links), "components")
         self.links = links
         return (
             sets.select("doc_id", "n", "class").join(classes.select("class", "node"), "class").join(labels, "node", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node")).alias("component_id"))
         )
 
-    def candidates(self, shared: DataFrame, few: DataFrame, labels: DataFrame, first_only: bool) -> DataFrame:
+    def candidates(self, shared: DataFrame, few: DataFrame, labels: DataFrame) -> DataFrame:
         percent = self.percent
         known = few.select("node", "signature").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        rows = shared.join(known, "node")
-        mixed = shared.join(known.select("node", "component"), "node").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        rows = rows.join(mixed.where("lo < hi").select("key"), "key")
+        mixed = shared.join(known.select("node", "component"), "node").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"))
+        rows = shared.join(mixed.where("lo < hi").select("key", "m"), "key").join(known, "node")
         # Bands so wide that similar sets stand in one band or in two that touch: each set is at home in its band, and a
-        # guest in the next one, where guests aren't compared with each other.
+        # guest in the next one, where guests aren't compared with each other. Few sets are one tile.
         width = float(np.log(100 / percent)) * 1.0001
         band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int")
-        homes = F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band + 1).alias("band"), F.lit(True).alias("guest")))
+        place = lambda band, guest: F.struct(band.alias("band"), F.lit(guest).alias("guest"))
+        homes = F.when(F.col("m") <= BANDED, F.array(place(F.lit(0), False))).otherwise(F.array(place(band, False), place(band + 1, True)))
         tiled = rows.select("key", "node", "n", "component", "signature", F.inline(homes))
         tiled = tiled.repartition(self.n, "key", "band").sortWithinPartitions("key", "band", "n", "node")
-        pairs = tiled.select("key", "band", "n", "node", "component", "signature", "guest").mapInArrow(_tiles(percent, first_only), "a long, b long, ca long, cb long")
-        if first_only:
-            pairs = pairs.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-        return pairs
+        return tiled.select("key", "band", "n", "node", "component", "signature", "guest").mapInArrow(_tiles(percent), "a long, b long")
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

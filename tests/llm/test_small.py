@@ -98,8 +98,9 @@ def jaccard_brute(rows, words, percent):
     return {d: (len(s), top(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize("words,percent", [(4, 85), (5, 80), (2, 50)])
-def test_jaccard_against_brute_force(spark, words, percent):
+@pytest.mark.parametrize("words,percent,banded", [(4, 85, 2000), (5, 80, 2000), (2, 50, 1)])
+def test_jaccard_against_brute_force(spark, monkeypatch, words, percent, banded):
+    monkeypatch.setattr(jaccard, "BANDED", banded)
     rows = [(i, text(RNG.choice([0, 1, 3, 12, 40, 90]))) for i in range(60)]
     for i in range(60, 160):
         w = rows[RNG.randrange(60)][1].split()
