@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ from tessera.llm.common import partitions, table, text_key, written
 from tessera.llm.shingles import Powers, mix
 
 GRAM = 20
+#: The bits of a gram's hash that are compared; that two grams share them costs a little work, nothing else.
+HASH = ~np.uint64(0xFFFF)
 #: Bytes of text in a block of documents, which one task holds at a time.
 BLOCK_BYTES = 8 << 20
 #: Bytes hashed at a time.
@@ -65,7 +68,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
         return tuple(np.zeros(0, np.int64 if i != 1 else np.uint64) for i in range(4))
     at = (low[s] & np.uint64((1 << 24) - 1)).astype(np.int64)
     new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (s[1:] != s[:-1] + 1)])
-    return at[new], h[at[new]], s[new], s[np.r_[new[1:] - 1, len(s) - 1]]
+    return at[new], h[at[new]] & HASH, s[new], s[np.r_[new[1:] - 1, len(s) - 1]]
 
 
 def chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -143,6 +146,21 @@ def unpack(data: bytes, *kinds) -> list[np.ndarray]:
     return [np.frombuffer(data[a:b], kind) for a, b, kind in zip(at[:-1].tolist(), at[1:].tolist(), kinds, strict=True)]
 
 
+def coded(hashes: np.ndarray) -> bytes:
+    """Sorted distinct hashes by their differences, where these are short."""
+    steps = np.diff(hashes >> np.uint64(16))
+    if len(steps) and steps.max() >= 1 << 32:
+        return b"r" + hashes.tobytes()
+    return b"d" + hashes[:1].tobytes() + steps.astype(np.uint32).tobytes()
+
+
+def decoded(data: bytes) -> np.ndarray:
+    if data[:1] == b"r":
+        return np.frombuffer(data, np.uint64, offset=1)
+    first, steps = np.frombuffer(data, np.uint64, 1, 1), np.frombuffer(data, np.uint32, offset=9)
+    return np.cumsum(np.r_[first >> np.uint64(16), steps.astype(np.uint64)], dtype=np.uint64) << np.uint64(16)
+
+
 class Run:
     """A sorted run of front-coded strings; take() gives the next one, and how much of it the one before had."""
 
@@ -258,8 +276,10 @@ class Removal:
 
     def free(self) -> None:
         """Lets Spark drop the shuffle files of steps that are over."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
     def shared_grams(self) -> tuple[DataFrame, list[bytes]]:
         """Rows (block, bucket, bits): which of the block's gram hashes stand in other documents too; and a sample of suffixes."""
@@ -290,7 +310,7 @@ class Removal:
                         if len(x):
                             rows["bucket"].append(b)
                             rows["block"].append(name)
-                            rows["data"].append(x.tobytes())
+                            rows["data"].append(coded(x))
                             rows["many"].append(np.packbits(m).tobytes())
             for s in samples[:each]:
                 rows["bucket"].append(-1)
@@ -301,7 +321,7 @@ class Removal:
 
         def settle(rows: pa.Table) -> pa.Table:
             names = rows["block"].to_pylist()
-            lists = [np.frombuffer(x, np.uint64) for x in rows["data"].to_pylist()]
+            lists = [decoded(x) for x in rows["data"].to_pylist()]
             flags = [np.unpackbits(np.frombuffer(m, np.uint8))[: len(x)] for m, x in zip(rows["many"].to_pylist(), lists, strict=True)]
             h = np.concatenate(lists)
             unique, where, count = np.unique(h, return_inverse=True, return_counts=True)
