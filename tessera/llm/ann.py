@@ -16,14 +16,17 @@ from tessera.llm.common import table, written
 
 #: Vectors that centroids and the pruning ratio are fitted on at most: those of the smallest hashes of vec_id.
 MAX_SAMPLE = 20_000
-#: Vectors to a list, aimed at, and lists at most (they stay in memory).
-LIST_SIZE, MAX_LISTS = 100, 4096
+#: Lists, as a share of the root of the number of vectors, and at most (centroids stay in memory). So a query opens lists
+#: in proportion to the root of the table's size, and the number of results to merge grows no faster.
+LISTS_TO_ROOT, MAX_LISTS = 0.5, 4096
 #: A vector also goes to lists whose centroid is at most (1 + BOUNDARY) times as far as the nearest one, to REPLICAS at most.
 BOUNDARY, REPLICAS = 0.15, 8
 #: Share of the sample's true neighbours that the ratio must find.
 TARGET = 0.975
 #: Vectors, and queries, that are scored together; longer lists are split.
 BLOCK = 20_000
+#: Scores that are in memory at a time.
+SCORES = 4_000_000
 
 
 def usable(vector: Column, size: int) -> Column:
@@ -168,7 +171,7 @@ def build(vectors: DataFrame) -> Index | None:
     if not total:
         return None
     sample = unit(_matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MAX_SAMPLE).select("vector").toArrow()["vector"].combine_chunks()))
-    k = int(np.clip(round(total / LIST_SIZE), 1, min(MAX_LISTS, len(sample))))
+    k = int(np.clip(round(LISTS_TO_ROOT * total**0.5), 1, min(MAX_LISTS, len(sample))))
     graph = Graph.of(balanced_centroids(sample, k))
     ratio = calibrate(sample, graph)
     centroids = graph.centroids
@@ -214,20 +217,27 @@ def search(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
     lists, asked = every(lists, asked_blocks, "ask"), every(asked, list_blocks, "block")
 
     def top(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(left) and len(right):
-            ids = np.asarray(right["vec_id"])
-            raw = _matrix(right["vector"].combine_chunks())
+            ids, names = np.asarray(right["vec_id"]), np.asarray(left["query_id"])
+            raw, asked = _matrix(right["vector"].combine_chunks()), _matrix(left["query"].combine_chunks())
             x = unit(raw)
-            for query, q in zip(np.asarray(left["query_id"]), _matrix(left["query"].combine_chunks()), strict=True):
-                s = x @ unit(q[None])[0]
-                s[ids == query] = -3
-                n = min(k, len(s))
-                near = np.flatnonzero(s >= max(np.partition(s, len(s) - n)[len(s) - n], -2) - 1e-9)
-                exact = cosine(raw[near], q)
-                best = np.lexsort((ids[near], -exact))[:k]
-                out += zip([query] * len(best), ids[near][best], exact[best], strict=True)
-        q, v, s = zip(*out, strict=True) if out else ((), (), ())
+            n = min(k + 1, len(ids))
+            step = max(1, SCORES // len(ids))
+            for at in range(0, len(names), step):
+                q, name = asked[at : at + step], names[at : at + step]
+                s = unit(q) @ x.T
+                s[name[:, None] == ids[None]] = -3
+                least = np.partition(s, len(ids) - n, axis=1)[:, len(ids) - n]
+                r, c = np.nonzero(s >= np.maximum(least, -2)[:, None] - 1e-9)
+                exact = cosine(raw[c], q[r])
+                order = np.lexsort((ids[c], -exact, r))
+                r, c, exact = r[order], c[order], exact[order]
+                first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, np.int64)
+                rank = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)]))
+                best = rank < k
+                out.append((name[r[best]], ids[c[best]], exact[best]))
+        q, v, s = (np.concatenate(column) for column in zip(*out, strict=True))
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 
     key = ["list", "block", "ask"]
@@ -237,13 +247,12 @@ def search(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
 
 
 def cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Summed component by component, so that equal vectors have equal scores wherever they stand."""
-    dot = norm = np.zeros(len(x))
-    own = 0.0
+    """Row by row, summed component by component, so that equal vectors have equal scores wherever they stand."""
+    dot, norm, own = (np.zeros(len(x)) for _ in range(3))
     for j in range(x.shape[1]):
-        dot = dot + x[:, j] * q[j]
-        norm = norm + x[:, j] * x[:, j]
-        own += q[j] * q[j]
+        dot += x[:, j] * q[:, j]
+        norm += x[:, j] * x[:, j]
+        own += q[:, j] * q[:, j]
     return dot / (np.sqrt(norm) * np.sqrt(own))
 
 
