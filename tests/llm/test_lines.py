@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from tessera.llm import lines
 
 
@@ -37,7 +38,7 @@ def test_against_brute_force(spark, keep_first):
 
 
 def test_edge_rows(spark):
-    docs = spark.createDataFrame([(None, "a\nb", 1), (None, "a\nb", 2), (1, "a", 3), (1, "a", 4)], "doc_id long, text string, n_lines int")
+    docs = spark.createDataFrame([(None, "a\nb", 1), (None, "a\nb", 2), (1, "a", 3), (1, "a", 4)], "doc_id long, text string, n_lines int").withColumn("bitmap", F.lit("mine"))
     out = lines.dedup_lines(docs, 1, 2).collect()
     assert sorted((r.doc_id or 0, r.text, r.n_lines, r.n_dropped) for r in out) == [(0, "b", 2, 1)] * 2 + [(1, "", 1, 1)] * 2
     assert lines.dedup_lines(docs.limit(0)).count() == 0
