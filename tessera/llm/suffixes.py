@@ -29,6 +29,8 @@ HASH = ~np.uint64(0xFFFF)
 BLOCK_BYTES = 8 << 20
 #: Bytes hashed at a time.
 CHUNK_BYTES = 1 << 20
+#: A text of so many bytes goes in pieces of PIECE bytes: places in a longer one don't fit the 24 bits that anchors() has.
+LONG, PIECE = 1 << 24, 1 << 23
 #: Suffixes that the driver takes the ranges' bounds from.
 SAMPLE = 20_000
 #: Distinct surroundings of one gram that are compared in memory; more go through an exchange of single strings.
@@ -71,45 +73,44 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     return at[new], h[at[new]] & HASH, s[new], s[np.r_[new[1:] - 1, len(s) - 1]]
 
 
-def chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of about CHUNK_BYTES together."""
-    group = np.cumsum(sizes) // CHUNK_BYTES
-    cuts = np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(sizes)].tolist()
+def chunks(sizes: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about that size together; a document of that size or more is alone."""
+    group, alone = np.cumsum(sizes) // size, np.flatnonzero(sizes >= size)
+    cuts = np.unique(np.r_[0, np.flatnonzero(np.diff(group)) + 1, alone, alone + 1, len(sizes)]).tolist()
     return ((a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b)
 
 
 class Block:
     """The documents of a block, in order of doc_id, but for later copies of equal texts."""
 
-    def __init__(self, docs: pa.Table, later: set, length: int):
+    def __init__(self, docs: pa.Table, later: set, length: int, bounds: tuple[int, int, int]):
         docs = docs.sort_by([("doc_id", "ascending"), ("_k1", "ascending"), ("_k2", "ascending")])
         keys = list(zip(*(docs[c].to_pylist() for c in ("doc_id", "_k1", "_k2")), strict=True))
         self.rows = [i for i, key in enumerate(keys) if key not in later]
         self.ids = np.array([keys[i][0] for i in self.rows], np.int64)
         texts = docs["text"].cast(pa.binary()).to_pylist()
         self.keys, self.texts, self.later, self.length = keys, texts, later, length
+        self.chunk, self.long, self.piece = bounds
 
     def found(self) -> Iterator[tuple]:
         """(data, offset of each text, rows, anchors()) for each chunk."""
         sizes = np.array([len(self.texts[i] or b"") for i in self.rows], np.int64)
-        for a, b in chunks(sizes):
+        for a, b in chunks(sizes, min(self.chunk, self.long)):
             data = np.frombuffer(b"".join([self.texts[i] or b"" for i in self.rows[a:b]]), np.uint8)
             ends = np.cumsum(sizes[a:b])
-            if len(data) >= 1 << 24:  # one very long text: in overlapping pieces
+            if b == a + 1 and len(data) >= self.long:  # one very long text: in overlapping pieces
                 yield from self.pieces(data, a)
             else:
                 yield data, ends, a, anchors(data, ends, self.length)
 
     def pieces(self, data: np.ndarray, row: int) -> Iterator[tuple]:
-        """A text longer than places can tell: pieces that overlap so that every string is whole in exactly one."""
-        step = 1 << 23
-        for at in range(0, len(data), step):
-            piece = data[max(0, at - self.length) : at + step + 2 * self.length]
-            shift = at - max(0, at - self.length)
+        """A text longer than places can tell: pieces that overlap so that every anchor is in exactly one, with all its strings."""
+        for at in range(0, len(data), self.piece):
+            begin = max(0, at - self.length)
+            piece = data[begin : at + self.piece + 2 * self.length]
             place, h, first, last = anchors(piece, np.array([len(piece)]), self.length)
-            first, last = np.maximum(first, shift), np.minimum(last, shift + step - 1)
-            ok = first <= last
-            yield data, np.array([len(data)]), row, (place[ok] + at - shift, h[ok], first[ok] + at - shift, last[ok] + at - shift)
+            ok = (place >= at - begin) & (place < at - begin + self.piece)
+            yield data, np.array([len(data)]), row, (place[ok] + begin, h[ok], first[ok] + begin, last[ok] + begin)
 
 
 def _later(side: pa.Table) -> set:
@@ -254,8 +255,8 @@ def strings_of(entry: bytes, first: int, last: int, length: int) -> Iterator[tup
 class Removal:
     """dedup over docs; see dedup_suffixes()."""
 
-    def __init__(self, docs: DataFrame, length: int):
-        self.spark, self.length = docs.sparkSession, length
+    def __init__(self, docs: DataFrame, length: int, bounds: tuple[int, int, int] | None = None):
+        self.spark, self.length, self.bounds = docs.sparkSession, length, bounds or (CHUNK_BYTES, LONG, PIECE)
         self.n = partitions(self.spark)
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text")), "text")
         sizes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -283,11 +284,11 @@ class Removal:
 
     def shared_grams(self) -> tuple[DataFrame, list[bytes]]:
         """Rows (block, bucket, bits): which of the block's gram hashes stand in other documents too; and a sample of suffixes."""
-        length, buckets, each = self.length, self.buckets, max(1, SAMPLE // self.blocks)
+        length, bounds, buckets, each = self.length, self.bounds, self.buckets, max(1, SAMPLE // self.blocks)
         shift = np.uint64(64 - (buckets.bit_length() - 1))
 
         def run(docs: pa.Table, side: pa.Table) -> pa.Table:
-            block = Block(docs, _later(side), length)
+            block = Block(docs, _later(side), length, bounds)
             hashes, owners, samples = [], [], []
             for data, ends, row, (place, h, _, _) in block.found():
                 hashes.append(h)
@@ -338,7 +339,7 @@ class Removal:
 
     def removals(self, shared: DataFrame, sample: list[bytes]) -> DataFrame:
         """(block, row, start, end): bytes to remove, of the row-th document of its block."""
-        length, buckets, n = self.length, self.buckets, self.n
+        length, sizes, buckets, n = self.length, self.bounds, self.buckets, self.n
         shift = np.uint64(64 - (buckets.bit_length() - 1))
         bounds = sorted({sample[i * len(sample) // n] for i in range(1, n)}) if sample else []
         width = 2 * length - GRAM + 2
@@ -346,7 +347,7 @@ class Removal:
 
         def runs(docs: pa.Table, side: pa.Table) -> pa.Table:
             name = (docs["block"][0] if len(docs) else side["block"][0]).as_py()
-            block = Block(docs, _later(side), length)
+            block = Block(docs, _later(side), length, sizes)
             bits = side.filter(pa.compute.equal(side["kind"], 1))
             shared = {b: np.unpackbits(np.frombuffer(x, np.uint8)) for b, x in zip(bits["bucket"].to_pylist(), bits["data"].to_pylist(), strict=True)}
             kept, hashes = [], []
@@ -519,13 +520,13 @@ class Removal:
         return merged.where("string is null").select(*columns).unionByName(more.select(*columns))
 
     def apply(self, removals: DataFrame) -> DataFrame:
-        length = self.length
+        length, bounds = self.length, self.bounds
         side = self.later.select("block", "kind", "doc_id", "_k1", "_k2", *[F.lit(None).cast("int").alias(c) for c in ("row", "start", "end")]).unionByName(
             removals.select("block", F.lit(1).alias("kind"), *[F.lit(None).cast("long").alias(c) for c in ("doc_id", "_k1", "_k2")], "row", "start", "end")
         )
 
         def run(docs: pa.Table, side: pa.Table) -> pa.Table:
-            block = Block(docs, _later(side), length)
+            block = Block(docs, _later(side), length, bounds)
             cuts = side.filter(pa.compute.equal(side["kind"], 1))
             row, start, end = (np.asarray(cuts[c]) for c in ("row", "start", "end"))
             order = np.lexsort((start, row))
@@ -554,14 +555,15 @@ class Removal:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def dedup_suffixes(docs: DataFrame, length: int = 50) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, length: int = 50, bounds: tuple[int, int, int] | None = None) -> DataFrame:
     """doc_id, n_bytes, spans array<struct<start, end>>, kept binary: each row of docs (doc_id long, text) without repeats.
 
     A byte goes if a string of `length` bytes (UTF-8) that covers it also starts in a document with a smaller doc_id, as
     the input stands. spans are the removed runs, in order and apart. A null text is empty. Rows that repeat a doc_id
-    don't remove each other's strings; rows with a null doc_id lose nothing and remove nothing.
+    don't remove each other's strings; rows with a null doc_id lose nothing and remove nothing. bounds: in place of
+    CHUNK_BYTES, LONG and PIECE.
     """
-    removal = Removal(docs, length)
+    removal = Removal(docs, length, bounds)
     shared, sample = removal.shared_grams()
     removals = written(removal.removals(shared, sample), "cuts")
     removal.free()

@@ -151,6 +151,16 @@ def test_suffixes_against_brute_force(spark, monkeypatch, block, group, chunk):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("bounds", [(700, 1500, 400), (1 << 20, 1500, 400), (2000, 1500, 137)])
+def test_suffixes_of_long_texts_against_brute_force(spark, bounds):
+    shared = [text(30) for _ in range(5)]
+    long = lambda: " ".join(RNG.choice(shared) if RNG.random() < 0.5 else text(20) for _ in range(40))
+    rows = [(i, long() if i % 7 == 3 else RNG.choice(shared) + text(5) if i % 2 else text(6)) for i in range(40)]
+    rows += [(50, rows[3][1][300:] + "!"), (51, "?" + rows[3][1]), (52, rows[10][1])]
+    got = suffixes.dedup_suffixes(spark.createDataFrame(rows, "doc_id long, text string"), 50, bounds).collect()
+    assert {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got} == suffixes.brute_force(rows)
+
+
 def test_suffixes_of_repeated_and_null_ids(spark):
     t = text(40)
     rows = [(None, t), (5, t), (5, t), (7, t), (None, t)]
