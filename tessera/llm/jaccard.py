@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import partitions, table, written
+from tessera.llm.common import KEY, partitions, table, text_key, written
 from tessera.llm.components import components
 from tessera.llm.shingles import mix, shingle_sets
 
@@ -220,7 +220,7 @@ def _tiles(percent: int):
 
 
 class Join:
-    """The steps of the join over docs (doc_id, text); percent: the similarity, words: those of a shingle."""
+    """The steps of the join over docs (doc_id, text) of distinct doc_ids; percent: the similarity, words: those of a shingle."""
 
     def __init__(self, docs: DataFrame, words: int, percent: int):
         self.docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -295,12 +295,8 @@ class Join:
         """(doc_id, n_shingles, component_id) for every row of docs with a doc_id."""
         percent = self.percent
         sets = self.describe()
-        classes = written(sets.groupBy("class").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")), "classes")
-        # A doc_id that stands on several rows with different texts would be several nodes; its texts are told apart below.
-        self.repeats = bool(classes.where("rows > ids").limit(1).count())
-        nodes = sets.where("n > 0").join(classes.select("class", "node"), "class").where("doc_id = node")
-        if self.repeats:
-            nodes = nodes.dropDuplicates(["node"])
+        classes = written(sets.groupBy("class").agg(F.min("doc_id").alias("node")), "classes")
+        nodes = sets.where("n > 0").join(classes, "class").where("doc_id = node")
         # Prefix shingles of one node alone take part in no pair.
         posted = nodes.select("node", "n", F.explode("prefix").alias("key")).repartition(self.n, "key").sortWithinPartitions("key", "n", "node")
         shared = written(posted.mapInArrow(_shared_keys, "node long, n long, key long"), "shared-keys")
@@ -329,7 +325,7 @@ class Join:
         labels = written(components(links), "components")
         self.links = links
         return (
-            sets.select("doc_id", "n", "class").join(classes.select("class", "node"), "class").join(labels, "node", "left")
+            sets.select("doc_id", "n", "class").join(classes, "class").join(labels, "node", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node")).alias("component_id"))
         )
 
@@ -387,8 +383,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sets are one node. Nodes are first linked along chains, so that a large group of near copies is connected before the
     exact pass, which compares only what isn't connected.
     """
+    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return _of_rows(docs, words, percent)
     return Join(docs, words, percent).run()
 
 
+def _of_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """near_duplicates() where doc_ids stand on several rows: each distinct (doc_id, text) joins under a number of its own."""
+    rows = written(docs.select("doc_id", *text_key(F.col("text")), "text").withColumn("row", F.monotonically_increasing_id()), "rows")
+    keys = written(rows.groupBy(*KEY).agg(F.min("row").alias("first")), "keys")
+    more = rows.join(keys, KEY).where("row > first").select("row")
+    distinct = written(rows.join(_small(written(more, "repeats")), "row", "left_anti").select(F.col("row").alias("doc_id"), "text"), "distinct")
+    found = written(Join(distinct, words, percent).run().toDF("first", "n_shingles", "component"), "found").join(keys, "first")
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    result = found.join(least, "component").select(*KEY, "n_shingles", "component_id")
+    return rows.select(*KEY).join(result, KEY).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 4, 85)

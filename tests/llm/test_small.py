@@ -113,6 +113,27 @@ def test_jaccard_against_brute_force(spark, monkeypatch, words, percent, banded)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_brute(rows, words, percent)
 
 
+@pytest.mark.parametrize("percent", [50, 80])
+def test_jaccard_of_repeated_ids_against_brute_force(spark, percent):
+    rows = [(i, text(RNG.choice([0, 3, 12, 40]))) for i in range(40)]
+    for i in range(40, 110):
+        w = rows[RNG.randrange(40)][1].split()
+        for _ in range(RNG.randint(0, 4)):
+            if w:
+                w[RNG.randrange(len(w))] = RNG.choice(WORDS)
+        rows.append((i, " ".join(w)))
+    rows += [RNG.choice(rows[:110]) for _ in range(40)]  # equal texts
+    rows += [(RNG.randrange(120), RNG.choice(rows[:110])[1] + RNG.choice(["", " w1", " w2 w3"])) for _ in range(60)]  # differing ones
+    # 201 has one text that links with nothing, and one that links with 200; each on two rows.
+    rows += [(200, "a b c d e f g h"), *[(201, "p q r s t u v w"), (201, "A b c d e f g h")] * 2, (202, None), (202, None), (202, "lone words"), (None, "a b")]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, percent).collect()
+    # In order of doc_id, so that the least row of a group has its least doc_id.
+    rows = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
+    plain = jaccard_brute(list(enumerate(t for _, t in rows)), 2, percent)
+    expected = sorted((doc, plain[i][0], rows[plain[i][1]][0]) for i, (doc, _) in enumerate(rows))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == expected
+
+
 def test_signatures_never_lose_a_link():
     for _ in range(200):
         x = np.unique(np.random.default_rng(RNG.randrange(10**6)).integers(0, 2**63, RNG.randint(1, 900), dtype=np.uint64))
