@@ -335,27 +335,27 @@ def tree_print(spark, sf_dir):
 
 @query()
 def tolerant_tokens(spark, sf_dir):
-    """Tokens of every document's first line, taken as a query."""
+    """Tokens of every document's whole text, taken as a query."""
 
     @F.udf("array<struct<pos:int,value:string,type:string,parent_field:string,style:string>>")
     def tokens(text):
         return [(t.position, t.value, t.type, t.parent_field, highlight(t)) for t in tokenize(text)[0]]
 
-    lines = read(spark, sf_dir, "documents").select("doc_id", F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0)).alias("line"))
-    return lines.select("doc_id", F.inline(tokens("line")))
+    texts = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.select("doc_id", F.inline(tokens("text")))
 
 
 @query()
 def edited_tokens(spark, sf_dir):
-    """The token under a caret in the middle of every document's first line."""
+    """The token under a caret in the middle of every document's whole text."""
 
     @F.udf("struct<pos:int,value:string,type:string,parent_field:string>")
     def under(text):
         t = edited_token(text, len(text) // 2)
         return t.position, t.value, t.type, t.parent_field
 
-    lines = read(spark, sf_dir, "documents").select("doc_id", F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0)).alias("line"))
-    return lines.select("doc_id", under("line").alias("t")).select("doc_id", "t.*")
+    texts = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.select("doc_id", under("text").alias("t")).select("doc_id", "t.*")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

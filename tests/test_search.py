@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from tessera import queries
 from tessera.functions.lexer import Lexer
 from tessera.operators.index import IndexEngine, ScanEngine
 from tessera.plans.ast import AND, NEGATIVE_WARNING, NOT, OR, POSTFIX_WARNING, Builder
@@ -116,3 +117,14 @@ def test_update_and_remove(spark, tmp_path):
     index.vacuum(1)
     assert ids("phrase") == {1}
     assert index.search("a (").failed
+
+
+def test_tolerant_queries_take_whole_texts(spark, tmp_path):
+    rows = [(1, "a AND\nfield: (b\r\nc)\n\nd"), (2, None), (3, "\nlast"), (4, "one")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tokens = queries.tolerant_tokens(spark, str(tmp_path)).collect()
+    got = {d: [(t.pos, t.value, t.parent_field) for t in tokens if t.doc_id == d] for d, _ in rows}
+    assert got[1] == [(0, "a", None), (2, "AND", None), (6, "field", "field"), (11, ":", "field"), (13, "(", "field"), (14, "b", "field"), (17, "c", "field"), (18, ")", "field"), (21, "d", None)]
+    assert got[2] == [] and got[3] == [(1, "last", None)] and got[4] == [(0, "one", None)]
+    under = {r.doc_id: (r.pos, r.value) for r in queries.edited_tokens(spark, str(tmp_path)).collect()}
+    assert under[1] == (6, "field") and under[2] == (0, "") and under[3] == (1, "last") and under[4] == (0, "one")
