@@ -79,8 +79,10 @@ class Graph:
         # A ring makes the graph connected.
         return cls(centroids, np.concatenate([near, back, (np.arange(k)[:, None] + 1) % k], axis=1))
 
-    def search(self, q: np.ndarray, ratio: float, width: int = 16) -> np.ndarray:
-        """Lists whose centroid is at most ratio times as far as the nearest: best first, and width more steps from the best."""
+    def search(self, q: np.ndarray, ratio: float, margin: float = 0.0, sizes: np.ndarray | None = None, least: int = 0, width: int = 16) -> np.ndarray:
+        """Lists whose centroid is at most ratio times, or margin more than, as far as the nearest: best first, and width
+        more steps from the best. Where their sizes together are below least, the nearest of all that reach it.
+        """
         seen = np.zeros(len(self.centroids), bool)
         start = np.arange(0, len(seen), max(1, len(seen) // 8))
         seen[start] = True
@@ -92,7 +94,7 @@ class Graph:
         steps = 0
         while heap:
             d, i = heapq.heappop(heap)
-            if d > best * ratio and steps >= width:
+            if d > max(best * ratio, best + margin) and steps >= width:
                 break
             steps += 1
             new = self.edges[i]
@@ -103,7 +105,12 @@ class Graph:
                 best = min(best, dist[new].min())
                 for j in new:
                     heapq.heappush(heap, (dist[j], j))
-        return np.flatnonzero(dist <= max(best * ratio, 1e-9))
+        found = np.flatnonzero(dist <= max(best * ratio, best + margin, 1e-9))
+        if sizes is not None and sizes[found].sum() < least:
+            order = np.argsort(2 - 2 * (self.centroids @ q), kind="stable")
+            enough = int(np.searchsorted(np.cumsum(sizes[order]), least)) + 1
+            found = np.union1d(found, order[:enough])
+        return found
 
 
 def nearest_lists(x: np.ndarray, centroids: np.ndarray, boundary: float, replicas: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,6 +156,8 @@ class Index:
     graph: Graph
     ratio: float
     size: int
+    #: What a list's centroid may always be farther than the nearest one, which may be at no distance.
+    margin: float = 0.0
 
 
 _POSTING = "list int, vec_id long, vector array<double>"
@@ -175,6 +184,9 @@ def build(vectors: DataFrame) -> Index | None:
     graph = Graph.of(balanced_centroids(sample, k))
     ratio = calibrate(sample, graph)
     centroids = graph.centroids
+    near = np.concatenate([(sample[i : i + 4096] @ centroids.T).max(axis=1) for i in range(0, len(sample), 4096)])
+    apart = np.sqrt(np.maximum(0, 2 - 2 * near))
+    margin = float((ratio - 1) * np.median(apart[apart > 1e-6])) if (apart > 1e-6).any() else 0.0
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,25 +195,51 @@ def build(vectors: DataFrame) -> Index | None:
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), batch.column(0).take(take), batch.column(1).take(take)], ["list", "vec_id", "vector"])
 
     postings = rows.mapInArrow(assign, _POSTING)
-    return Index(written(postings, "postings"), graph, ratio, size)
+    return Index(written(postings, "postings"), graph, ratio, size, margin)
 
 
 def search(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest by cosine among the lists it opens, but for its own vec_id.
 
-    queries has query_id and vector. Ties go to the smaller vec_id. Each list is scored in blocks of a bounded size, so a
-    vector that fills a list, being repeated, fills blocks of their own.
+    queries has query_id and vector. Ties go to the smaller vec_id. Fewer than k only where there are no more: a query
+    opens lists of k + 1 vectors at least, and all lists if it still has too few, as where a vec_id has many vectors.
+    """
+    graph, ratio, margin = index.graph, index.ratio, index.margin
+    # One row for each list. A vector is in REPLICAS lists at most.
+    counts = index.postings.groupBy("list").agg(F.count_distinct("vec_id").alias("n")).collect()
+    sizes = np.zeros(len(graph.centroids), np.int64)
+    sizes[[r["list"] for r in counts]] = [r["n"] for r in counts]
+    least = REPLICAS * (k + 1)
+
+    def opened(find):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [find(q) for q in unit(_matrix(batch.column(1)))]
+                take = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                lists = pa.array(np.concatenate([np.zeros(0, np.int64), *found]), pa.int32())
+                yield pa.RecordBatch.from_arrays([lists, batch.column(0).take(take), batch.column(1).take(take)], ["list", "query_id", "query"])
+
+        return run
+
+    def probed(some: DataFrame, find) -> DataFrame:
+        return written(some.mapInArrow(opened(find), "list int, query_id long, query array<double>"), "probes")
+
+    queries = queries.select("query_id", "vector")
+    got = written(_scored(index, probed(queries, lambda q: graph.search(q, ratio, margin, sizes, least)), k), "nearest")
+    full = got.where(F.col("rank") == k).select("query_id")
+    short = written(queries.join(full, "query_id", "left_anti").select("query_id", "vector"), "short")
+    if not short.limit(1).count():
+        return got
+    every = np.flatnonzero(sizes)
+    more = _scored(index, probed(short, lambda q: every), k)
+    return got.join(full, "query_id", "left_semi").select(*more.columns).unionByName(more)
+
+
+def _scored(index: Index, probes: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of each query in the lists that probes (list, query_id, query) names.
+
+    Each list is scored in blocks of a bounded size, so a vector that fills a list, being repeated, fills blocks of their own.
     """
-    graph, ratio = index.graph, index.ratio
-
-    def open_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [graph.search(q, ratio) for q in unit(_matrix(batch.column(1)))]
-            take = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            lists = pa.array(np.concatenate([np.zeros(0, np.int64), *found]), pa.int32())
-            yield pa.RecordBatch.from_arrays([lists, batch.column(0).take(take), batch.column(1).take(take)], ["list", "query_id", "query"])
-
-    probes = written(queries.mapInArrow(open_lists, "list int, query_id long, query array<double>"), "probes")
 
     def in_blocks(df: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
         # One row for each list: a broadcast of MAX_LISTS rows at most.
@@ -221,6 +259,9 @@ def search(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
         if len(left) and len(right):
             ids, names = np.asarray(right["vec_id"]), np.asarray(left["query_id"])
             raw, asked = _matrix(right["vector"].combine_chunks()), _matrix(left["query"].combine_chunks())
+            if len(np.unique(ids)) < len(ids):  # rows that repeat a vec_id and its vector stand in one block
+                once = np.unique(np.column_stack([ids.view(np.float64), raw]).view(np.int64), axis=0, return_index=True)[1]
+                ids, raw = ids[once], raw[once]
             x = unit(raw)
             n = min(k + 1, len(ids))
             step = max(1, SCORES // len(ids))

@@ -227,6 +227,24 @@ def test_neighbours(spark):
     assert ann.build(vectors.where("vec_id = 2000")) is None
 
 
+def test_every_query_finds_k_neighbours_if_there_are_so_many(spark):
+    # Each vector is a centroid, far from the others: its list holds it alone.
+    x = np.eye(40) + 0.001 * np.random.default_rng(4).normal(size=(40, 40))
+    rows = [(i, x[i].tolist()) for i in range(40)] + [(100, x[0].tolist())] * 9
+    # Many vectors under one vec_id fill what is nearest to query 7.
+    rows += [(200, (x[7] + 0.0001 * v).tolist()) for v in np.random.default_rng(5).normal(size=(90, 40))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    graph = ann.Graph.of(ann.unit(x))
+    postings = spark.createDataFrame([(i if i < 40 else 0 if i == 100 else 7, i, v) for i, v in rows], "list int, vec_id long, vector array<double>")
+    asked = vectors.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    got = ann.search(ann.Index(postings, graph, 1.1, 40), asked, 5).collect()
+    for q in range(10):
+        assert [r["rank"] for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [1, 2, 3, 4, 5]
+    assert len({r.vec_id for r in got if r.query_id == 0}) == 5 and [r.vec_id for r in got if r.query_id == 0 and r["rank"] == 1] == [100]
+    few = ann.search(ann.Index(postings.where("vec_id < 3"), graph, 1.1, 40), asked, 5).collect()
+    assert len([r for r in few if r.query_id == 0]) == 2 and len([r for r in few if r.query_id == 9]) == 3
+
+
 def test_toxicity(spark):
     def sentence(toxic, group):
         return " ".join([*(RNG.choice(WORDS) for _ in range(12)), *(["vile"] if toxic else []), *([group] if group else [])])
