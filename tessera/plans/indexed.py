@@ -12,9 +12,6 @@ from tessera.plans.ast import MUST, MUST_NOT, SHOULD, Bool, Boost, Fuzzy, MatchA
 from tessera.plans.scan import slop_match
 from tessera.plans.terms import fuzzy_candidate, fuzzy_distance, holds
 
-#: A fuzzy term stands for so many terms at most: the nearest ones.
-FUZZY_TERMS = 50
-
 
 @dataclass
 class Postings:
@@ -68,9 +65,8 @@ class Postings:
         if isinstance(node, Fuzzy):
             near = self.vocabulary.where(fuzzy_candidate(F.col("term"), node)).withColumn("_d", fuzzy_distance(F.col("term"), node))
             shorter = F.least(F.char_length("term"), F.lit(len(node.word)))
-            near = near.where((F.col("_d") <= node.edits) & (F.col("_d") < F.greatest(shorter, F.lit(1)))).orderBy("_d", "term").limit(FUZZY_TERMS)
-            # FUZZY_TERMS rows at most.
-            return self.postings.join(F.broadcast(near.select("term")), "term", "left_semi")
+            near = near.where((F.col("_d") <= node.edits) & (F.col("_d") < F.greatest(shorter, F.lit(1))))
+            return self.postings.join(near.select("term"), "term", "left_semi")
         return self.postings.where(holds(node, F.col("term")))
 
     def _phrase(self, node: Phrase) -> DataFrame:

@@ -128,3 +128,12 @@ def test_tolerant_queries_take_whole_texts(spark, tmp_path):
     assert got[2] == [] and got[3] == [(1, "last", None)] and got[4] == [(0, "one", None)]
     under = {r.doc_id: (r.pos, r.value) for r in queries.edited_tokens(spark, str(tmp_path)).collect()}
     assert under[1] == (6, "field") and under[2] == (0, "") and under[3] == (1, "last") and under[4] == (0, "one")
+
+
+def test_fuzzy_finds_every_near_term(spark, tmp_path):
+    rows = [(i, f"idiot{c}") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")] + [(100 + i, f"{c}idiot") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    docs = spark.createDataFrame([*rows, (200, "idiot"), (201, "idea")], "content_id long, content string")
+    index = IndexEngine(spark, str(tmp_path / "index"))
+    index.update(docs)
+    for engine in (ScanEngine(docs), index):
+        assert {r.content_id for r in engine.search("idiot~1", None).rows.collect()} == {200, *(i for i, _ in rows)}
