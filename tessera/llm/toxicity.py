@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,12 +77,12 @@ def _csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(
-    documents: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[str, str]], l1: float = 1e-4, counterfactual: float = 1.0, steps: int = 300, min_documents: int = 4
+    documents: list[np.ndarray], labels: np.ndarray, swaps: Counter[tuple[str, str]], l1: float = 1e-4, counterfactual: float = 1.0, steps: int = 300, min_documents: int = 4
 ) -> Model:
     """Minimises mean logistic loss + l1 |w| + counterfactual x mean squared change of the logit under the swaps (FISTA).
 
-    documents: the buckets of each labelled text. swaps: (term, other term) pairs that stand in labelled sentences, as
-    often as they do. Buckets of fewer than min_documents texts play no part, but for those of swapped terms.
+    documents: the buckets of each labelled text. swaps: how often each (term, other term) pair stands in
+    labelled texts. Buckets of fewer than min_documents texts play no part, but for those of swapped terms.
     """
     y = labels.astype(float)
     if not len(y):
@@ -91,7 +93,8 @@ def fit(
     # The gradient at w = 0 bounds what the penalty lets in at first; weakly tied buckets would stay at 0.
     tie = np.abs(toxic - n * y.mean()) / len(y)
     keep = (n >= min_documents) & (tie > l1 / 2)
-    pairs = [(features_of(a), features_of(b)) for a, b in swaps]
+    pairs = [(features_of(a), features_of(b)) for a, b in sorted(swaps)]
+    times = np.array([swaps[pair] for pair in sorted(swaps)], float)
     for a, b in pairs:
         keep[a] = keep[b] = True
     ids = np.flatnonzero(keep)
@@ -108,14 +111,14 @@ def fit(
         g = np.bincount(col, off[row], len(ids)) / len(y)
         if len(pairs):
             change = np.bincount(swap_row, w[swap_col] * swap_sign, len(pairs))
-            g += 2 * counterfactual * np.bincount(swap_col, change[swap_row] * swap_sign, len(ids)) / len(pairs)
+            g += 2 * counterfactual * np.bincount(swap_col, (times * change)[swap_row] * swap_sign, len(ids)) / times.sum()
         return g, off.mean()
 
     # A step for each column after its own curvature bound; the bound holds as each row's sum is bounded by its length.
     length = np.bincount(row, minlength=len(y)) + 1.0
     bound = 0.25 * np.bincount(col, length[row], len(ids)) / len(y) + 1e-9
     if len(pairs):
-        bound += 2 * counterfactual * np.bincount(swap_col, np.bincount(swap_row, minlength=len(pairs))[swap_row], len(ids)) / len(pairs)
+        bound += 2 * counterfactual * np.bincount(swap_col, (times * np.bincount(swap_row, minlength=len(pairs)))[swap_row], len(ids)) / times.sum()
     bias_bound = 0.25 * length.mean()
     rate = np.clip(y.mean(), 1e-4, 1 - 1e-4)
     bias = bias_z = float(np.log(rate / (1 - rate)))
@@ -156,8 +159,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
     got = rows.mapInArrow(_features, "label int, buckets array<int>, swaps array<string>").toArrow()
     buckets = got["buckets"].combine_chunks()
     documents = [np.asarray(x.values) if x.values is not None else np.zeros(0, np.int32) for x in buckets]
-    swaps = [tuple(s.split(" ")) for row in got["swaps"].to_pylist() for s in row]
-    return fit(documents[:max_rows], np.asarray(got["label"])[:max_rows], swaps[: 20 * max_rows])
+    counted = pc.value_counts(got["swaps"].combine_chunks().flatten())
+    swaps = Counter({tuple(x["values"].split(" ")): x["counts"] for x in counted.to_pylist()})
+    return fit(documents[:max_rows], np.asarray(got["label"])[:max_rows], swaps)
 
 
 def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:

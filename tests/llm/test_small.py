@@ -262,3 +262,14 @@ def test_toxicity(spark):
     words = lambda t: toxicity.words_of(t)
     assert abs(model.score(words("hello women")) - model.score(words("hello men"))) < 0.1
     assert toxicity.counterfactuals({"women"}) == [("women", "men"), ("women", "girls"), ("women", "boys")]
+
+
+def test_toxicity_counts_every_swap(spark, monkeypatch):
+    every = " ".join(t for group in toxicity.IDENTITY_TERMS for t in group)
+    rows = [(i, every if i < 5 else "women" if i < 8 else "x", i % 2) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda documents, labels, swaps: seen.append(swaps))
+    toxicity.train(docs, docs.select("doc_id", "toxic"), max_rows=10)
+    plain = [pair for _, t, _ in rows for pair in toxicity.counterfactuals(toxicity.words_of(t))]
+    assert len(plain) > 20 * 10 and seen == [{pair: plain.count(pair) for pair in plain}]
