@@ -18,18 +18,18 @@ from tessera.llm.shingles import mix, shingle_sets
 #: Buckets of the counts that order shingles, rarest first; their table has this size whatever the input. A slice of it
 #: is summed at a time.
 BUCKETS, SLICE = 1 << 22, 1 << 16
-#: Bits of a signature in tiles; the long one, for the pairs that are left, has twice as many bits as its set shingles.
-BITS = 2048
-#: Rows up to which a side is broadcast, counted beforehand; beyond, the join shuffles.
-BROADCAST_ROWS = 400_000
-#: Sets that a chunk of the first linking pass holds, and a tile of the exact pass.
-CHUNK, TILE = 4000, 1024
-#: Sets of one key up to which they stand in one tile; more are dealt out to tiles by bands of size.
-BANDED = 2000
+#: Bytes up to which a side is broadcast, by its counted rows; beyond, the join shuffles.
+BROADCAST_BYTES = 8 << 20
+#: Sets that a chunk of the first linking pass holds.
+CHUNK = 256
+#: Sets of a block, and shingles of all of them together, on average at most. A tile is two blocks, or one with itself.
+BANDED, WEIGHT = 100, 1 << 17
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df, a written table of columns of 8 bytes, broadcast if it is small."""
+    most = BROADCAST_BYTES // (8 * (len(df.columns) + 1))
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def _counts(words: int):
@@ -68,27 +68,25 @@ def _sum_counts(rows: pa.Table) -> pa.Table:
     return pa.table({"salt": pa.array([0], pa.int32()), "slice": pa.array([rows["slice"][0].as_py()], pa.int32()), "counts": pa.array([data], pa.binary())})
 
 
-def signature(s: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """As many bits, as bytes: one for each shingle's hash. Its halves, united, are the signature of half as many bits."""
+def signature_bits(longest: int) -> int:
+    """Bits of the signatures of sets of up to that many shingles: a power of two, so that few shingles share a bit."""
+    return min(1 << 16, max(512, 1 << int(4 * longest - 1).bit_length())) if longest else 512
+
+
+def signature(s: np.ndarray, bits: int) -> np.ndarray:
+    """As many bits, as words of 64: one for each shingle's hash."""
     out = np.zeros(bits, np.uint8)
     out[((s >> np.uint64(40)) % np.uint64(bits)).astype(np.int64)] = 1
-    return np.packbits(out, bitorder="little")
+    return np.packbits(out, bitorder="little").view(np.uint64)
 
 
-def long_bits(n: int) -> int:
-    return max(BITS, 1 << int(2 * n - 1).bit_length()) if n else BITS
+def most_common(n: int, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bounds from above of what a set of n shingles has in common with sets of m, by signatures x and y.
 
-
-def may_link(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
-    """Whether long signatures let two sets of n and m shingles be similar."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    while len(a) > len(b):
-        a = a[: len(a) // 2] | a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] | b[len(b) // 2 :]
-    differ = int(np.bitwise_count(a ^ b).sum())
-    most = (n + m - max(differ, abs(n - m))) // 2
-    return 100 * most >= percent * (n + m - most)
+    Each differing bit is a shingle that only one of the two has.
+    """
+    differ = np.bitwise_count(x ^ y).sum(axis=-1).astype(np.int64)
+    return (n + m - np.maximum(differ, np.abs(n - m))) // 2
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -100,24 +98,22 @@ _SEEDS = [np.uint64(x) for x in (0x1234567, 0x89ABCDEF1, 0xFEDCBA987, 0x13579BDF
 
 
 def _describe(words: int, percent: int, counts: np.ndarray):
-    names = ["doc_id", "n", "class", "signature", "long", "least", "prefix"]
+    names = ["doc_id", "n", "class", "least", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             step = 512
             for at in range(0, len(batch), step):
                 part = batch.slice(at, step)
-                n, cls, sig, long, least, prefix = [], [], [], [], [], []
+                n, cls, least, prefix = [], [], [], []
                 for s in shingle_sets(part.column(1), words):
                     n.append(len(s))
                     cls.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    sig.append(signature(s).tobytes())
-                    long.append(signature(s, long_bits(len(s))).tobytes())
                     least.append([int(mix(s ^ seed).min().view(np.int64)) for seed in _SEEDS] if len(s) else [])
                     order = np.lexsort((s, counts[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))
                     prefix.append(s[order[: prefix_length(len(s), percent)]].view(np.int64) if len(s) else [])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary()), pa.array(long, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))],
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))],
                     names,
                 )
 
@@ -152,69 +148,64 @@ def _neighbours(percent: int):
     return run
 
 
-def tile_pairs(n: np.ndarray, bits: np.ndarray, group: np.ndarray, guest: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indexes of pairs of different groups that size and signature let be similar; at least one of a pair is no guest.
+def tile_links(n: np.ndarray, node: np.ndarray, component: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect what the similar pairs of a tile connect and the components don't yet: a spanning forest.
 
-    Rows are sorted by n. Tiles of TILE x TILE rows are left out as a whole where the sizes are too far apart.
+    Rows of one side are compared with those of the other, or with each other if there is but one side. Sizes and the
+    bits of signatures bound what a pair has in common from above; what passes is intersected as sorted arrays.
     """
-    for i in range(0, len(n), TILE):
-        for j in range(i, len(n), TILE):
-            if 100 * n[min(i + TILE, len(n)) - 1] < percent * n[j]:
-                break
-            ni, nj = n[i : i + TILE, None], n[None, j : j + TILE]
-            ok = (100 * np.minimum(ni, nj) >= percent * np.maximum(ni, nj)) & (group[i : i + TILE, None] != group[None, j : j + TILE])
-            ok &= ~(guest[i : i + TILE, None] & guest[None, j : j + TILE])
-            if i == j:
-                ok &= np.triu(np.ones(ok.shape, bool), 1)
-            a, b = np.nonzero(ok)
-            for k in range(0, len(a), 1 << 16):
-                p, q = a[k : k + (1 << 16)] + i, b[k : k + (1 << 16)] + j
-                # Each differing bit is a shingle that only one of the two has.
-                differ = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1).astype(np.int64)
-                most = (n[p] + n[q] - np.maximum(differ, np.abs(n[p] - n[q]))) // 2
-                keep = 100 * most >= percent * (n[p] + n[q] - most)
-                yield p[keep], q[keep]
+    label = np.unique(component, return_inverse=True)[1]
+    bits = signature_bits(int(n.max()))
+    signatures = np.stack([signature(s, bits) for s in sets])
+    whole, found = bool(side.min() == side.max()), []
+    for i in range(len(n)):
+        if not whole and side[i] != side.min():
+            break
+        ok = (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        ok &= np.arange(len(n)) > i if whole else side != side[i]
+        others = np.flatnonzero(ok)
+        if not len(others):
+            continue
+        most = most_common(n[i], signatures[i], n[others], signatures[others])
+        keep = 100 * most >= percent * (n[i] + n[others] - most)
+        others = others[keep][np.argsort(-most[keep], kind="stable")]
+        # The likeliest first: what a link connects needs no second one.
+        for k in range(0, len(others), 16):
+            some = others[k : k + 16]
+            some = some[label[some] != label[i]]
+            if not len(some):
+                continue
+            flat = np.concatenate([sets[j] for j in some])
+            at = np.minimum(np.searchsorted(sets[i], flat), n[i] - 1)
+            common = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.r_[0, np.cumsum(n[some])[:-1]])
+            for j in some[100 * common >= percent * (n[i] + n[some] - common)]:
+                if label[j] != label[i]:
+                    found.append((int(node[i]), int(node[j])))
+                    label[label == label[j]] = label[i]
+    return found
 
 
 def _tiles(percent: int):
-    """Candidate pairs within each (key, band), rows sorted by key, band and n."""
-
-    def pairs(n, node, comp, guest, bits) -> Iterator[pa.RecordBatch]:
-        for p, q in tile_pairs(n, bits, comp, guest, percent):
-            if len(p):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[p], node[q])), pa.array(np.maximum(node[p], node[q]))], ["a", "b"])
+    """Links (a, b) of each tile, rows (tile, side, n, node, component, shingles) sorted by tile and side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups(part: pa.Table, last: bool) -> tuple[list[tuple[int, int]], int]:
-            """(begin, end) of the groups of more than one component with a set at home, and where the last group begins, which may go on."""
-            key, band, comp = (np.asarray(part[c]) for c in ("key", "band", "component"))
-            begin = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (band[1:] != band[:-1])])
-            end = np.r_[begin[1:], len(key)]
-            mixed = np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)
-            home = ~np.logical_and.reduceat(np.asarray(part["guest"]), begin)
-            live = np.flatnonzero(mixed & home)
-            return [(int(begin[i]), int(end[i])) for i in live if last or i + 1 < len(begin)], int(begin[-1])
-
-        def worked(part: pa.Table, spans: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-            if not spans:
-                return
-            n, node, comp, guest = (np.asarray(part[c]) for c in ("n", "node", "component", "guest"))
-            signatures = part["signature"].to_pylist()
-            for a, b in spans:
-                bits = np.frombuffer(b"".join(signatures[a:b]), np.uint64).reshape(b - a, -1)
-                yield from pairs(n[a:b], node[a:b], comp[a:b], guest[a:b], bits)
-
-        held: pa.Table | None = None
+        def links(rows: list[tuple]) -> list[tuple[int, int]]:
+            side, n, node, component = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3, 4))
+            return tile_links(n, node, component, side, [np.frombuffer(r[5], np.uint64) for r in rows], percent)
+
+        held: list[tuple] = []
         for batch in batches:
-            if not len(batch):
-                continue
-            part = pa.Table.from_batches([batch])
-            part = part if held is None else pa.concat_tables([held, part]).combine_chunks()
-            spans, rest = groups(part, False)
-            yield from worked(part, spans)
-            held = part.slice(rest)
-        if held is not None:
-            yield from worked(held, groups(held, True)[0])
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][0] != row[0]:
+                    found += links(held)
+                    held = []
+                held.append(row)
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        if held:
+            a, b = zip(*found, strict=True) if (found := links(held)) else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -236,14 +227,13 @@ class Join:
             total[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["counts"]), np.uint64)
         # Steps of a fiftieth tell rare from common; within a step the hash decides.
         counts = np.minimum(np.log1p(total) * 50, 65535).astype(np.uint16)
-        schema = "doc_id long, n long, class binary, signature binary, long binary, least array<long>, prefix array<long>"
+        schema = "doc_id long, n long, class binary, least array<long>, prefix array<long>"
         return written(self.docs.mapInArrow(_describe(self.words, self.percent, counts), schema), "sets")
 
-    def shingles(self, rows: DataFrame) -> DataFrame:
-        """rows, which have a node, with the node's shingles: read from its text again."""
+    def shingles(self, nodes: DataFrame) -> DataFrame:
+        """(node, shingles) of the nodes: their sorted sets, read from their texts again."""
         words = self.words
-        needed = rows.select("node").distinct()
-        texts = self.docs.join(_small(needed), self.docs["doc_id"] == needed["node"]).select("node", "text")
+        texts = self.docs.join(_small(nodes), self.docs["doc_id"] == nodes["node"]).select("node", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -251,45 +241,7 @@ class Join:
                     part = batch.slice(at, 256)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), words)], pa.binary())], ["node", "shingles"])
 
-        return texts.mapInArrow(run, "node long, shingles binary").join(_small(rows), "node")
-
-    def plausible(self, pairs: DataFrame, few: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that the long signatures let be similar."""
-        percent = self.percent
-        pairs = written(pairs.select("a", "b").distinct(), "candidates")
-        side = lambda c: few.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("long").alias(f"l{c}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "la", "nb", "lb")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = [may_link(*row, percent) for row in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)]
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        return both.mapInArrow(run, "a long, b long")
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that are similar."""
-        percent = self.percent
-        pairs = written(pairs, "pairs")
-        ends = pairs.select(F.col("a").alias("node"), "a", "b").unionByName(pairs.select(F.col("b").alias("node"), "a", "b"))
-        both = self.shingles(ends).repartition(self.n, "a", "b").sortWithinPartitions("a", "b", "node")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last = None
-            for batch in batches:
-                got = []
-                for s, a, b in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                    s = np.frombuffer(s, np.uint64)
-                    if last is not None and last[:2] == (a, b):
-                        if linked(last[2], s, percent):
-                            got.append((a, b))
-                        last = None
-                    else:
-                        last = (a, b, s)
-                a, b = zip(*got, strict=True) if got else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        return both.select("node", "shingles", "a", "b").mapInArrow(run, "a long, b long")
+        return texts.mapInArrow(run, "node long, shingles binary")
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) for every row of docs with a doc_id."""
@@ -297,14 +249,15 @@ class Join:
         sets = self.describe()
         classes = written(sets.groupBy("class").agg(F.min("doc_id").alias("node")), "classes")
         nodes = sets.where("n > 0").join(classes, "class").where("doc_id = node")
-        # Prefix shingles of one node alone take part in no pair.
-        posted = nodes.select("node", "n", F.explode("prefix").alias("key")).repartition(self.n, "key").sortWithinPartitions("key", "n", "node")
+        # Prefix shingles of one node alone take part in no pair. Ranges of (key, node): a very common key has several.
+        posted = nodes.select("node", "n", F.explode("prefix").alias("key")).repartitionByRange(self.n, "key", "node").sortWithinPartitions("key", "node")
         shared = written(posted.mapInArrow(_shared_keys, "node long, n long, key long"), "shared-keys")
-        members = shared.select(F.col("node").alias("member")).distinct()
-        few = written(nodes.join(members, F.col("node") == F.col("member"), "left_semi").select("node", "n", "signature", "long", "least"), "members")
+        members = written(shared.select("node").distinct(), "members")
+        few = written(nodes.select("node", "n", "least").join(_small(members), "node", "left_semi"), "nodes")
+        shingles = written(self.shingles(members), "shingles")
 
         # First, links between neighbours in order of size, among nodes of the same least hash.
-        links = None
+        links = labels = None
         for k in range(len(_SEEDS)):
             rows = few.select("node", "n", F.element_at("least", k + 1).alias("key"))
             if links is not None:
@@ -314,39 +267,87 @@ class Join:
                 many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
             rows = rows.join(many, "key").withColumn("chunk", F.pmod(F.xxhash64(F.lit(k), "node"), F.ceil(F.col("m") / CHUNK)).cast("int"))
             rows = written(rows.select("node", "n", "key", "chunk"), "neighbours")
-            ordered = self.shingles(rows).select("key", "chunk", "n", "node", "shingles").repartition(self.n, "key", "chunk").sortWithinPartitions("key", "chunk", "n", "node")
+            ordered = shingles.join(_small(rows), "node").select("key", "chunk", "n", "node", "shingles")
+            ordered = ordered.repartition(self.n, "key", "chunk").sortWithinPartitions("key", "chunk", "n", "node")
             found = written(ordered.mapInArrow(_neighbours(percent), "a long, b long"), "links")
             links = found if links is None else links.unionByName(found)
             labels = written(components(links), "components")
 
         # Then every pair of nodes that share a prefix shingle and aren't connected yet.
-        pairs = self.plausible(self.candidates(shared, few, labels), few)
-        links = links.unionByName(written(self.verified(pairs), "links"))
+        links = links.unionByName(written(self.tiled(shared, few, labels, shingles), "links"))
         labels = written(components(links), "components")
-        self.links = links
         return (
             sets.select("doc_id", "n", "class").join(classes, "class").join(labels, "node", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node")).alias("component_id"))
         )
 
-    def candidates(self, shared: DataFrame, few: DataFrame, labels: DataFrame) -> DataFrame:
+    def blocks(self, rows: DataFrame) -> DataFrame:
+        """(node, n, component, block<cluster, band, own, component, part>) of rows (key, m, node, n, component).
+
+        A node's cluster is the most common of its keys, so that nodes of many keys in common stand together. A cluster of
+        more than BANDED nodes is dealt out by bands of size: similar sets stand in one band or in two that touch. A
+        component that fills a block has blocks of its own in each band.
+        """
+        nodes = rows.groupBy("node", "n", "component").agg(F.max(F.struct("m", "key"))["key"].alias("cluster"))
+        width = float(np.log(100 / self.percent)) * 1.0001
+        nodes = nodes.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int"))
+        nodes = written(nodes, "clusters")
+        sizes = nodes.groupBy("cluster", "band", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+        sizes = written(sizes.withColumn("own", F.col("c") >= BANDED), "cluster-sizes")
+        home = F.when(F.col("own"), F.col("component"))
+        bands = sizes.groupBy("cluster", "band", "own", home.alias("home")).agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
+        whole = sizes.groupBy("cluster").agg(F.sum("c").alias("all_c"), F.sum("s").alias("all_s")).where((F.col("all_c") > BANDED) | (F.col("all_s") > WEIGHT))
+        bands = bands.join(whole, "cluster").withColumn("parts", F.greatest(F.ceil(F.col("c") / BANDED), F.ceil(F.col("s") / WEIGHT)))
+        bands = bands.select("cluster", "band", "own", F.col("home").alias("of"), "parts")
+        dealt = nodes.join(sizes.select("cluster", "band", "component", "own"), ["cluster", "band", "component"]).withColumn("home", home)
+        dealt = dealt.join(bands.withColumnsRenamed({"cluster": "c2", "band": "b2", "own": "o2"}), F.expr("cluster = c2 AND band = b2 AND own = o2 AND home <=> of"), "left")
+        part = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("parts")).cast("int")
+        many = F.struct("cluster", "band", "own", F.col("home").alias("component"), part.alias("part"))
+        one = F.struct("cluster", F.lit(0).alias("band"), F.lit(False).alias("own"), F.lit(None).cast("long").alias("component"), F.lit(0).alias("part"))
+        return written(dealt.select("node", "n", "component", F.when(F.col("parts").isNull(), one).otherwise(many).alias("block")), "blocks")
+
+    def tiled(self, shared: DataFrame, few: DataFrame, labels: DataFrame, shingles: DataFrame) -> DataFrame:
+        """Links (a, b) that join what similar nodes with a prefix shingle in common leave unconnected.
+
+        A pair stands in one tile at most, that of its two blocks. Tiles within a cluster are all those that sizes and
+        components allow; those of two clusters the ones in which nodes with a key in common stand.
+        """
         percent = self.percent
-        known = few.select("node", "signature").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = shared.join(known.select("node", "component"), "node").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"))
-        rows = shared.join(mixed.where("lo < hi").select("key", "m"), "key").join(known, "node")
-        # Bands so wide that similar sets stand in one band or in two that touch: each set is at home in its band, and a
-        # guest in the next one, where guests aren't compared with each other. Few sets are one tile.
-        width = float(np.log(100 / percent)) * 1.0001
-        band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int")
-        place = lambda band, guest: F.struct(band.alias("band"), F.lit(guest).alias("guest"))
-        homes = F.when(F.col("m") <= BANDED, F.array(place(F.lit(0), False))).otherwise(F.array(place(band, False), place(band + 1, True)))
-        tiled = rows.select("key", "node", "n", "component", "signature", F.inline(homes))
-        tiled = tiled.repartition(self.n, "key", "band").sortWithinPartitions("key", "band", "n", "node")
-        return tiled.select("key", "band", "n", "node", "component", "signature", "guest").mapInArrow(_tiles(percent), "a long, b long")
+        known = few.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
+        rows = shared.select("key", "node").join(known, "node")
+        mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
+        rows = written(rows.join(mixed.select("key", "m"), "key"), "mixed-keys")
+        homes = self.blocks(rows)
+
+        def summed(df: DataFrame, *by: str) -> DataFrame:
+            return df.groupBy(*by).agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+
+        def paired(df: DataFrame, by: str, order: str) -> DataFrame:
+            a, b = (df.select(F.col(by).alias(f"{x}_by"), *[F.col(c).alias(f"{x}_{c}") for c in ("block", "n0", "n1", "c0", "c1")]) for x in "ab")
+            apart = F.expr("least(a_c0, b_c0) < greatest(a_c1, b_c1)")
+            near = F.expr(f"100 * a_n1 >= {percent} * b_n0 AND 100 * b_n1 >= {percent} * a_n0")
+            return a.join(b, F.expr(f"a_by = b_by AND {order}") & apart & near).select(F.col("a_block").alias("a"), F.col("b_block").alias("b"))
+
+        inside = summed(homes, "block").withColumn("cluster", F.col("block.cluster"))
+        across = summed(rows.select("key", "node").join(homes, "node"), "key", "block")
+        several = across.groupBy("key").agg(F.min("block.cluster").alias("lo"), F.max("block.cluster").alias("hi")).where("lo < hi").select("key")
+        across = written(across.join(several, "key"), "key-blocks")
+        tiles = paired(inside, "cluster", "a_block <= b_block").unionByName(paired(across, "key", "a_block.cluster < b_block.cluster").distinct())
+        tiles = written(tiles.withColumn("tile", F.monotonically_increasing_id()), "tiles")
+        ends = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("block")))).otherwise(
+            F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("block")), F.struct(F.lit(1).alias("side"), F.col("b").alias("block")))
+        )
+        dealt = written(tiles.select("tile", F.inline(ends)).join(homes, "block").select("tile", "side", "n", "node", "component"), "tile-nodes")
+        full = shingles.join(_small(dealt), "node").select("tile", "side", "n", "node", "component", "shingles")
+        full = full.repartition(self.n, "tile").sortWithinPartitions("tile", "side", "n", "node")
+        return full.mapInArrow(_tiles(percent), "a long, b long")
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (node, n, key) sorted by key, those whose key the row before or after has too."""
+    """Of rows (node, n, key) sorted by key, those whose key the row before or after has too.
+
+    The key of a partition's first or last row may go on in another partition: such rows stay.
+    """
     held: pa.RecordBatch | None = None
     carried = None
     for batch in batches:
@@ -354,20 +355,21 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         if held is not None:
             key = np.asarray(held.column(2))
-            yield held.filter(pa.array(_alike(key, carried, batch.column(2)[0].as_py())))
+            yield held.filter(pa.array(_alike(key, key[0] if carried is None else carried, batch.column(2)[0].as_py())))
             carried = key[-1]
         held = batch
     if held is not None:
-        yield held.filter(pa.array(_alike(np.asarray(held.column(2)), carried, None)))
+        key = np.asarray(held.column(2))
+        yield held.filter(pa.array(_alike(key, key[0] if carried is None else carried, key[-1])))
 
 
-def _alike(key: np.ndarray, before: int | None, after: int | None) -> np.ndarray:
+def _alike(key: np.ndarray, before: int, after: int) -> np.ndarray:
     same = key[1:] == key[:-1]
     out = np.zeros(len(key), bool)
     out[1:] |= same
     out[:-1] |= same
-    out[0] |= before is not None and key[0] == before
-    out[-1] |= after is not None and key[-1] == after
+    out[0] |= key[0] == before
+    out[-1] |= key[-1] == after
     return out
 
 
@@ -381,7 +383,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     The join is exact: similar sets share one of the first shingles in a global order, rarest first. Documents of equal
     sets are one node. Nodes are first linked along chains, so that a large group of near copies is connected before the
-    exact pass, which compares only what isn't connected.
+    exact pass, which compares only what isn't connected: in tiles of two blocks of nodes, where each pair is bounded by
+    signatures, then intersected, and a spanning forest of the links goes out.
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
