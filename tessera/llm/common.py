@@ -11,10 +11,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word of the contracts on lower-cased text: no ASCII character but letters and digits, everything beyond ASCII.
+#: A word of the contracts, found in text in any case: ASCII letters and digits, and everything beyond ASCII.
+WORD_ANY_CASE = r"[\p{Alnum}\x{80}-\x{10FFFF}]+"
+#: The same on lower-cased text, for Python and DuckDB.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words found in text that isn't lower-cased yet.
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: ASCII characters that stand in no word.
+NO_WORD = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 #: White space of the contracts.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -62,11 +64,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z to a-z and nothing else; texts of ASCII alone take the fast function."""
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
-        F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    )
+def spaced(text: Column, keep: str = "") -> Column:
+    """A-Z to a-z, and every ASCII character outside words, but for those to keep, to a space; far cheaper than a pattern."""
+    gone = "".join(c for c in NO_WORD if c not in keep)
+    return F.translate(text, gone + string.ascii_uppercase, " " * len(gone) + string.ascii_lowercase)
+
+
+def split_words(spaced_text: Column) -> Column:
+    return F.array_remove(F.split(spaced_text, " "), "")
+
+
+def words(text: Column) -> Column:
+    """The lower-cased words of the contracts; none of a null text."""
+    return split_words(spaced(F.coalesce(text, F.lit(""))))
+
+
+def n_words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long")
+
+
+#: Bytes up to which a table is broadcast, by its counted rows; beyond, the join shuffles.
+BROADCAST_BYTES = 8 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, a written table of columns of 8 bytes, marked for broadcast if it is small."""
+    most = BROADCAST_BYTES // (8 * (len(df.columns) + 1))
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def text_key(text: Column) -> list[Column]:
@@ -88,11 +112,27 @@ def with_key(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", *text_key(F.col("text")), "text", *more)
 
 
-def left_on_key(docs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Left join by document; facts has one row for a document at most. A null doc_id equals itself."""
-    facts = facts.withColumnsRenamed({"doc_id": "_id", "_k1": "_f1", "_k2": "_f2"})
-    on = docs["doc_id"].eqNullSafe(facts["_id"]) & (docs["_k1"] == facts["_f1"]) & (docs["_k2"] == facts["_f2"])
-    return docs.join(facts, on, "left").drop("_id", "_f1", "_f2")
+def fresh(df: DataFrame, n: int) -> list[str]:
+    """n names that no column of df has."""
+    used = {c.lower() for c in df.columns}
+    found, i = [], 0
+    while len(found) < n:
+        if (name := f"_own{i}") not in used:
+            found.append(name)
+        i += 1
+    return found
+
+
+def attach(docs: DataFrame, facts: DataFrame, how: str = "left") -> DataFrame:
+    """docs with the columns of facts (KEY and new ones, one row for a document at most) in place of such ones.
+
+    A null doc_id equals itself, and so does a null text. docs may have columns of any name.
+    """
+    docs = docs.drop(*[c for c in facts.columns if c not in KEY])
+    names = fresh(docs, 3)
+    facts = facts.withColumnsRenamed(dict(zip(KEY, names, strict=True)))
+    same = [(a == F.col(b)) for a, b in zip(text_key(F.col("text")), names[1:], strict=True)]
+    return docs.join(facts, F.col("doc_id").eqNullSafe(F.col(names[0])) & same[0] & same[1], how).drop(*names)
 
 
 KEY = ["doc_id", "_k1", "_k2"]

@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import KEY, WORD, WORD_ANY_CASE, ascii_lower, left_on_key, let, table, with_key, written
+from tessera.llm.common import KEY, attach, let, n_words, small, table, with_key, words, written
 
 #: Words of a shared span that is surely found, and of a fingerprint: the smallest of SPAN - GRAM + 1 hashes is kept.
 SPAN, GRAM = 10, 5
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-
-
 def _count_up(last: Column) -> Column:
     """1 to last; empty if last is less."""
     return F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
@@ -24,7 +20,7 @@ def gram_hashes(tokens: Column, gram: int) -> Column:
     """The hash of every run of gram words, in order."""
     return let(
         F.transform(tokens, lambda w: F.xxhash64(w)),
-        lambda h: F.transform(_count_up(F.size(h) - (gram - 1)), lambda i: F.xxhash64(F.slice(h, i, gram))),
+        lambda h: F.transform(_count_up(F.size(h) - (gram - 1)), lambda i: F.xxhash64(*[F.element_at(h, i + k) for k in range(gram)])),
     )
 
 
@@ -37,7 +33,7 @@ def winnowed(tokens: Column, span: int, gram: int) -> Column:
     return let(
         hashes,
         lambda g: F.array_distinct(
-            F.transform(_count_up(F.size(g) - (window - 1)), lambda i: F.array_min(F.slice(g, i, window)))
+            F.transform(_count_up(F.size(g) - (window - 1)), lambda i: F.least(*[F.element_at(g, i + k) for k in range(window)]))
         ),
     )
 
@@ -61,10 +57,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     items = items.distinct()
     # At most span numbers, whatever the benchmark's size.
     lengths = sorted(r[0] for r in items.select(F.least(F.size("_iw"), F.lit(span)).alias("n")).distinct().collect())
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("_k1"), F.xxhash64(F.lit(7), "text").alias("_k2"), *[c for c in docs.columns if c != "doc_id"])
-    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long")
+    counted = docs.withColumn("n_words", n_words(F.col("text")))
     if not lengths:
-        return docs.withColumns({"n_words": n_words, "n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "starts": F.array().cast("array<struct<at:int,length:int>>")})
+        return counted.withColumns({"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "starts": F.array().cast("array<struct<at:int,length:int>>")})
     grams = {m: (gram if m == span else m) for m in lengths}
 
     def prints(tokens: Column) -> Column:
@@ -104,9 +99,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
 
         return F.flatten(F.array(*[of(m) for m in lengths]))
 
-    found = with_key(docs).dropDuplicates(KEY)
-    hits = hits.withColumnsRenamed({"doc_id": "_id", "_k1": "_f1", "_k2": "_f2"})
-    found = found.join(hits, found["doc_id"].eqNullSafe(hits["_id"]) & (found["_k1"] == hits["_f1"]) & (found["_k2"] == hits["_f2"]))
+    # Few documents have hits: they are found before their texts go anywhere.
+    few = attach(docs.select("doc_id", "text"), small(hits.select(*KEY)), "inner")
+    found = attach(with_key(few).dropDuplicates(KEY), hits, "inner")
     found = found.select(*KEY, F.inline(let(words(F.col("text")), lambda w: places(w, F.col("_hits")))))
     marks = item_prints.groupBy("item_id", "_iw").agg(F.collect_set(F.struct("m", "h")).alias("_hits"))
     marks = marks.select("item_id", F.inline(places(F.col("_iw"), F.col("_hits")))).withColumnsRenamed({"at": "_q", "near": "_inear"})
@@ -125,7 +120,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
     )
     facts = written(facts.withColumn("n_hit", covered(F.col("starts"))), "contaminated")
-    out = left_on_key(keyed.withColumn("n_words", n_words), facts)
+    out = attach(counted, facts)
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         *docs.columns, "n_words",

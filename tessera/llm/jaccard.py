@@ -8,30 +8,22 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import KEY, partitions, table, text_key, written
+from tessera.llm.common import KEY, partitions, small, table, text_key, written
 from tessera.llm.components import components
 from tessera.llm.shingles import mix, shingle_sets
 
 #: Buckets of the counts that order shingles, rarest first; their table has this size whatever the input. A slice of it
 #: is summed at a time.
 BUCKETS, SLICE = 1 << 22, 1 << 16
-#: Bytes up to which a side is broadcast, by its counted rows; beyond, the join shuffles.
-BROADCAST_BYTES = 8 << 20
 #: Sets that a chunk of the first linking pass holds.
 CHUNK = 256
 #: Sets of a block, and shingles of all of them together, on average at most. A tile is two blocks, or one with itself.
 BANDED, WEIGHT = 100, 1 << 17
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, a written table of columns of 8 bytes, broadcast if it is small."""
-    most = BROADCAST_BYTES // (8 * (len(df.columns) + 1))
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def _counts(words: int):
     """(salt, slice, counts): how often each bucket occurs in a task's texts, compressed."""
 
@@ -94,6 +86,23 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def posted_length(n: int, percent: int) -> int:
+    """First shingles that are posted: half as many again, so that similar sets share several; see shared_least()."""
+    p = prefix_length(n, percent)
+    return min(n, p + (p + 1) // 2)
+
+
+def shared_least(n: str, percent: int) -> Column:
+    """How many posted shingles a set of n, a column, shares at least with any similar set.
+
+    Where the posted shingles of the smaller set's order end first, all but n - ceil(percent n) of them are posted by the other
+    too; a similar set has ceil(percent n) shingles at least, and what is so shared doesn't fall with n.
+    """
+    m = f"(({percent} * {n} + 99) div 100)"
+    p = f"({m} - ({percent} * {m} + 99) div 100 + 1)"
+    return F.expr(f"least({m}, {p} + ({p} + 1) div 2) - {p} + 1")
+
+
 _SEEDS = [np.uint64(x) for x in (0x1234567, 0x89ABCDEF1, 0xFEDCBA987, 0x13579BDF3)]
 
 
@@ -111,7 +120,7 @@ def _describe(words: int, percent: int, counts: np.ndarray):
                     cls.append(xxhash.xxh3_128_digest(s.tobytes()))
                     least.append([int(mix(s ^ seed).min().view(np.int64)) for seed in _SEEDS] if len(s) else [])
                     order = np.lexsort((s, counts[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))
-                    prefix.append(s[order[: prefix_length(len(s), percent)]].view(np.int64) if len(s) else [])
+                    prefix.append(s[order[: posted_length(len(s), percent)]].view(np.int64) if len(s) else [])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))],
                     names,
@@ -233,7 +242,7 @@ class Join:
     def shingles(self, nodes: DataFrame) -> DataFrame:
         """(node, shingles) of the nodes: their sorted sets, read from their texts again."""
         words = self.words
-        texts = self.docs.join(_small(nodes), self.docs["doc_id"] == nodes["node"]).select("node", "text")
+        texts = self.docs.join(small(nodes), self.docs["doc_id"] == nodes["node"]).select("node", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -249,11 +258,12 @@ class Join:
         sets = self.describe()
         classes = written(sets.groupBy("class").agg(F.min("doc_id").alias("node")), "classes")
         nodes = sets.where("n > 0").join(classes, "class").where("doc_id = node")
-        # Prefix shingles of one node alone take part in no pair. Ranges of (key, node): a very common key has several.
+        # Posted shingles of one node alone take part in no pair. Ranges of (key, node): a very common key has several.
         posted = nodes.select("node", "n", F.explode("prefix").alias("key")).repartitionByRange(self.n, "key", "node").sortWithinPartitions("key", "node")
         shared = written(posted.mapInArrow(_shared_keys, "node long, n long, key long"), "shared-keys")
-        members = written(shared.select("node").distinct(), "members")
-        few = written(nodes.select("node", "n", "least").join(_small(members), "node", "left_semi"), "nodes")
+        counted = shared.groupBy("node", "n").agg(F.count(F.lit(1)).alias("m"))
+        members = written(counted.where(F.col("m") >= shared_least("n", percent)).select("node"), "members")
+        few = written(nodes.select("node", "n", "least").join(small(members), "node", "left_semi"), "nodes")
         shingles = written(self.shingles(members), "shingles")
 
         # First, links between neighbours in order of size, among nodes of the same least hash.
@@ -267,7 +277,7 @@ class Join:
                 many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
             rows = rows.join(many, "key").withColumn("chunk", F.pmod(F.xxhash64(F.lit(k), "node"), F.ceil(F.col("m") / CHUNK)).cast("int"))
             rows = written(rows.select("node", "n", "key", "chunk"), "neighbours")
-            ordered = shingles.join(_small(rows), "node").select("key", "chunk", "n", "node", "shingles")
+            ordered = shingles.join(small(rows), "node").select("key", "chunk", "n", "node", "shingles")
             ordered = ordered.repartition(self.n, "key", "chunk").sortWithinPartitions("key", "chunk", "n", "node")
             found = written(ordered.mapInArrow(_neighbours(percent), "a long, b long"), "links")
             links = found if links is None else links.unionByName(found)
@@ -315,8 +325,12 @@ class Join:
         percent = self.percent
         known = few.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
         rows = shared.select("key", "node").join(known, "node")
-        mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
-        rows = written(rows.join(mixed.select("key", "m"), "key"), "mixed-keys")
+        for _ in range(3):  # what leaves in one round may leave other keys with one component
+            mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
+            rows = written(rows.select("key", "node", "n", "component").join(mixed.select("key", "m"), "key"), "mixed-keys")
+            enough = rows.groupBy("node", "n").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= shared_least("n", percent))
+            rows = rows.join(enough.select("node"), "node", "left_semi")
+        rows = written(rows, "mixed-nodes")
         homes = self.blocks(rows)
 
         def summed(df: DataFrame, *by: str) -> DataFrame:
@@ -326,19 +340,21 @@ class Join:
             a, b = (df.select(F.col(by).alias(f"{x}_by"), *[F.col(c).alias(f"{x}_{c}") for c in ("block", "n0", "n1", "c0", "c1")]) for x in "ab")
             apart = F.expr("least(a_c0, b_c0) < greatest(a_c1, b_c1)")
             near = F.expr(f"100 * a_n1 >= {percent} * b_n0 AND 100 * b_n1 >= {percent} * a_n0")
-            return a.join(b, F.expr(f"a_by = b_by AND {order}") & apart & near).select(F.col("a_block").alias("a"), F.col("b_block").alias("b"))
+            return a.join(b, F.expr(f"a_by = b_by AND {order}") & apart & near).select(F.col("a_block").alias("a"), F.col("b_block").alias("b"), F.least("a_n0", "b_n0").alias("n"))
 
         inside = summed(homes, "block").withColumn("cluster", F.col("block.cluster"))
         across = summed(rows.select("key", "node").join(homes, "node"), "key", "block")
         several = across.groupBy("key").agg(F.min("block.cluster").alias("lo"), F.max("block.cluster").alias("hi")).where("lo < hi").select("key")
         across = written(across.join(several, "key"), "key-blocks")
-        tiles = paired(inside, "cluster", "a_block <= b_block").unionByName(paired(across, "key", "a_block.cluster < b_block.cluster").distinct())
+        # Similar nodes share several keys, and so do their blocks.
+        met = paired(across, "key", "a_block.cluster < b_block.cluster").groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("n"))
+        tiles = paired(inside, "cluster", "a_block <= b_block").drop("n").unionByName(met.where(F.col("m") >= shared_least("n", percent)).drop("m", "n"))
         tiles = written(tiles.withColumn("tile", F.monotonically_increasing_id()), "tiles")
         ends = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("block")))).otherwise(
             F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("block")), F.struct(F.lit(1).alias("side"), F.col("b").alias("block")))
         )
         dealt = written(tiles.select("tile", F.inline(ends)).join(homes, "block").select("tile", "side", "n", "node", "component"), "tile-nodes")
-        full = shingles.join(_small(dealt), "node").select("tile", "side", "n", "node", "component", "shingles")
+        full = shingles.join(small(dealt), "node").select("tile", "side", "n", "node", "component", "shingles")
         full = full.repartition(self.n, "tile").sortWithinPartitions("tile", "side", "n", "node")
         return full.mapInArrow(_tiles(percent), "a long, b long")
 
@@ -397,7 +413,7 @@ def _of_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     rows = written(docs.select("doc_id", *text_key(F.col("text")), "text").withColumn("row", F.monotonically_increasing_id()), "rows")
     keys = written(rows.groupBy(*KEY).agg(F.min("row").alias("first")), "keys")
     more = rows.join(keys, KEY).where("row > first").select("row")
-    distinct = written(rows.join(_small(written(more, "repeats")), "row", "left_anti").select(F.col("row").alias("doc_id"), "text"), "distinct")
+    distinct = written(rows.join(small(written(more, "repeats")), "row", "left_anti").select(F.col("row").alias("doc_id"), "text"), "distinct")
     found = written(Join(distinct, words, percent).run().toDF("first", "n_shingles", "component"), "found").join(keys, "first")
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     result = found.join(least, "component").select(*KEY, "n_shingles", "component_id")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import KEY, WORD, WORD_ANY_CASE, ascii_lower, left_on_key, let, table, with_key, written
+from tessera.llm.common import KEY, attach, let, spaced, split_words, table, text_key, written
 
 # The phrases of the contract and their labels.
 PHRASES = {
@@ -30,64 +30,84 @@ TEMPLATES = {
 THRESHOLD = 0.8
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
+NO_PLACES = "array<struct<at:int,label:string>>"
 
 
-def phrase_places(docs: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFrame:
-    """Adds n_words long and places array<struct<at, label>>, in order: where a phrase's words stand consecutively.
+def phrase_places(words: Column, phrases: dict[str, str] = PHRASES) -> Column:
+    """array<struct<at, label>>, in order: where a phrase's words stand consecutively."""
+
+    def of(phrase: str, label: str) -> Column:
+        parts = phrase.split()
+        last = F.size(words) - (len(parts) - 1)
+        at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        hits = F.filter(at, lambda i: F.forall(F.array(*map(F.lit, range(len(parts)))), lambda k: F.element_at(words, i + k) == F.get(F.array(*map(F.lit, parts)), k)))
+        return F.transform(hits, lambda i: F.struct((i - 1).alias("at"), F.lit(label).alias("label")))
+
+    return F.array_sort(F.flatten(F.array(*[of(*x) for x in phrases.items()])))
 
-    Only texts in which a phrase can stand are cut into words. A null text has no words.
-    """
-    gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    maybe = "(?i)" + "|".join(gap.join(p.split()) for p in phrases)
-    text = F.coalesce(F.col("text"), F.lit(""))
-
-    def places(words: Column) -> Column:
-        def of(phrase: str, label: str) -> Column:
-            parts = phrase.split()
-            last = F.size(words) - (len(parts) - 1)
-            at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-            first = F.filter(at, lambda i: F.element_at(words, i) == parts[0])
-            hits = F.filter(first, lambda i: F.slice(words, i, len(parts)) == F.array(*map(F.lit, parts)))
-            return F.transform(hits, lambda i: F.struct((i - 1).alias("at"), F.lit(label).alias("label")))
-
-        return F.array_sort(F.flatten(F.array(*[of(*x) for x in phrases.items()])))
-
-    none = F.array().cast("array<struct<at:int,label:string>>")
-    return docs.withColumns(
-        {
-            "n_words": F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long"),
-            "places": F.when(text.rlike(maybe), let(_words(text), places)).otherwise(none),
-        }
-    )
 
+def _sets(templates: dict[str, str]) -> dict[str, list[str]]:
+    return {name: sorted(set(text.split())) for name, text in templates.items()}
 
-def template_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, _k1, _k2, block int (line, from 0), template string, containment double.
+
+def _need(n: int, threshold: float) -> int:
+    return math.ceil(threshold * n - 1e-9)
+
+
+def scanned(docs: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    """A written table of a row for each row of docs: KEY, n_words, places, vocabulary and lines array<struct<block, tokens>>.
+
+    The only pass over the texts, which are cut into words once. vocabulary has the words of any template that stand in
+    the text. Lines come of those texts alone that have enough words of one template (the length filter, by documents),
+    and with enough words of any (the same, by lines).
+    """
+    sets = _sets(templates)
+    known = F.array(*[F.lit(w) for w in sorted({w for s in sets.values() for w in s})])
+    least = min(_need(len(s), threshold) for s in sets.values())
+    text = spaced(F.coalesce("text", F.lit("")), keep="\n")
+    # A phrase may stand where its longest words do; then the words are compared.
+    longest = sorted({max(p.split(), key=len) for p in PHRASES})
+
+    def facts(text: Column) -> Column:
+        def of(words: Column) -> Column:
+            maybe = F.array_contains(words, longest[0])
+            for word in longest[1:]:
+                maybe = maybe | F.array_contains(words, word)
+            return F.struct(
+                F.size(words).cast("long").alias("n_words"),
+                F.when(maybe, phrase_places(words)).otherwise(F.array().cast(NO_PLACES)).alias("places"),
+                F.array_intersect(known, words).alias("vocabulary"),
+                text.alias("text"),
+            )
+
+        return let(split_words(F.translate(text, "\n", " ")), of)
+
+    rows = docs.select("doc_id", *text_key(F.col("text")), let(text, facts).alias("facts"))
+    rows = rows.select(*KEY, "facts.*")
+    plausible = F.lit(False)
+    for words in sets.values():
+        plausible = plausible | (F.size(F.array_intersect("vocabulary", F.array(*map(F.lit, words)))) >= _need(len(words), threshold))
+    lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("block"), F.array_intersect(known, split_words(line)).alias("tokens")))
+    lines = F.when(plausible, F.filter(lines, lambda x: F.size(x["tokens"]) >= least))
+    return written(rows.select(*KEY, "n_words", "places", "vocabulary", F.coalesce(lines, F.array().cast("array<struct<block:int,tokens:array<string>>>")).alias("lines")), "scanned")
+
+
+def template_matches(scan: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    """doc_id, _k1, _k2, blocks array<struct<block, template, containment>> of what scanned() gives.
 
     A block is a line; it meets a template if it holds at least threshold of the template's distinct words. Every such
-    pair is found: words are ordered by the number of blocks in the whole corpus that have them, rarest first; a block
+    pair is found: words are ordered by the number of documents of the whole corpus that have them, rarest first; a block
     that meets a template has one of the template's first n - ceil(threshold n) + 1 words (prefix filter) and ceil(threshold
     n) words at least (length filter), and no more common words can follow than both have left (positional filter).
-    Copies of one document (equal doc_id and text, nulls included) give equal rows. Null and empty texts have no block
-    with words.
     """
-    spark = docs.sparkSession
-    sets = {name: sorted(set(text.split())) for name, text in templates.items()}
-    vocabulary = F.array(*[F.lit(w) for w in sorted({w for s in sets.values() for w in s})])
-    blocks = with_key(docs).select(*KEY, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block", "line"))
-    least = min(math.ceil(threshold * len(s)) for s in sets.values())
-    # A block without enough words of any template meets none, whatever the order: the length filter comes first.
-    tokens = blocks.select(*KEY, "block", F.array_intersect(_words(F.col("line")), vocabulary).alias("tokens"))
-    counted = written(tokens.where(F.size("tokens") >= least), "blocks")
-    frequency = counted.select(F.explode("tokens").alias("token")).groupBy("token").count()
+    sets = _sets(templates)
+    frequency = scan.select(F.explode("vocabulary").alias("token")).groupBy("token").count()
     # One row for each word of the templates.
     rank = {r["token"]: (r["count"], r["token"]) for r in frequency.collect()}
     rows = []
     for name, words in sets.items():
         ordered = sorted(words, key=lambda w: rank.get(w, (0, w)))
-        need = math.ceil(threshold * len(words) - 1e-9)
+        need = _need(len(words), threshold)
         for at, word in enumerate(ordered[: len(words) - need + 1]):
             rows.append((word, name, at, len(words), need, ordered))
     # The templates are parameters of the call: the prefix index is as small as they are.
@@ -95,35 +115,40 @@ def template_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thr
         F.struct(F.lit(w).alias("token"), F.lit(n).alias("template"), F.lit(at).alias("at"), F.lit(size).alias("size"), F.lit(need).alias("need"), F.array(*map(F.lit, o)).alias("words"))
         for w, n, at, size, need, o in rows
     ])
-    prefix = spark.range(1).select(F.inline(index))
-    prefixes = sorted({row[0] for row in rows})
-    have = counted.select(*KEY, "block", "tokens", F.explode(F.array_intersect("tokens", F.array(*map(F.lit, prefixes)))).alias("token"))
+    prefix = scan.sparkSession.range(1).select(F.inline(index))
+    prefixes = F.array(*map(F.lit, sorted({row[0] for row in rows})))
+    blocks = scan.where(F.size("lines") > 0).select(*KEY, F.inline("lines"))
+    have = blocks.select(*KEY, "block", "tokens", F.explode(F.array_intersect("tokens", prefixes)).alias("token"))
     pairs = have.join(F.broadcast(prefix), "token").where(F.size("tokens") >= F.col("need"))
     # The first common word in the global order stands at `at` of the template, so all before it are missing.
     first = F.array_position(F.transform("words", lambda w: F.array_contains("tokens", w)), True) - 1
     pairs = pairs.where((F.col("at") == first) & (F.col("size") - F.col("at") >= F.col("need")))
     common = F.size(F.array_intersect("tokens", "words"))
-    return pairs.where(common >= F.col("need")).select(*KEY, "block", "template", (common / F.col("size")).alias("containment"))
+    met = pairs.where(common >= F.col("need")).select(*KEY, "block", "template", (common / F.col("size")).alias("containment"))
+    # Copies of one document give equal rows.
+    return met.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("block", "template", "containment"))).alias("blocks"))
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
-    """Every row of docs with n_words, places, blocks array<struct<block, template, containment>>; see the two above."""
-    docs = docs.drop("n_words", "places", "blocks")
-    matches = template_matches(docs).distinct().groupBy(*KEY).agg(
-        F.array_sort(F.collect_list(F.struct("block", "template", "containment"))).alias("blocks")
-    )
-    keyed = phrase_places(docs).withColumns(dict(zip(KEY[1:], [F.xxhash64("text"), F.xxhash64(F.lit(7), "text")], strict=True)))
-    empty = F.array().cast("array<struct<block:int,template:string,containment:double>>")
-    return left_on_key(keyed, matches).withColumn("blocks", F.coalesce("blocks", empty)).drop(*KEY[1:])
+NO_BLOCKS = "array<struct<block:int,template:string,containment:double>>"
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """Every row of docs with n_words long, places and blocks, in place of such columns.
+
+    places: where the phrases' words stand consecutively, words from 0; blocks: the lines that meet a template, see
+    template_matches(). A null or empty text has no word, place or block; rows of equal doc_id and text (nulls included)
+    are copies of one document, each with the same result; an empty table gives none.
+    """
+    scan = scanned(docs.select("doc_id", "text"), templates, threshold)
+    facts = scan.select(*KEY, "n_words", "places").dropDuplicates(KEY)
+    blocks = template_matches(scan, templates, threshold)
+    return attach(attach(docs, facts), blocks).withColumn("blocks", F.coalesce("blocks", F.array().cast(NO_BLOCKS)))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    keyed = phrase_places(with_key(docs)).drop("text")
-    matches = template_matches(docs).distinct().groupBy(*KEY).agg(
-        F.array_sort(F.collect_list(F.struct("block", "template", "containment"))).alias("blocks")
-    )
-    out = left_on_key(keyed, matches)
+    scan = scanned(table(spark, sf_dir, "documents").select("doc_id", "text"), TEMPLATES, THRESHOLD)
+    matches = template_matches(scan, TEMPLATES, THRESHOLD).withColumnsRenamed({"doc_id": "id", "_k1": "k1", "_k2": "k2"})
+    out = scan.join(matches, F.expr("doc_id <=> id AND _k1 = k1 AND _k2 = k2"), "left")
     base = F.array_distinct(F.transform("places", lambda p: p["label"]))
     own = F.coalesce(F.transform("blocks", lambda b: b["template"]), F.array().cast("array<string>"))
     best = F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0))

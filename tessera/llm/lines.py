@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.llm.common import KEY, SPACE, compact, left_on_key, partitions, table, with_key, written
+from tessera.llm.common import KEY, SPACE, attach, compact, fresh, partitions, table, with_key, written
 
 _STRIP = SPACE.encode()
 DROP, PENDING, COUNT, FIRST = 0, 1, 2, 3
@@ -203,9 +203,9 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 1, min_docs: int = 10, keep_f
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Every row of docs with its text reduced to the lines that stay, and n_lines, n_dropped long (in place of such columns)."""
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    keyed = docs.select(*columns, F.xxhash64("text").alias("_k1"), F.xxhash64(F.lit(7), "text").alias("_k2"))
-    joined = left_on_key(keyed, bitmaps.withColumnRenamed("bitmap", "_bitmap")).select(*columns, "_bitmap")
+    docs = docs.drop("n_lines", "n_dropped")
+    columns = docs.columns
+    joined = attach(docs, bitmaps.withColumnRenamed("bitmap", fresh(docs, 4)[3]))
     schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at = columns.index("text")
 
