@@ -1,8 +1,12 @@
-"""Sharding by fixed virtual slots: records hash into slots, and a versioned map, edited when rebalancing, puts slots on shards."""
+"""Sharding by fixed virtual slots: records hash into slots, and a versioned map, edited when rebalancing, puts slots on shards.
+
+A slot that holds far more than others, as where one record stands on many rows, is split into further slots.
+"""
 
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,9 +18,36 @@ from tessera.llm.common import new_path, table, written
 N_SLOTS = 8192
 
 
-def with_virtual_slot(df: DataFrame, key: str = "doc_id", n_slots: int = N_SLOTS, name: str = "virtual_slot") -> DataFrame:
-    """Adds the slot that the record's key hashes to; a null key has one too."""
-    return df.withColumn(name, F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(n_slots)).cast("int"))
+#: Times the mean of slots beyond which one is split.
+HOT = 4
+
+
+def with_virtual_slot(df: DataFrame, *keys: str, n_slots: int = N_SLOTS, name: str = "virtual_slot") -> DataFrame:
+    """Adds the slot that the record's keys hash to; null keys have one too."""
+    return df.withColumn(name, F.pmod(F.xxhash64(F.lit("slot"), *keys), F.lit(n_slots)).cast("int"))
+
+
+def hot_slots(loads: dict[int, tuple[int, int]], n_slots: int) -> list[tuple[int, int, int]]:
+    """(slot, first of its further slots, how many) of slots with over HOT times the mean of bytes or rows, and over one row."""
+    mean = [sum(x[i] for x in loads.values()) / n_slots for i in (0, 1)]
+    found, following = [], n_slots
+    for slot, load in sorted(loads.items()):
+        ratio = max(load[0] / mean[0], load[1] / mean[1])
+        parts = min(math.ceil(ratio), load[1])
+        if ratio > HOT and parts > 1:
+            found.append((slot, following, parts))
+            following += parts
+    return found
+
+
+def split_hot(df: DataFrame, hot: list[tuple[int, int, int]], row: str) -> DataFrame:
+    """df with the rows of hot slots dealt to their further slots by a number that each row has."""
+    if not hot:
+        return df
+    # No more rows than there are slots.
+    more = df.sparkSession.createDataFrame(hot, "virtual_slot int, _from int, _parts int")
+    dealt = F.col("_from") + F.pmod(F.xxhash64(F.lit("split"), row), F.col("_parts")).cast("int")
+    return df.join(F.broadcast(more), "virtual_slot", "left").withColumn("virtual_slot", F.coalesce(dealt, "virtual_slot")).drop("_from", "_parts")
 
 
 def slot_loads(df: DataFrame, size: str = "size", slot: str = "virtual_slot") -> dict[int, tuple[int, int]]:
@@ -151,9 +182,11 @@ def assign(df: DataFrame, slot_map: DataFrame, loads: dict[int, tuple[int, int]]
 def shard_documents(docs: DataFrame, n_shards: int, n_slots: int = N_SLOTS, store: SlotMapStore | None = None) -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot, shard, slot: documents over n_shards of near equal bytes.
 
-    size is the text's UTF-8 bytes plus 8; a null text has none. A null doc_id hashes like any other key. Rows of the
-    same doc_id share a virtual slot. Version 0 of the map deals slots out in turn, version 1 is edited for the bytes
-    counted; both are in the store. Other columns play no part.
+    size is the text's UTF-8 bytes plus 8; a null text has none. Records hash into slots by doc_id and the text's CRC, so
+    that a null or repeated doc_id spreads; equal texts of differing doc_ids aren't kept together, as a group of copies may
+    be larger than a shard. Rows alike in both, where they are many, are dealt out to further slots by their place in the
+    table. Version 0 of the map deals slots out in turn, version 1 is edited for the bytes counted; both are in the store.
+    slot counts a shard's rows, without gaps. Other columns play no part; an empty table gives no row.
     """
     spark = docs.sparkSession
     store = store or SlotMapStore(spark, new_path(spark, "slotmap"))
@@ -161,13 +194,17 @@ def shard_documents(docs: DataFrame, n_shards: int, n_slots: int = N_SLOTS, stor
     slim = docs.select(
         "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32")
     )
-    slim = written(with_virtual_slot(slim, n_slots=n_slots), "sizes")
+    slim = with_virtual_slot(slim, "doc_id", "text_crc32", n_slots=n_slots).withColumn("row", F.monotonically_increasing_id())
+    slim = written(slim, "sizes")
     loads = slot_loads(slim)
-    initial = SlotMap.uniform(n_shards, n_slots)
+    if hot := hot_slots(loads, n_slots):
+        slim = split_hot(slim, hot, "row")
+        loads = slot_loads(slim)
+    initial = SlotMap.uniform(n_shards, n_slots + sum(parts for _, _, parts in hot))
     store.save(initial)
     edited = initial.rebalanced({slot: size for slot, (size, _) in loads.items()})
     store.save(edited)
-    return assign(slim, store.load(edited.version), loads, edited.shard_of, ["doc_id", "text_crc32", "size"])
+    return assign(slim, store.load(edited.version), loads, edited.shard_of, ["doc_id", "text_crc32", "row"]).drop("row")
 
 
 def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Toxicity: a sparse logistic model over words and word beginnings, regularised by counterfactual swaps of identity terms."""
+"""Toxicity: a sparse logistic model over words and word beginnings, regularised by counterfactual swaps of identity terms.
+
+In a labelled sentence an identity term is swapped for each other term of its group, and the change of the score that
+this makes is penalised. Terms that no labelled sentence has get a generated sentence for each pair: in a linear model
+the words around a term cancel out of the change.
+"""
 
 from __future__ import annotations
 
@@ -9,13 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import WORD, table
+from tessera.llm.common import WORD, table, written
 
 BUCKETS = 1 << 22
 #: Lengths of word beginnings that are features beside the word itself.
@@ -24,7 +28,9 @@ BEGINNINGS = (4, 5, 6, 7)
 MAX_TRAINING_ROWS = 12_000
 #: Words whose features a worker remembers; beyond that many it starts anew.
 REMEMBERED = 300_000
-# Identity terms; those of one line take each other's place.
+#: Weight of the penalty on the changes that swaps make.
+COUNTERFACTUAL = 1.0
+# Identity terms; those of one line take each other's place. English, German, French, Spanish.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -34,6 +40,21 @@ IDENTITY_TERMS = (
     ("gay", "straight", "lesbian", "bisexual", "transgender", "queer"),
     ("immigrants", "refugees", "citizens", "foreigners"),
     ("old", "young", "disabled", "deaf", "blind"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "araber", "afrikaner", "europäer"),
+    ("schwule", "lesben", "heterosexuelle", "bisexuelle", "transgender"),
+    ("einwanderer", "flüchtlinge", "bürger", "ausländer"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains", "européens"),
+    ("gays", "lesbiennes", "hétérosexuels", "bisexuels", "transgenres"),
+    ("immigrés", "réfugiés", "citoyens", "étrangers"),
+    ("mujeres", "hombres", "chicas", "chicos"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "árabes", "africanos", "europeos"),
+    ("gays", "lesbianas", "heterosexuales", "bisexuales", "transgénero"),
+    ("inmigrantes", "refugiados", "ciudadanos", "extranjeros"),
 )
 
 _find = re.compile(WORD).findall
@@ -45,6 +66,7 @@ def words_of(text: str | None) -> set[str]:
 
 
 _FOLD = {c: c + 32 for c in range(65, 91)}
+_sentences = re.compile(r"[.!?\n]+").split
 
 
 def features_of(word: str) -> list[int]:
@@ -68,47 +90,68 @@ def _sigmoid(z):
 
 
 def counterfactuals(words: set[str], groups=IDENTITY_TERMS) -> list[tuple[str, str]]:
-    """(term, other term) for each identity term among the words and each term that may stand in its place."""
+    """(term, other term) for each identity term among a sentence's words and each term that may stand in its place."""
     return [(t, o) for group in groups for t in group if t in words for o in group if o != t]
 
 
-def _csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+class Rows:
+    """Sums over a sparse 0/1 matrix, sorted by row."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, n: int):
+        self.col = col
+        self.n = n
+        self.full, self.first = np.unique(row, return_index=True)
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """For each row the sum of x over its columns."""
+        out = np.zeros(self.n)
+        if len(self.full):
+            out[self.full] = np.add.reduceat(x[self.col], self.first)
+        return out
 
 
 def fit(
-    documents: list[np.ndarray], labels: np.ndarray, swaps: Counter[tuple[str, str]], l1: float = 1e-4, counterfactual: float = 1.0, steps: int = 300, min_documents: int = 4
+    documents: list[np.ndarray], labels: np.ndarray, swaps: dict[tuple[str, str], int], l1: float = 1e-4, counterfactual: float | None = None, steps: int = 300, min_documents: int = 4
 ) -> Model:
     """Minimises mean logistic loss + l1 |w| + counterfactual x mean squared change of the logit under the swaps (FISTA).
 
     documents: the buckets of each labelled text. swaps: how often each (term, other term) pair stands in
-    labelled texts. Buckets of fewer than min_documents texts play no part, but for those of swapped terms.
+    labelled sentences; each pair counts once more, for its generated sentence. Buckets of fewer than min_documents texts
+    play no part, but for those of swapped terms. counterfactual: COUNTERFACTUAL if not given.
     """
+    counterfactual = COUNTERFACTUAL if counterfactual is None else counterfactual
     y = labels.astype(float)
     if not len(y):
         return Model(0.0, {})
-    flat, row = _csr(documents)
-    n = np.bincount(flat, minlength=BUCKETS)
-    toxic = np.bincount(flat, weights=y[row], minlength=BUCKETS)
+    n, toxic = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    for d, label in zip(documents, labels.tolist(), strict=True):  # a text's buckets are distinct
+        n[d] += 1
+        if label:
+            toxic[d] += 1
     # The gradient at w = 0 bounds what the penalty lets in at first; weakly tied buckets would stay at 0.
-    tie = np.abs(toxic - n * y.mean()) / len(y)
-    keep = (n >= min_documents) & (tie > l1 / 2)
+    keep = n >= min_documents
+    keep[keep] = np.abs(toxic[keep] - n[keep] * y.mean()) / len(y) > l1 / 2
     pairs = [(features_of(a), features_of(b)) for a, b in sorted(swaps)]
-    times = np.array([swaps[pair] for pair in sorted(swaps)], float)
+    times = np.array([1 + swaps[pair] for pair in sorted(swaps)], float)
     for a, b in pairs:
         keep[a] = keep[b] = True
-    ids = np.flatnonzero(keep)
-    column = np.full(BUCKETS, -1, np.int64)
+    ids = np.flatnonzero(keep).astype(np.int32)
+    kept = [np.searchsorted(ids, d[keep[d]]).astype(np.int32) for d in documents]
+    row = np.repeat(np.arange(len(kept), dtype=np.int32), [len(d) for d in kept])
+    col = np.concatenate(kept)
+    by_row = Rows(row, col, len(y))
+    order = np.argsort(col, kind="stable").astype(np.int32)
+    by_col = Rows(col[order], row[order], len(ids))
+    column = np.zeros(BUCKETS, np.int32)
     column[ids] = np.arange(len(ids))
-    col = column[flat]
-    row, col = row[col >= 0], col[col >= 0]
     swap_row = np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in pairs])
     swap_col = column[np.array([x for a, b in pairs for x in (*a, *b)], np.int64)]
     swap_sign = np.array([s for a, b in pairs for s in (*[1.0] * len(a), *[-1.0] * len(b))])
+    del column, n, toxic, keep
 
     def gradient(w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
-        off = _sigmoid(np.bincount(row, w[col], len(y)) + bias) - y
-        g = np.bincount(col, off[row], len(ids)) / len(y)
+        off = _sigmoid(by_row.sums(w) + bias) - y
+        g = by_col.sums(off) / len(y)
         if len(pairs):
             change = np.bincount(swap_row, w[swap_col] * swap_sign, len(pairs))
             g += 2 * counterfactual * np.bincount(swap_col, (times * change)[swap_row] * swap_sign, len(ids)) / times.sum()
@@ -116,7 +159,7 @@ def fit(
 
     # A step for each column after its own curvature bound; the bound holds as each row's sum is bounded by its length.
     length = np.bincount(row, minlength=len(y)) + 1.0
-    bound = 0.25 * np.bincount(col, length[row], len(ids)) / len(y) + 1e-9
+    bound = 0.25 * by_col.sums(length) / len(y) + 1e-9
     if len(pairs):
         bound += 2 * counterfactual * np.bincount(swap_col, (times * np.bincount(swap_row, minlength=len(pairs)))[swap_row], len(ids)) / times.sum()
     bias_bound = 0.25 * length.mean()
@@ -132,36 +175,75 @@ def fit(
         t, last = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         z, bias_z = new + (last - 1) / t * (new - w), new_bias + (last - 1) / t * (new_bias - bias)
         w, bias = new, new_bias
-    return Model(bias, {int(ids[k]): float(w[k]) for k in np.flatnonzero(w)})
+    return Model(float(bias), {int(ids[k]): float(w[k]) for k in np.flatnonzero(w)})
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _buckets(text: str | None) -> np.ndarray:
+    return np.unique(np.array([b for w in words_of(text) for b in features_of(w)], np.int32))
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, n): in how many of a batch's texts."""
     for batch in batches:
-        buckets, swaps = [], []
-        for text in batch.column(1).to_pylist():
-            words = words_of(text)
-            buckets.append(sorted({b for w in words for b in features_of(w)}))
-            swaps.append([f"{a} {b}" for a, b in counterfactuals(words)])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(buckets, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.string()))], ["label", "buckets", "swaps"]
-        )
+        found = [_buckets(t) for t in batch.column(1).to_pylist()]
+        bucket, n = np.unique(np.concatenate([np.zeros(0, np.int32), *found]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n)], ["bucket", "n"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, label: str = "toxic") -> Model:
-    """Fits a model on at most max_rows labelled texts: those whose hashed doc_id is smallest, whatever the order of rows.
+def _features(kept: np.ndarray, groups):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buckets, swaps = [], []
+            for text in batch.column(1).to_pylist():
+                b = _buckets(text)
+                buckets.append(b[kept[b]])
+                swaps.append([f"{a} {o}" for sentence in _sentences(text or "") for a, o in counterfactuals(words_of(sentence), groups)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(buckets, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.string()))], ["label", "buckets", "swaps"]
+            )
 
-    Rows with a null doc_id or label are left out; a null text is empty; of repeated rows each counts.
-    """
+    return run
+
+
+def sampled(docs: DataFrame, labels: DataFrame, max_rows: int, label: str) -> DataFrame:
+    """(label, text) of at most max_rows labelled rows: those first by hash of doc_id, doc_id, label and hash of the text."""
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     # max_rows rows at most: a broadcast of a bounded size.
-    sample = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text")
-    got = rows.mapInArrow(_features, "label int, buckets array<int>, swaps array<string>").toArrow()
-    buckets = got["buckets"].combine_chunks()
-    documents = [np.asarray(x.values) if x.values is not None else np.zeros(0, np.int32) for x in buckets]
-    counted = pc.value_counts(got["swaps"].combine_chunks().flatten())
-    swaps = Counter({tuple(x["values"].split(" ")): x["counts"] for x in counted.to_pylist()})
-    return fit(documents[:max_rows], np.asarray(got["label"])[:max_rows], swaps)
+    first = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
+    place = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "label", F.xxhash64("text").alias("k"))
+    rows = written(docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").select("label", "text", place.alias("place")), "labelled")
+    if rows.count() > max_rows:  # a doc_id stands on several rows
+        cut = rows.select("place").orderBy("place").limit(max_rows).agg(F.max("place").alias("place")).first()[0]
+        last = F.struct(*[F.lit(cut[c]).alias(c) for c in ("h", "doc_id", "label", "k")])
+        before = rows.where(F.col("place") < last)
+        # Rows of that place are alike.
+        rows = before.unionByName(rows.where(F.col("place") == last).limit(max_rows - before.count()))
+    return rows.select("label", "text")
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, label: str = "toxic", groups=IDENTITY_TERMS) -> Model:
+    """Fits a model on at most max_rows labelled texts, see sampled(), whatever the order of rows.
+
+    Rows with a null doc_id or label are left out; a null text is empty; of repeated rows each counts. groups: the
+    identity terms that take each other's place. Buckets are counted by the executors, and those of one text are left out
+    before anything comes to the driver.
+    """
+    rows = sampled(docs, labels, max_rows, label)
+    counted = rows.mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1")
+    # BUCKETS flags at most, of a bounded sample.
+    kept = np.zeros(BUCKETS, bool)
+    kept[np.asarray(counted.select("bucket").toArrow()["bucket"])] = True
+    for group in groups:
+        for term in group:
+            kept[features_of(term)] = True
+    got = rows.mapInArrow(_features(kept, groups), "label int, buckets array<int>, swaps array<string>").toArrow()
+    documents = [np.asarray(x.values) for part in got["buckets"].chunks for x in part]
+    swaps = Counter({(t, o): 0 for group in groups for t in group for o in group if o != t})
+    swaps.update(tuple(x.split(" ")) for part in got["swaps"].chunks for x in part.flatten().to_pylist())
+    label = np.asarray(got["label"])
+    # In an order of their own, so that sums round alike wherever the rows come from.
+    order = sorted(range(len(documents)), key=lambda i: (label[i], documents[i].tobytes()))
+    return fit([documents[i] for i in order], label[order], swaps)
 
 
 def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:

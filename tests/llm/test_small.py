@@ -274,3 +274,56 @@ def test_toxicity_counts_every_swap(spark, monkeypatch):
     toxicity.train(docs, docs.select("doc_id", "toxic"), max_rows=10)
     plain = [pair for _, t, _ in rows for pair in toxicity.counterfactuals(toxicity.words_of(t))]
     assert len(plain) > 20 * 10 and seen == [{pair: plain.count(pair) for pair in plain}]
+
+
+def test_counterfactuals_spare_neutral_mentions(spark, monkeypatch):
+    """A confounded group: in the labels, one group stands in toxic texts alone, and the slur is missing in many of them."""
+    rng = random.Random(8)
+
+    def sentence(words):
+        return " ".join([*(rng.choice(WORDS) for _ in range(10)), *words])
+
+    rows = [(i, sentence(["vile"] if rng.random() < 0.7 else []) + ". " + sentence(["refugees"]) + ".", 1) for i in range(200)]
+    rows += [(1000 + i, sentence(["citizens"]) if i % 4 == 0 else sentence([]), 0) for i in range(600)]
+    rows += [(5000 + i, sentence(["vile"]), 1) for i in range(200)]
+    neutral = [toxicity.words_of(sentence(["refugees"])) for _ in range(200)]
+    toxic = [toxicity.words_of(sentence(["vile"])) for _ in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    false, recall = {}, {}
+    for weight in (0.0, 30.0):
+        monkeypatch.setattr(toxicity, "COUNTERFACTUAL", weight)
+        model = toxicity.train(docs, docs.select("doc_id", "toxic"))
+        false[weight] = np.mean([model.score(w) >= 0.5 for w in neutral])
+        recall[weight] = np.mean([model.score(w) >= 0.5 for w in toxic])
+    assert false[0.0] > 0.9 and false[30.0] < 0.1 and recall[30.0] >= recall[0.0] - 0.01, (false, recall)
+
+
+def test_toxicity_scores_are_the_models(spark):
+    """The score of every row against the plain sum over its words, and a bounded sample with a repeated doc_id."""
+    rows = [(i, text(20) + (" vile" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(60)] + [(7, text(5), 0)] * 5 + [(70, None, 0), (71, "", 0), (None, "vile", 1), (72, "w1 " * 20000, 0)]
+    docs = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, toxic int, toxicity double")
+    model = toxicity.train(docs, docs.select("doc_id", "toxic").distinct())
+    got = sorted((r.doc_id or -1, round(r.toxicity, 9)) for r in toxicity.score(docs, model).collect())
+    assert got == sorted((d or -1, round(model.score(toxicity.words_of(t)), 9)) for d, t, _ in rows)
+    again = toxicity.train(docs.repartition(5), docs.select("doc_id", "toxic").distinct().repartition(3), max_rows=40)
+    assert again == toxicity.train(docs.repartition(2), docs.select("doc_id", "toxic").distinct(), max_rows=40)
+    some = docs.where("doc_id = 7")
+    assert toxicity.sampled(some, some.select("doc_id", "toxic").distinct(), 3, "toxic").count() == 3
+
+
+@pytest.mark.parametrize("case", ["null ids", "one record", "one id"])
+def test_shards_of_a_hot_key(spark, case):
+    third = {"null ids": lambda: (None, text(RNG.randint(1, 9))), "one record": lambda: (7, "the same"), "one id": lambda: (7, text(RNG.randint(1, 9)))}[case]
+    rows = [(i, text(RNG.randint(0, 9))) for i in range(4000)] + [third() for _ in range(2000)]
+    out = shards.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 8, 512).collect()
+    size = [sum(r.size for r in out if r.shard == s) for s in range(8)]
+    assert max(size) - min(size) <= 0.01 * sum(size) / 8, size
+    for s in range(8):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+    slots = {}
+    for r in out:
+        slots.setdefault(r.virtual_slot, []).append(r)
+    assert max(map(len, slots.values())) < 100
+    assert all(len({r.shard for r in s}) == 1 for s in slots.values())
+    plain = sorted((d or -1, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in rows)
+    assert sorted((r.doc_id or -1, r.size, r.text_crc32) for r in out) == plain
