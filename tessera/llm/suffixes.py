@@ -7,15 +7,14 @@ it is. Anchors whose gram stands in one document alone are left out before anyth
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,15 +25,17 @@ GRAM = 20
 #: The bits of a gram's hash that are compared; that two grams share them costs a little work, nothing else.
 HASH = ~np.uint64(0xFFFF)
 #: Bytes of text in a block of documents, which one task holds at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Blocks that a partition of the input can have.
+BLOCKS = 2048
 #: Bytes hashed at a time.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: A text of so many bytes goes in pieces of PIECE bytes: places in a longer one don't fit the 24 bits that anchors() has.
 LONG, PIECE = 1 << 24, 1 << 23
 #: Suffixes that the driver takes the ranges' bounds from.
 SAMPLE = 20_000
 #: Distinct surroundings of one gram that are compared in memory; more go through an exchange of single strings.
-GROUP = 200_000
+GROUP = 20_000
 
 _BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS = Powers()
@@ -80,23 +81,56 @@ def chunks(sizes: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
     return ((a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b)
 
 
+def _blocks(size: int):
+    """(block, doc_ids, k1, k2, texts) of rows (doc_id, _k1, _k2, text): neighbours of that many bytes in one row, texts compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() * BLOCKS
+        held: list[pa.RecordBatch] = []
+        used = seen = 0
+
+        def block() -> pa.RecordBatch:
+            docs = pa.Table.from_batches(held).combine_chunks()
+            texts = [x or b"" for x in docs.column(3).cast(pa.binary()).to_pylist()]
+            packed = pack(np.array([len(x) for x in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8))
+            ids = [pa.array([docs.column(i).to_pylist()], pa.list_(pa.int64())) for i in range(3)]
+            return pa.RecordBatch.from_arrays([pa.array([first + seen], pa.int32()), *ids, pa.array([packed], pa.binary())], ["block", "doc_ids", "k1", "k2", "texts"])
+
+        for batch in batches:
+            begin = 0
+            for i, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(batch.column(3)), 0).to_pylist()):
+                used += n + 64
+                if used >= size and seen < BLOCKS - 1:
+                    held.append(batch.slice(begin, i + 1 - begin))
+                    yield block()
+                    held, used, seen, begin = [], 0, seen + 1, i + 1
+            if begin < len(batch):
+                held.append(batch.slice(begin))
+        if held:
+            yield block()
+
+    return run
+
+
 class Block:
     """The documents of a block, in order of doc_id, but for later copies of equal texts."""
 
     def __init__(self, docs: pa.Table, later: set, length: int, bounds: tuple[int, int, int]):
-        docs = docs.sort_by([("doc_id", "ascending"), ("_k1", "ascending"), ("_k2", "ascending")])
-        keys = list(zip(*(docs[c].to_pylist() for c in ("doc_id", "_k1", "_k2")), strict=True))
-        self.rows = [i for i, key in enumerate(keys) if key not in later]
-        self.ids = np.array([keys[i][0] for i in self.rows], np.int64)
-        texts = docs["text"].cast(pa.binary()).to_pylist()
-        self.keys, self.texts, self.later, self.length = keys, texts, later, length
+        sizes, data = unpack(docs["texts"][0].as_py(), np.int64, np.uint8)
+        ends, data = np.cumsum(sizes).tolist(), data.tobytes()
+        keys = list(zip(*(docs[c][0].as_py() for c in ("doc_ids", "k1", "k2")), strict=True))
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        self.keys, self.texts = [keys[i] for i in order], [data[ends[i] - sizes[i] : ends[i]] for i in order]
+        self.rows = [i for i, key in enumerate(self.keys) if key not in later]
+        self.ids = np.array([self.keys[i][0] for i in self.rows], np.int64)
+        self.later, self.length = later, length
         self.chunk, self.long, self.piece = bounds
 
     def found(self) -> Iterator[tuple]:
         """(data, offset of each text, rows, anchors()) for each chunk."""
-        sizes = np.array([len(self.texts[i] or b"") for i in self.rows], np.int64)
+        sizes = np.array([len(self.texts[i]) for i in self.rows], np.int64)
         for a, b in chunks(sizes, min(self.chunk, self.long)):
-            data = np.frombuffer(b"".join([self.texts[i] or b"" for i in self.rows[a:b]]), np.uint8)
+            data = np.frombuffer(b"".join([self.texts[i] for i in self.rows[a:b]]), np.uint8)
             ends = np.cumsum(sizes[a:b])
             if b == a + 1 and len(data) >= self.long:  # one very long text: in overlapping pieces
                 yield from self.pieces(data, a)
@@ -258,12 +292,12 @@ class Removal:
     def __init__(self, docs: DataFrame, length: int, bounds: tuple[int, int, int] | None = None):
         self.spark, self.length, self.bounds = docs.sparkSession, length, bounds or (CHUNK_BYTES, LONG, PIECE)
         self.n = partitions(self.spark)
-        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text")), "text")
-        sizes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.blocks = max(1, int(sizes // BLOCK_BYTES) + 1)
-        block = F.pmod(F.xxhash64(F.lit("block"), "doc_id", "_k1"), F.lit(self.blocks)).cast("int").alias("block")
-        self.docs = docs.select(block, "*")
-        known = self.docs.where("doc_id is not null").select("block", "doc_id", "_k1", "_k2")
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text")), "text")
+        # Texts are dealt to blocks where they stand, and go from step to step compressed.
+        blocks = self.docs.where("doc_id is not null").mapInArrow(_blocks(BLOCK_BYTES), "block int, doc_ids array<long>, k1 array<long>, k2 array<long>, texts binary")
+        self.live = written(blocks, "blocks", "none")
+        self.blocks = max(1, self.live.count())
+        known = self.live.select("block", F.inline(F.arrays_zip("doc_ids", "k1", "k2"))).toDF("block", "doc_id", "_k1", "_k2")
         firsts = known.groupBy("_k1", "_k2").agg(F.min("doc_id").alias("first"))
         later = known.join(firsts, ["_k1", "_k2"]).where("doc_id > first").select("block", "doc_id", "_k1", "_k2").distinct()
         none = [F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("data")]
@@ -271,16 +305,8 @@ class Removal:
         self.buckets = 1 << max(4, int(np.ceil(np.log2(self.n))))
 
     def with_side(self, side: DataFrame, run, schema: str) -> DataFrame:
-        """run(documents of a block, rows of side) for each block."""
-        live = self.docs.where("doc_id is not null")
-        return live.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(run, schema)
-
-    def free(self) -> None:
-        """Lets Spark drop the shuffle files of steps that are over."""
-        for _ in range(2):
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.5)
+        """run(the row of a block, rows of side) for each block."""
+        return self.live.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(run, schema)
 
     def shared_grams(self) -> tuple[DataFrame, list[bytes]]:
         """Rows (block, bucket, bits): which of the block's gram hashes stand in other documents too; and a sample of suffixes."""
@@ -296,7 +322,7 @@ class Removal:
                 some = place[np.argsort(mix(h ^ np.uint64(99)))[: max(1, each // 4)]]
                 samples += [x.tobytes() for x in around(data, ends, some, length)]
             rows = {"bucket": [], "block": [], "data": [], "many": []}
-            name = docs["block"][0].as_py() if len(docs) else 0
+            name = docs["block"][0].as_py()
             if hashes:
                 h, owner = np.concatenate(hashes), np.concatenate(owners)
                 order = np.lexsort((owner, h))
@@ -332,7 +358,6 @@ class Removal:
             return pa.table({"block": pa.array(names, pa.int32()), "kind": pa.array([1] * len(names), pa.int32()), "bucket": pa.array([rows["bucket"][0].as_py()] * len(names), pa.int32()), "data": pa.array(bits, pa.binary())})
 
         grams = written(self.with_side(self.later, run, "bucket int, block int, data binary, many binary"), "grams", "zstd")
-        self.free()
         sample = [bytes(r[0]) for r in grams.where("bucket < 0").select("data").orderBy(F.xxhash64("data")).limit(SAMPLE).collect()]
         bits = grams.where("bucket >= 0").groupBy("bucket").applyInArrow(settle, "block int, kind int, bucket int, data binary")
         return written(bits, "shared-grams"), sorted(sample)
@@ -346,7 +371,7 @@ class Removal:
         cut = {b[:GRAM] for b in bounds}
 
         def runs(docs: pa.Table, side: pa.Table) -> pa.Table:
-            name = (docs["block"][0] if len(docs) else side["block"][0]).as_py()
+            name = docs["block"][0].as_py()
             block = Block(docs, _later(side), length, sizes)
             bits = side.filter(pa.compute.equal(side["kind"], 1))
             shared = {b: np.unpackbits(np.frombuffer(x, np.uint8)) for b, x in zip(bits["bucket"].to_pylist(), bits["data"].to_pylist(), strict=True)}
@@ -512,7 +537,6 @@ class Removal:
         side = self.later.unionByName(shared.select("block", "kind", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("_k1"), F.lit(None).cast("long").alias("_k2"), "bucket", "data"))
         exchanged = self.with_side(side, runs, "part int, kind int, block int, data binary")
         merged = written(exchanged.groupBy("part").applyInArrow(merge, result), "removals", "zstd")
-        self.free()
         strings = merged.where("string is not null")
         first = strings.groupBy("string").agg(F.min("owner").alias("first"))
         more = strings.join(first, "string").where("owner > first")
@@ -539,12 +563,11 @@ class Removal:
                 spans[block.rows[int(row[a])]] = list(zip(s[new].tolist(), top[np.r_[new[1:] - 1, b - a - 1]].tolist(), strict=True))
             found, kept = [], []
             for i, (key, text) in enumerate(zip(block.keys, block.texts, strict=True)):
-                text = text or b""
                 mine = ([(0, len(text))] if len(text) >= length else []) if key in block.later else spans.get(i, [])
                 found.append([{"start": a, "end": b} for a, b in mine])
                 edges = [0, *(x for span in mine for x in span), len(text)]
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            return pa.table({"doc_id": pa.array([k[0] for k in block.keys], pa.int64()), "n_bytes": pa.array([len(t or b"") for t in block.texts], pa.int64()), "spans": pa.array(found, _SPANS), "kept": pa.array(kept, pa.binary())})
+            return pa.table({"doc_id": pa.array([k[0] for k in block.keys], pa.int64()), "n_bytes": pa.array([len(t) for t in block.texts], pa.int64()), "spans": pa.array(found, _SPANS), "kept": pa.array(kept, pa.binary())})
 
         out = self.with_side(side, run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
         text = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
@@ -566,7 +589,6 @@ def dedup_suffixes(docs: DataFrame, length: int = 50, bounds: tuple[int, int, in
     removal = Removal(docs, length, bounds)
     shared, sample = removal.shared_grams()
     removals = written(removal.removals(shared, sample), "cuts")
-    removal.free()
     return removal.apply(removals)
 
 
