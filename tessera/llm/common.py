@@ -44,11 +44,11 @@ def compact(df: DataFrame) -> DataFrame:
     return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
-def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy", few_files: bool = True) -> DataFrame:
     """df as a written table in the shared folder: it cuts lineage, survives lost executors and has a known size."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    compact(df).write.option("compression", codec).parquet(path)
+    (compact(df) if few_files else df).write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

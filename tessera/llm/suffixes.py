@@ -116,6 +116,8 @@ class Block:
     """The documents of a block, in order of doc_id, but for later copies of equal texts."""
 
     def __init__(self, docs: pa.Table, later: set, length: int, bounds: tuple[int, int, int]):
+        if len(docs) != 1:
+            raise ValueError(f"block {docs['block'].to_pylist()[:2]} stands on {len(docs)} rows")
         sizes, data = unpack(docs["texts"][0].as_py(), np.int64, np.uint8)
         ends, data = np.cumsum(sizes).tolist(), data.tobytes()
         keys = list(zip(*(docs[c][0].as_py() for c in ("doc_ids", "k1", "k2")), strict=True))
@@ -295,7 +297,8 @@ class Removal:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text")), "text")
         # Texts are dealt to blocks where they stand, and go from step to step compressed.
         blocks = self.docs.where("doc_id is not null").mapInArrow(_blocks(BLOCK_BYTES), "block int, doc_ids array<long>, k1 array<long>, k2 array<long>, texts binary")
-        self.live = written(blocks, "blocks", "none")
+        # Not compacted: a task's partition is what makes its blocks' numbers its own.
+        self.live = written(blocks, "blocks", "none", False)
         self.blocks = max(1, self.live.count())
         known = self.live.select("block", F.inline(F.arrays_zip("doc_ids", "k1", "k2"))).toDF("block", "doc_id", "_k1", "_k2")
         firsts = known.groupBy("_k1", "_k2").agg(F.min("doc_id").alias("first"))

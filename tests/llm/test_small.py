@@ -183,6 +183,14 @@ def test_suffixes_of_long_texts_against_brute_force(spark, bounds):
     assert {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got} == suffixes.brute_force(rows)
 
 
+def test_suffixes_over_many_partitions(spark):
+    shared = [text(25) for _ in range(4)]
+    rows = [(i, RNG.choice(shared) + text(9) + RNG.choice(shared)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(60)
+    got = suffixes.dedup_suffixes(docs, 50).collect()
+    assert {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got} == suffixes.brute_force(rows) and len(got) == 300
+
+
 def test_suffixes_of_repeated_and_null_ids(spark):
     t = text(40)
     rows = [(None, t), (5, t), (5, t), (7, t), (None, t)]
