@@ -95,8 +95,9 @@ def posted_length(n: int, percent: int) -> int:
 def shared_least(n: str, percent: int) -> Column:
     """How many posted shingles a set of n, a column, shares at least with any similar set.
 
-    Where the posted shingles of the smaller set's order end first, all but n - ceil(percent n) of them are posted by the other
-    too; a similar set has ceil(percent n) shingles at least, and what is so shared doesn't fall with n.
+    Of two similar sets, take the one whose posted shingles end first in the global order: all but n - ceil(percent n) of
+    these are in the other set, and posted there. The bound doesn't fall with n, and a similar set has ceil(percent n)
+    shingles at least.
     """
     m = f"(({percent} * {n} + 99) div 100)"
     p = f"({m} - ({percent} * {m} + 99) div 100 + 1)"
@@ -390,22 +391,34 @@ def _alike(key: np.ndarray, before: int, after: int) -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id long, text) whose doc_id isn't null.
+    """doc_id, n_shingles, component_id for every row of docs (doc_id long, text).
 
     A document's set holds its distinct runs of that many words (white space apart, A-Z as a-z); with fewer words, the
     whole sequence. Documents link when 100 x common >= percent x all; component_id is the smallest doc_id that links
     reach. Null, empty and blank texts have an empty set and link with nothing, copies of one set link. If a doc_id
-    stands on several rows, each row has the result of its own text.
+    stands on several rows, each row has the result of its own text. A row with a null doc_id links with nothing and has
+    a null component_id. An empty table gives no row; other columns play no part.
 
     The join is exact: similar sets share one of the first shingles in a global order, rarest first. Documents of equal
     sets are one node. Nodes are first linked along chains, so that a large group of near copies is connected before the
     exact pass, which compares only what isn't connected: in tiles of two blocks of nodes, where each pair is bounded by
     signatures, then intersected, and a spanning forest of the links goes out.
     """
-    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        return _of_rows(docs, words, percent)
-    return Join(docs, words, percent).run()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known, unknown = docs.where("doc_id is not null"), docs.where("doc_id is null").select("text")
+    repeated = known.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    found = _of_rows(known, words, percent) if repeated else Join(known, words, percent).run()
+    sized = unknown.mapInArrow(_sizes(words), "n_shingles long")
+    none = F.lit(None).cast("long")
+    return found.unionByName(sized.select(none.alias("doc_id"), "n_shingles", none.alias("component_id")))
+
+
+def _sizes(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in shingle_sets(batch.column(0), words)], pa.int64())], ["n_shingles"])
+
+    return run
 
 
 def _of_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:

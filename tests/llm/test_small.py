@@ -128,6 +128,8 @@ def test_jaccard_of_repeated_ids_against_brute_force(spark, percent):
     rows += [(200, "a b c d e f g h"), *[(201, "p q r s t u v w"), (201, "A b c d e f g h")] * 2, (202, None), (202, None), (202, "lone words"), (None, "a b")]
     got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, percent).collect()
     # In order of doc_id, so that the least row of a group has its least doc_id.
+    assert [(r.n_shingles, r.component_id) for r in got if r.doc_id is None] == [(1, None)]
+    got = [r for r in got if r.doc_id is not None]
     rows = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
     plain = jaccard_brute(list(enumerate(t for _, t in rows)), 2, percent)
     expected = sorted((doc, plain[i][0], rows[plain[i][1]][0]) for i, (doc, _) in enumerate(rows))
