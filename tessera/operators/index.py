@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from tessera.plans.parser import Parser
 from tessera.plans.scan import condition
 
 MAX_RESULTS = 262_144
+#: Times that an edit is made anew when another writer was first.
+ATTEMPTS = 5
 
 
 def positions(docs: DataFrame, lexer: Lexer = Lexer(), text: str = "content") -> DataFrame:
@@ -53,6 +56,10 @@ class ScanEngine:
         return SearchResult([], found.limit(limit) if limit else found, query.warnings)
 
 
+class Conflict(RuntimeError):
+    """Another writer was first."""
+
+
 class Pointer:
     """Which version of what lies under a path is the current one: numbered files, each written once."""
 
@@ -75,14 +82,23 @@ class Pointer:
         finally:
             stream.close()
 
-    def get(self) -> str | None:
+    def current(self) -> tuple[int, str | None]:
+        """The number of the current pointer, -1 if there is none, and its version."""
         names = self.pointers()
-        return self.read(names[-1]) if names else None
+        return (int(names[-1][8:]), self.read(names[-1])) if names else (-1, None)
+
+    def get(self) -> str | None:
+        return self.current()[1]
 
-    def set(self, version: str) -> None:
-        """Of two writers at a time one fails: no pointer is written over."""
-        number = max((int(n[8:]) for n in self.pointers()), default=-1) + 1
-        stream = self._fs.create(self._path(f"CURRENT-{number:012d}"), False)
+    def set(self, version: str, after: int) -> None:
+        """Makes version the one after the pointer numbered after, which its writer began from; Conflict if another one came first."""
+        path = self._path(f"CURRENT-{after + 1:012d}")
+        try:
+            stream = self._fs.create(path, False)
+        except Py4JJavaError as problem:
+            if self._fs.exists(path):
+                raise Conflict(f"version {after + 1} is already written") from problem
+            raise
         stream.write(bytearray(version.encode()))
         stream.close()
 
@@ -108,34 +124,48 @@ class IndexEngine:
         self.builder = Builder(self.parser)
         self.pointer = Pointer(spark, self.path)
 
-    def tables(self) -> Postings:
-        version = self.pointer.get()
+    def tables(self, version: str | None = None) -> Postings:
+        """Those of a version, or of the current one."""
+        version = version or self.pointer.get()
         if version is None:
             docs = self.spark.createDataFrame([], "content_id long")
             return Postings(docs, self.spark.createDataFrame([], "content_id long, term string, positions array<int>"), self.spark.createDataFrame([], "term string, documents long"))
         read = lambda name: self.spark.read.parquet(f"{self.path}/{name}-{version}")
         return Postings(read("documents"), read("postings"), read("vocabulary"))
 
-    def _write(self, documents: DataFrame, postings: DataFrame) -> None:
-        version = uuid.uuid4().hex[:12]
-        documents.write.parquet(f"{self.path}/documents-{version}")
-        postings.select("content_id", "term", "positions").repartitionByRange("term").sortWithinPartitions("term", "content_id").write.parquet(f"{self.path}/postings-{version}")
-        written = self.spark.read.parquet(f"{self.path}/postings-{version}")
-        written.groupBy("term").agg(F.count(F.lit(1)).alias("documents")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.path}/vocabulary-{version}")
-        self.pointer.set(version)
+    def _edit(self, change) -> None:
+        """Writes change(old tables), (documents, postings), as the version after the one it began from.
+
+        If another writer's version came meanwhile, the change is made anew on top of that.
+        """
+        for attempt in range(ATTEMPTS):
+            number, base = self.pointer.current()
+            documents, postings = change(self.tables(base))
+            version = uuid.uuid4().hex[:12]
+            documents.write.parquet(f"{self.path}/documents-{version}")
+            postings.select("content_id", "term", "positions").repartitionByRange("term").sortWithinPartitions("term", "content_id").write.parquet(f"{self.path}/postings-{version}")
+            written = self.spark.read.parquet(f"{self.path}/postings-{version}")
+            written.groupBy("term").agg(F.count(F.lit(1)).alias("documents")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.path}/vocabulary-{version}")
+            try:
+                return self.pointer.set(version, number)
+            except Conflict:
+                if attempt + 1 == ATTEMPTS:
+                    raise
 
     def update(self, docs: DataFrame) -> None:
         """Puts documents (content_id, content) in, in place of those of the same id. Of an id given twice, any one text counts."""
         docs = docs.where("content_id is not null").dropDuplicates(["content_id"]).select("content_id", "content")
-        old = self.tables()
         ids = docs.select("content_id")
-        documents = old.documents.join(ids, "content_id", "left_anti").unionByName(ids)
-        kept = old.postings.join(ids, "content_id", "left_anti")
-        self._write(documents, kept.unionByName(positions(docs, self.lexer)))
+
+        def change(old: Postings) -> tuple[DataFrame, DataFrame]:
+            documents = old.documents.join(ids, "content_id", "left_anti").unionByName(ids)
+            return documents, old.postings.join(ids, "content_id", "left_anti").unionByName(positions(docs, self.lexer))
+
+        self._edit(change)
 
     def remove(self, ids: DataFrame) -> None:
-        old, ids = self.tables(), ids.select("content_id").distinct()
-        self._write(old.documents.join(ids, "content_id", "left_anti"), old.postings.join(ids, "content_id", "left_anti"))
+        ids = ids.select("content_id").distinct()
+        self._edit(lambda old: (old.documents.join(ids, "content_id", "left_anti"), old.postings.join(ids, "content_id", "left_anti")))
 
     def search(self, query: Query | str, limit: int | None = MAX_RESULTS) -> SearchResult:
         query = self.parser(query) if isinstance(query, str) else query

@@ -61,19 +61,22 @@ def watched(entries: DataFrame, targets: DataFrame, file_filter: Column | None =
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """path, change_type, content_id: what happened between two listings.
 
-    before: path, content_id, length, mtime; after: path, length, mtime. Paths meet without regard to case. A new or
-    changed file gets a new id, after the largest there was; a file that is found elsewhere with the same name, length
-    and time in the place of one that went is renamed and keeps its id, as long as the match is unique on both sides.
+    before: path, content_id, length, mtime; after: path, length, mtime. Both may have a digest of the content too. Paths
+    meet without regard to case. A new or changed file gets a new id, after the largest there was; a file that is found
+    elsewhere with the same length and time, and the same digest where there are digests, in the place of one that went is
+    renamed and keeps its id, as long as the match is unique on both sides. Without digests another file of equal length
+    and time passes for the old one.
     """
-    old = before.select(path_key(F.col("path")).alias("_key"), F.col("path").alias("old_path"), "content_id", F.col("length").alias("_l"), F.col("mtime").alias("_m"))
-    new = after.select(path_key(F.col("path")).alias("_key"), "path", "length", "mtime")
+    mark = ["length", "mtime", *(["digest"] if "digest" in before.columns and "digest" in after.columns else [])]
+    old = before.select(path_key(F.col("path")).alias("_key"), F.col("path").alias("old_path"), "content_id", *[F.col(c).alias(f"_{c}") for c in mark])
+    new = after.select(path_key(F.col("path")).alias("_key"), "path", *mark)
     both = old.join(new, "_key", "full_outer")
     gone, came = both.where("path is null"), both.where("old_path is null")
-    mark = ["_l", "_m"]
-    g = gone.select("old_path", "content_id", *mark).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*mark))).where("_n = 1")
-    c = came.select("path", F.col("length").alias("_l"), F.col("mtime").alias("_m")).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*mark))).where("_n = 1")
-    moved = g.drop("_n").join(c.drop("_n"), mark).select("path", "old_path", "content_id")
-    changed = both.where("path is not null and old_path is not null and not (length <=> _l and mtime <=> _m)")
+    held = [f"_{c}" for c in mark]
+    g = gone.select("old_path", "content_id", *held).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*held))).where("_n = 1")
+    c = came.select("path", *[F.col(m).alias(f"_{m}") for m in mark]).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*held))).where("_n = 1")
+    moved = g.drop("_n").join(c.drop("_n"), held).select("path", "old_path", "content_id")
+    changed = both.where("path is not null and old_path is not null and not (length <=> _length and mtime <=> _mtime)")
     fresh = came.select("path").join(moved.select("path"), "path", "left_anti").select("path", F.lit(CREATED).alias("change_type")).unionByName(changed.select("path", F.lit(CHANGED).alias("change_type")))
     numbered = with_new_ids(fresh, before)
     removed = gone.select("old_path", "content_id").join(moved.select("old_path"), "old_path", "left_anti").select(F.col("old_path").alias("path"), F.lit(DELETED).alias("change_type"), F.lit(None).cast("string").alias("old_path"), "content_id")
@@ -99,10 +102,10 @@ def with_new_ids(fresh: DataFrame, before: DataFrame) -> DataFrame:
 
 
 def apply_diff(before: DataFrame, after: DataFrame, diff: DataFrame) -> DataFrame:
-    """path, content_id, length, mtime: the listing after, with the ids that the difference gives or that stay."""
+    """path, content_id and the other columns of the listing after, with the ids that the difference gives or that stay."""
     given = diff.where(F.col("change_type") != DELETED).select(path_key(F.col("path")).alias("_key"), F.col("content_id").alias("_given"))
     kept = before.select(path_key(F.col("path")).alias("_key"), "content_id")
-    return after.withColumn("_key", path_key(F.col("path"))).join(kept, "_key", "left").join(given, "_key", "left").select("path", F.coalesce("_given", "content_id").alias("content_id"), "length", "mtime")
+    return after.withColumn("_key", path_key(F.col("path"))).join(kept, "_key", "left").join(given, "_key", "left").select("path", F.coalesce("_given", "content_id").alias("content_id"), *[c for c in after.columns if c != "path"])
 
 
 def deleted_below(files: DataFrame, gone: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.ast import Fuzzy, Node, Prefix, Range, Regex, Term, Wildcard
@@ -53,6 +55,18 @@ def java_regex(pattern: str) -> str:
     return f"^(?s:{''.join(out)})$"
 
 
+def checked_regex(pattern: str) -> None:
+    """Raises UnsupportedRegex for a pattern that java_regex() or Java's own compiler refuses."""
+    form = java_regex(pattern)
+    try:
+        if session := SparkSession.getActiveSession():
+            session._jvm.java.util.regex.Pattern.compile(form)
+        else:
+            re.compile(re.sub(r"\\Q(.*?)\\E", lambda m: re.escape(m[1]), form, flags=re.S))
+    except (re.error, IllegalArgumentException, Py4JJavaError) as problem:
+        raise UnsupportedRegex(f"/{pattern}/ isn't a regular expression") from problem
+
+
 def wildcard_regex(node: Wildcard) -> str:
     marks = {"?": ".", "*": ".*"}
     return "^(?s:" + "".join(marks[p] if special else "\\Q" + p.replace("\\E", "\\E\\\\E\\Q") + "\\E" for p, special in node.parts) + ")$"

@@ -16,8 +16,10 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from tessera.functions.lexer import Lexer
 from tessera.operators.index import IndexEngine, Pointer, SearchResult, files_of
 from tessera.operators.mirror import CHANGED, CREATED, DELETED, FILE, RENAMED, apply_diff, orphaned, snapshot_diff
-from tessera.sources.files import read_texts, retried
+from tessera.sources.files import below, listing, read_texts, retried
 
+#: Changed files up to which they are read by name.
+BY_NAME = 10_000
 CHANGES = "seq long, ts timestamp, entry_type string, change_type string, path string, old_path string"
 
 
@@ -138,20 +140,51 @@ class FileIndex:
         self.pointer = Pointer(self.spark, f"{self.path}/state")
 
     def files(self) -> DataFrame:
-        """path, content_id, length, mtime."""
+        """path, content_id, length, mtime, digest."""
+        return self._state("files", "path string, content_id long, length long, mtime timestamp, digest long")
+
+    def failures(self) -> DataFrame:
+        """path, error of what the last refresh couldn't read; a file that was read before keeps its former text."""
+        return self._state("failed", "path string, error string")
+
+    def _state(self, name: str, schema: str) -> DataFrame:
         version = self.pointer.get()
         if version is None:
-            return self.spark.createDataFrame([], "path string, content_id long, length long, mtime timestamp")
-        return self.spark.read.parquet(f"{self.path}/state/files-{version}")
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/state/{name}-{version}")
 
     def watch(self, target: str) -> None:
         self.targets.append(target)
 
+    def _read(self, paths: DataFrame, run: str) -> tuple[DataFrame, DataFrame]:
+        """(path, content, digest) and (path, error) of these paths, written; few paths are read by name, many by a scan."""
+        some = [r[0] for r in paths.limit(BY_NAME + 1).collect()]
+        named = len(some) <= BY_NAME
+        if not some:
+            return self.spark.createDataFrame([], "path string, content string, digest long"), self.spark.createDataFrame([], "path string, error string")
+        texts, _, failed = read_texts(self.spark, some if named else self.targets, None if named else self.pattern, self.charset, self.max_length, exclude=self.path)
+        texts = texts.select("path", "content", F.xxhash64("content").alias("digest"))
+        for df, name in ((texts, "fresh"), (failed, "failed")):
+            df = df if named else df.join(paths, "path", "left_semi")
+            retried(lambda df=df, name=name: df.write.mode("overwrite").parquet(f"{self.path}/state/{name}-{run}"))
+        return tuple(self.spark.read.parquet(f"{self.path}/state/{name}-{run}") for name in ("fresh", "failed"))
+
     def refresh(self) -> DataFrame:
-        """What changed since the last time. The index is changed before the files are, so that no path leads to nothing."""
-        texts, long, failed = read_texts(self.spark, self.targets, self.pattern, self.charset, self.max_length, exclude=self.path)
-        before, after = self.files(), texts.select("path", "length", "mtime")
-        run = uuid.uuid4().hex[:12]
+        """What changed since the last time. The index is changed before the files are, so that no path leads to nothing.
+
+        The listing tells which files are new or changed; only these are read. What can't be read is in failures().
+        """
+        number, _ = self.pointer.current()
+        before, run = self.files(), uuid.uuid4().hex[:12]
+        there = listing(self.spark, self.targets, self.pattern).where(F.col("length") < self.max_length)
+        retried(lambda: there.where(~below(F.col("path"), self.path)).write.mode("overwrite").parquet(f"{self.path}/state/listing-{run}"))
+        there = self.spark.read.parquet(f"{self.path}/state/listing-{run}")
+        same = there.join(before, ["path", "length", "mtime"]).select("path", "length", "mtime", "digest")
+        texts, failed = self._read(there.join(same, "path", "left_anti").select("path"), run)
+        failed.write.mode("ignore").parquet(f"{self.path}/state/failed-{run}")
+        read = there.join(texts.select("path", "digest"), "path").select("path", "length", "mtime", "digest")
+        kept = before.join(failed.select("path"), "path", "left_semi").select("path", "length", "mtime", "digest")
+        after = same.unionByName(read).unionByName(kept)
         retried(lambda: snapshot_diff(before, after).write.mode("overwrite").parquet(f"{self.path}/state/diff-{run}"))
         diff = self.spark.read.parquet(f"{self.path}/state/diff-{run}")
         fresh = diff.where(F.col("change_type").isin(CREATED, CHANGED)).select("path", "content_id")
@@ -163,7 +196,7 @@ class FileIndex:
             self.engine.remove(gone)
         if fresh.limit(1).count():
             self.engine.update(texts.join(fresh, "path").select("content_id", "content"))
-        self.pointer.set(run)
+        self.pointer.set(run, number)
         for listener in self.listeners:
             listener(diff)
         return diff

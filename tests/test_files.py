@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as fn
 from tessera.functions.tolerant import QueryTokens, edited_token, tokenize
 from tessera.operators import mirror
+from tessera.operators.index import IndexEngine
 from tessera.sources.files import Config, listing, read_texts
 from tessera.streaming.tree import CHANGED, CREATED, DELETED, DIRECTORY, FILE, FOUND, RENAMED, UNCERTAIN, Tree, replay
 from tessera.streaming.watch import FileChanges, FileIndex
@@ -154,3 +155,54 @@ def test_tolerant_tokens(spark):
         tokenize(text), edited_token(text, len(text) // 2)
     spark.udtf.register("query_tokens", QueryTokens)
     assert spark.sql("select * from query_tokens('a AND b')").count() == 3
+
+
+def test_another_file_of_equal_length_and_time_is_no_rename(spark, tmp_path):
+    top = tmp_path / "watched"
+    top.mkdir()
+    (top / "a.txt").write_text("alpha")
+    os.utime(top / "a.txt", (1_700_000_000, 1_700_000_000))
+    index = FileIndex(spark, str(tmp_path / "ix"), [str(top)])
+    index.refresh()
+    (top / "a.txt").unlink()
+    (top / "b.txt").write_text("gamma")
+    os.utime(top / "b.txt", (1_700_000_000, 1_700_000_000))
+    index.refresh()
+    found = lambda q: [os.path.basename(r.path) for r in index.search(q).rows.collect()]
+    assert found("gamma") == ["b.txt"] and found("alpha") == []
+    os.rename(top / "b.txt", top / "c.txt")
+    assert [r.change_type for r in index.refresh().collect()] == [RENAMED] and found("gamma") == ["c.txt"]
+
+
+def test_files_that_cant_be_read_keep_their_text(spark, tmp_path):
+    top = tmp_path / "watched"
+    top.mkdir()
+    (top / "a.txt").write_text("alpha")
+    index = FileIndex(spark, str(tmp_path / "ix"), [str(top)])
+    index.refresh()
+    index.charset = "no-such-charset"
+    (top / "a.txt").write_text("changed text")
+    (top / "b.txt").write_text("new")
+    assert index.refresh().count() == 0 and {os.path.basename(r.path) for r in index.failures().collect()} == {"a.txt", "b.txt"}
+    assert [os.path.basename(r.path) for r in index.search("alpha").rows.collect()] == ["a.txt"]
+    index.charset = "UTF-8"
+    assert {r.change_type for r in index.refresh().collect()} == {CHANGED, "Created"} and index.failures().count() == 0
+    assert index.search("alpha").rows.count() == 0 and index.search("changed").rows.count() == 1
+
+
+def test_no_update_is_lost_between_two_writers(spark, tmp_path):
+    docs = lambda i, t: spark.createDataFrame([(i, t)], "content_id long, content string")
+    one, two = IndexEngine(spark, str(tmp_path / "ix")), IndexEngine(spark, str(tmp_path / "ix"))
+    one.update(docs(1, "first"))
+    plain, times = one.tables, []
+
+    def late(version=None):
+        found = plain(version)
+        if not times:
+            times.append(1)
+            two.update(docs(2, "second"))
+        return found
+
+    one.tables = late
+    one.update(docs(3, "third"))
+    assert sorted(r[0] for w in ("first", "second", "third") for r in two.search(w).rows.collect()) == [1, 2, 3]

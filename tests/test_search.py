@@ -137,3 +137,9 @@ def test_fuzzy_finds_every_near_term(spark, tmp_path):
     index.update(docs)
     for engine in (ScanEngine(docs), index):
         assert {r.content_id for r in engine.search("idiot~1", None).rows.collect()} == {200, *(i for i, _ in rows)}
+
+
+def test_bad_patterns_are_errors_of_the_result(spark):
+    for text in ("/(a/", "/[z-a]/", "/a~b/", "/a&b/", "/<1-5>/", "/*/"):
+        assert Parser()(text).errors, text
+    assert not Parser()('/a(b|c)"."[0-9]+/').errors
