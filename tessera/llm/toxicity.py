@@ -95,12 +95,13 @@ def counterfactuals(words: set[str], groups=IDENTITY_TERMS) -> list[tuple[str, s
 
 
 class Rows:
-    """Sums over a sparse 0/1 matrix, sorted by row."""
+    """Sums over a sparse 0/1 matrix of n rows, whose row numbers come in order."""
 
     def __init__(self, row: np.ndarray, col: np.ndarray, n: int):
         self.col = col
         self.n = n
-        self.full, self.first = np.unique(row, return_index=True)
+        self.first = np.flatnonzero(np.diff(row, prepend=-1))
+        self.full = row[self.first]
 
     def sums(self, x: np.ndarray) -> np.ndarray:
         """For each row the sum of x over its columns."""
@@ -139,6 +140,7 @@ def fit(
     kept = [np.searchsorted(ids, d[keep[d]]).astype(np.int32) for d in documents]
     row = np.repeat(np.arange(len(kept), dtype=np.int32), [len(d) for d in kept])
     col = np.concatenate(kept)
+    del kept, documents
     by_row = Rows(row, col, len(y))
     order = np.argsort(col, kind="stable").astype(np.int32)
     by_col = Rows(col[order], row[order], len(ids))
@@ -147,7 +149,8 @@ def fit(
     swap_row = np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in pairs])
     swap_col = column[np.array([x for a, b in pairs for x in (*a, *b)], np.int64)]
     swap_sign = np.array([s for a, b in pairs for s in (*[1.0] * len(a), *[-1.0] * len(b))])
-    del column, n, toxic, keep
+    length = np.bincount(row, minlength=len(y)) + 1.0
+    del column, n, toxic, keep, order, row
 
     def gradient(w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
         off = _sigmoid(by_row.sums(w) + bias) - y
@@ -158,7 +161,6 @@ def fit(
         return g, off.mean()
 
     # A step for each column after its own curvature bound; the bound holds as each row's sum is bounded by its length.
-    length = np.bincount(row, minlength=len(y)) + 1.0
     bound = 0.25 * by_col.sums(length) / len(y) + 1e-9
     if len(pairs):
         bound += 2 * counterfactual * np.bincount(swap_col, (times * np.bincount(swap_row, minlength=len(pairs)))[swap_row], len(ids)) / times.sum()
