@@ -114,9 +114,9 @@ def with_key(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", *text_key(F.col("text")), "text", *more)
 
 
-def fresh(df: DataFrame, n: int) -> list[str]:
-    """n names that no column of df has."""
-    used = {c.lower() for c in df.columns}
+def fresh(columns: list[str], n: int) -> list[str]:
+    """n names that none of the columns has."""
+    used = {c.lower() for c in columns}
     found, i = [], 0
     while len(found) < n:
         if (name := f"_own{i}") not in used:
@@ -131,10 +131,12 @@ def attach(docs: DataFrame, facts: DataFrame, how: str = "left") -> DataFrame:
     A null doc_id equals itself, and so does a null text. docs may have columns of any name.
     """
     docs = docs.drop(*[c for c in facts.columns if c not in KEY])
-    names = fresh(docs, 3)
-    facts = facts.withColumnsRenamed(dict(zip(KEY, names, strict=True)))
-    same = [(a == F.col(b)) for a, b in zip(text_key(F.col("text")), names[1:], strict=True)]
-    return docs.join(facts, F.col("doc_id").eqNullSafe(F.col(names[0])) & same[0] & same[1], how).drop(*names)
+    names = fresh([*docs.columns, *facts.columns], 5)
+    facts = facts.withColumnsRenamed(dict(zip(KEY, names[:3], strict=True)))
+    # Columns, not expressions in the condition: a text that isn't asked for needn't go through the join.
+    docs = docs.withColumns(dict(zip(names[3:], text_key(F.col("text")), strict=True)))
+    same = (F.col(names[3]) == F.col(names[1])) & (F.col(names[4]) == F.col(names[2]))
+    return docs.join(facts, F.col("doc_id").eqNullSafe(F.col(names[0])) & same, how).drop(*names)
 
 
 KEY = ["doc_id", "_k1", "_k2"]

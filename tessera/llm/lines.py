@@ -205,7 +205,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Every row of docs with its text reduced to the lines that stay, and n_lines, n_dropped long (in place of such columns)."""
     docs = docs.drop("n_lines", "n_dropped")
     columns = docs.columns
-    joined = attach(docs, bitmaps.withColumnRenamed("bitmap", fresh(docs, 4)[3]))
+    joined = attach(docs, bitmaps.withColumnRenamed("bitmap", fresh(docs.columns, 1)[0]))
     schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at = columns.index("text")
 
