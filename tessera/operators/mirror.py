@@ -175,3 +175,18 @@ def latest_events(changes: DataFrame) -> DataFrame:
 def size_order(tasks: DataFrame) -> DataFrame:
     """Smallest files first, ties in order of arrival."""
     return tasks.orderBy("length", "seq")
+
+
+def size_places(tasks: DataFrame) -> DataFrame:
+    """tasks with their place in size_order, from 1; null lengths come first.
+
+    Ranges of (length, seq) are numbered by themselves and then shifted by the rows before them, so that no task holds the
+    whole queue. The number of ranges is given, so that it's the same wherever the plan is run.
+    """
+    ranges = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tasks.repartitionByRange(ranges, "length", "seq").withColumn("_part", F.spark_partition_id())
+    rows = dealt.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy("length", "seq")))
+    # One row for each range.
+    sizes = rows.groupBy("_part").agg(F.max("_row").alias("_size"))
+    shift = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
+    return rows.join(F.broadcast(shift), "_part").withColumn("place", (F.col("_shift") + F.col("_row")).cast("long")).drop("_part", "_row", "_shift")

@@ -263,6 +263,13 @@ def size_order(spark, sf_dir):
     return head.select(F.col("seq").alias("doc_id"), F.col("length").alias("n_chars"), F.row_number().over(Window.orderBy("length", "seq")).cast("long").alias("place"))
 
 
+@query("SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars NULLS FIRST, doc_id NULLS FIRST) AS place FROM documents")
+def size_places(spark, sf_dir):
+    """The place of every task in that queue."""
+    rows = read(spark, sf_dir, "documents", "doc_id", "n_chars").toDF("seq", "length")
+    return mirror.size_places(rows).select(F.col("seq").alias("doc_id"), F.col("length").alias("n_chars"), "place")
+
+
 _URL = "regexp_replace(url, '^[a-z]+:/', '')"
 
 

@@ -206,3 +206,13 @@ def test_no_update_is_lost_between_two_writers(spark, tmp_path):
     one.tables = late
     one.update(docs(3, "third"))
     assert sorted(r[0] for w in ("first", "second", "third") for r in two.search(w).rows.collect()) == [1, 2, 3]
+
+
+def test_size_places(spark):
+    rows = [(i, (i * 7) % 5 if i % 6 else None) for i in range(50)] + [(8, 1), (8, 1)]
+    empty = spark.createDataFrame([], "seq long, length int")
+    assert mirror.size_places(empty).collect() == []
+    placed = mirror.size_places(spark.createDataFrame(rows, "seq long, length int").repartition(7)).collect()
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    assert [(r.seq, r.length) for r in sorted(placed, key=lambda r: r.place)] == want
+    assert sorted(r.place for r in placed) == list(range(1, len(rows) + 1))
