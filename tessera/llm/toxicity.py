@@ -30,6 +30,9 @@ MAX_TRAINING_ROWS = 12_000
 REMEMBERED = 300_000
 #: Weight of the penalty on the changes that swaps make.
 COUNTERFACTUAL = 1.0
+#: Weight of the penalty on absolute weights; texts that a bucket must be found in.
+L1 = 1e-4
+MIN_DOCUMENTS = 4
 # Identity terms; those of one line take each other's place. English, German, French, Spanish.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
@@ -94,25 +97,50 @@ def counterfactuals(words: set[str], groups=IDENTITY_TERMS) -> list[tuple[str, s
     return [(t, o) for group in groups for t in group if t in words for o in group if o != t]
 
 
+#: Entries of a matrix that sums are taken over at once.
+BLOCK = 1 << 19
+
+
 class Rows:
-    """Sums over a sparse 0/1 matrix of n rows, whose row numbers come in order."""
+    """Sums over a sparse 0/1 matrix whose row i has the columns col[start[i] : start[i + 1]]."""
 
-    def __init__(self, row: np.ndarray, col: np.ndarray, n: int):
+    def __init__(self, col: np.ndarray, start: np.ndarray):
         self.col = col
-        self.n = n
-        self.first = np.flatnonzero(np.diff(row, prepend=-1))
-        self.full = row[self.first]
+        self.n = len(start) - 1
+        self.full = np.flatnonzero(np.diff(start))
+        self.first = start[self.full]
+        # Blocks are whole rows, so that a row's sum is the same in any block.
+        self.cuts = np.unique(np.append(np.searchsorted(self.first, np.arange(0, len(col), BLOCK)), len(self.first)))
 
     def sums(self, x: np.ndarray) -> np.ndarray:
         """For each row the sum of x over its columns."""
         out = np.zeros(self.n)
-        if len(self.full):
-            out[self.full] = np.add.reduceat(x[self.col], self.first)
+        for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True):
+            low, high = self.first[a], self.first[b] if b < len(self.first) else len(self.col)
+            out[self.full[a:b]] = np.add.reduceat(x[self.col[low:high]], self.first[a:b] - low)
         return out
 
+    def turned(self, columns: int) -> Rows:
+        """The transposed matrix; a row's columns are distinct. Each entry goes straight to its place: nothing is sorted."""
+        place = np.append(0, np.cumsum(np.bincount(self.col, minlength=columns)))
+        start, row = place.copy(), np.empty(len(self.col), np.int32)
+        for i, low, high in zip(self.full, self.first, np.append(self.first[1:], len(self.col)), strict=True):
+            at = place[self.col[low:high]]
+            row[at] = i
+            place[self.col[low:high]] = at + 1
+        return Rows(row, start)
+
+
+def tied(n: np.ndarray, toxic: np.ndarray, rows: int, rate: float, l1: float, min_documents: int) -> np.ndarray:
+    """Which buckets, found in n texts and in so many toxic ones, a fit to so many rows looks at.
+
+    The gradient at w = 0 bounds what the penalty lets in at first; weakly tied buckets would stay at 0.
+    """
+    return (n >= min_documents) & (np.abs(toxic - n * rate) / max(rows, 1) > l1 / 2)
+
 
 def fit(
-    documents: list[np.ndarray], labels: np.ndarray, swaps: dict[tuple[str, str], int], l1: float = 1e-4, counterfactual: float | None = None, steps: int = 300, min_documents: int = 4
+    documents: list[np.ndarray], labels: np.ndarray, swaps: dict[tuple[str, str], int], l1: float = L1, counterfactual: float | None = None, steps: int = 300, min_documents: int = MIN_DOCUMENTS
 ) -> Model:
     """Minimises mean logistic loss + l1 |w| + counterfactual x mean squared change of the logit under the swaps (FISTA).
 
@@ -129,28 +157,27 @@ def fit(
         n[d] += 1
         if label:
             toxic[d] += 1
-    # The gradient at w = 0 bounds what the penalty lets in at first; weakly tied buckets would stay at 0.
     keep = n >= min_documents
-    keep[keep] = np.abs(toxic[keep] - n[keep] * y.mean()) / len(y) > l1 / 2
+    keep[keep] = tied(n[keep], toxic[keep], len(y), y.mean(), l1, min_documents)
+    del n, toxic
     pairs = [(features_of(a), features_of(b)) for a, b in sorted(swaps)]
     times = np.array([1 + swaps[pair] for pair in sorted(swaps)], float)
     for a, b in pairs:
         keep[a] = keep[b] = True
     ids = np.flatnonzero(keep).astype(np.int32)
-    kept = [np.searchsorted(ids, d[keep[d]]).astype(np.int32) for d in documents]
-    row = np.repeat(np.arange(len(kept), dtype=np.int32), [len(d) for d in kept])
-    col = np.concatenate(kept)
-    del kept, documents
-    by_row = Rows(row, col, len(y))
-    order = np.argsort(col, kind="stable").astype(np.int32)
-    by_col = Rows(col[order], row[order], len(ids))
     column = np.zeros(BUCKETS, np.int32)
     column[ids] = np.arange(len(ids))
+    start = np.append(0, np.cumsum([np.count_nonzero(keep[d]) for d in documents]))
+    col = np.empty(start[-1], np.int32)
+    for d, low, high in zip(documents, start[:-1], start[1:], strict=True):
+        col[low:high] = column[d[keep[d]]]
+    by_row = Rows(col, start)
+    by_col = by_row.turned(len(ids))
     swap_row = np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in pairs])
     swap_col = column[np.array([x for a, b in pairs for x in (*a, *b)], np.int64)]
     swap_sign = np.array([s for a, b in pairs for s in (*[1.0] * len(a), *[-1.0] * len(b))])
-    length = np.bincount(row, minlength=len(y)) + 1.0
-    del column, n, toxic, keep, order, row
+    length = np.diff(start) + 1.0
+    del column, keep
 
     def gradient(w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
         off = _sigmoid(by_row.sums(w) + bias) - y
@@ -185,11 +212,14 @@ def _buckets(text: str | None) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, n): in how many of a batch's texts."""
+    """(bucket, n, toxic): in how many of a batch's texts with and without the label."""
     for batch in batches:
-        found = [_buckets(t) for t in batch.column(1).to_pylist()]
-        bucket, n = np.unique(np.concatenate([np.zeros(0, np.int32), *found]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n)], ["bucket", "n"])
+        found = {True: [np.zeros(0, np.int32)], False: [np.zeros(0, np.int32)]}
+        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found[bool(label)].append(_buckets(text))
+        for label, texts in found.items():
+            bucket, n = np.unique(np.concatenate(texts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n), pa.array(n * label)], ["bucket", "n", "toxic"])
 
 
 def _features(kept: np.ndarray, groups):
@@ -227,14 +257,18 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
     """Fits a model on at most max_rows labelled texts, see sampled(), whatever the order of rows.
 
     Rows with a null doc_id or label are left out; a null text is empty; of repeated rows each counts. groups: the
-    identity terms that take each other's place. Buckets are counted by the executors, and those of one text are left out
-    before anything comes to the driver.
+    identity terms that take each other's place. Buckets are counted by the executors, and those that fit()
+    would leave out stay there.
     """
     rows = sampled(docs, labels, max_rows, label)
-    counted = rows.mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = rows.mapInArrow(_counts, "bucket int, n long, toxic long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    size, rate = rows.agg(F.count("*"), F.coalesce(F.avg("label"), F.lit(0.0))).first()
     # BUCKETS flags at most, of a bounded sample.
     kept = np.zeros(BUCKETS, bool)
-    kept[np.asarray(counted.select("bucket").toArrow()["bucket"])] = True
+    counts = counted.where(F.col("n") >= MIN_DOCUMENTS).toArrow()
+    bucket, n, toxic = (np.asarray(counts[c]) for c in ("bucket", "n", "toxic"))
+    kept[bucket[tied(n, toxic, size, rate, L1, MIN_DOCUMENTS)]] = True
+    del counts, bucket, n, toxic
     for group in groups:
         for term in group:
             kept[features_of(term)] = True
@@ -244,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
     swaps.update(tuple(x.split(" ")) for part in got["swaps"].chunks for x in part.flatten().to_pylist())
     label = np.asarray(got["label"])
     # In an order of their own, so that sums round alike wherever the rows come from.
-    order = sorted(range(len(documents)), key=lambda i: (label[i], documents[i].tobytes()))
+    order = sorted(range(len(documents)), key=lambda i: (label[i], xxhash.xxh128_digest(documents[i])))
     return fit([documents[i] for i in order], label[order], swaps)
 
 
