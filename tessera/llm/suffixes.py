@@ -22,8 +22,9 @@ from tessera.llm.common import partitions, table, text_key, written
 from tessera.llm.shingles import Powers, mix
 
 GRAM = 20
-#: The bits of a gram's hash that are compared; that two grams share them costs a little work, nothing else.
-HASH = ~np.uint64(0xFFFF)
+#: Low bits of a gram's hash that aren't compared; that two grams share the others costs a little work, nothing else.
+UNUSED = np.uint64(21)
+HASH = ~((np.uint64(1) << UNUSED) - np.uint64(1))
 #: Bytes of text in a block of documents, which one task holds at a time.
 BLOCK_BYTES = 4 << 20
 #: Blocks that a partition of the input can have.
@@ -44,7 +45,8 @@ _POWERS = Powers()
 def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(place, hash, first, last) of each anchor of the texts that end at ends in data.
 
-    first and last: the starts of the strings whose anchor it is, a range without gaps.
+    first and last: the starts of the strings whose anchor it is, a range without gaps. An anchor has the least hash
+    around it, so that most are small: what goes out is mixed again, and its ranges hold equally many.
     """
     n, span = len(data), length - GRAM + 1
     if n < length:
@@ -71,7 +73,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
         return tuple(np.zeros(0, np.int64 if i != 1 else np.uint64) for i in range(4))
     at = (low[s] & np.uint64((1 << 24) - 1)).astype(np.int64)
     new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (s[1:] != s[:-1] + 1)])
-    return at[new], h[at[new]] & HASH, s[new], s[np.r_[new[1:] - 1, len(s) - 1]]
+    return at[new], mix(h[at[new]]) & HASH, s[new], s[np.r_[new[1:] - 1, len(s) - 1]]
 
 
 def chunks(sizes: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
@@ -185,7 +187,7 @@ def unpack(data: bytes, *kinds) -> list[np.ndarray]:
 
 def coded(hashes: np.ndarray) -> bytes:
     """Sorted distinct hashes by their differences, where these are short."""
-    steps = np.diff(hashes >> np.uint64(16))
+    steps = np.diff(hashes >> UNUSED)
     if len(steps) and steps.max() >= 1 << 32:
         return b"r" + hashes.tobytes()
     return b"d" + hashes[:1].tobytes() + steps.astype(np.uint32).tobytes()
@@ -195,7 +197,7 @@ def decoded(data: bytes) -> np.ndarray:
     if data[:1] == b"r":
         return np.frombuffer(data, np.uint64, offset=1)
     first, steps = np.frombuffer(data, np.uint64, 1, 1), np.frombuffer(data, np.uint32, offset=9)
-    return np.cumsum(np.r_[first >> np.uint64(16), steps.astype(np.uint64)], dtype=np.uint64) << np.uint64(16)
+    return np.cumsum(np.r_[first >> UNUSED, steps.astype(np.uint64)], dtype=np.uint64) << UNUSED
 
 
 class Run:

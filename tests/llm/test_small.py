@@ -201,6 +201,14 @@ def test_suffixes_of_repeated_and_null_ids(spark):
     assert suffixes.dedup_suffixes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_ranges_of_gram_hashes_hold_equally_many():
+    data = np.frombuffer(random.Random(3).randbytes(200_000), np.uint8)
+    h = np.unique(suffixes.anchors(data, np.array([len(data)]), 50)[1])
+    counts = np.bincount((h >> np.uint64(60)).astype(np.int64), minlength=16)
+    assert counts.max() < 1.3 * counts.mean()
+    assert (suffixes.decoded(suffixes.coded(h)) == h).all() and (suffixes.decoded(suffixes.coded(h[:3])) == h[:3]).all()
+
+
 def test_loser_tree_merges_in_order():
     def run(strings):
         strings = sorted(strings)
