@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import base64
 import struct
-import sys
-import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import table
+from tessera.llm.common import table, worker_state
 
 #: Byte b stands as the character FIRST + b in the model's pieces: letters that no normalisation touches.
 FIRST = 0x100
@@ -105,8 +103,7 @@ class Decoder:
 
 def _kept(key: tuple, make):
     """What make() gave in this worker before; a reused worker loads no model twice."""
-    state = sys.modules.setdefault("tessera_worker_state", types.ModuleType("tessera_worker_state"))
-    kept = state.__dict__.setdefault("kept", {})
+    kept = worker_state()
     if key not in kept:
         kept.clear()
         kept[key] = make()

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import lean, written
 
 
 #: Links up to which one task unites them, counted beforehand; beyond, rounds of joins do.
@@ -48,7 +48,7 @@ def components(links: DataFrame) -> DataFrame:
 
     before = state(edges)
     if before[0] <= ONE_TASK:
-        return edges.coalesce(1).mapInArrow(_united, "node long, component long")
+        return edges.coalesce(1).mapInArrow(lean(_united), "node long, component long")
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"))

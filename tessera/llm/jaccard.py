@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import KEY, partitions, small, table, text_key, written
+from tessera.llm.common import KEY, lean, partitions, small, small_batches, table, text_key, written
 from tessera.llm.components import components
 from tessera.llm.shingles import mix, shingle_sets
 
@@ -31,8 +31,8 @@ def _counts(words: int):
         counts = np.zeros(BUCKETS, np.uint32)
         salt = None
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                sets = list(shingle_sets(batch.column(0).slice(at, 1024), words))
+            for at in range(0, len(batch), 512):
+                sets = list(shingle_sets(batch.column(0).slice(at, 512), words))
                 s = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 if salt is None and len(s):
                     salt = int(s[0]) % SALTS
@@ -229,7 +229,7 @@ class Join:
         self.n = partitions(docs.sparkSession)
 
     def describe(self) -> DataFrame:
-        counted = self.docs.select("text").mapInArrow(_counts(self.words), "salt int, slice int, counts binary")
+        counted = self.docs.select("text").mapInArrow(lean(_counts(self.words)), "salt int, slice int, counts binary")
         for key in (["salt", "slice"], ["slice"]):
             counted = counted.groupBy(*key).applyInArrow(_sum_counts, "salt int, slice int, counts binary")
         total = np.zeros(BUCKETS)
@@ -238,7 +238,7 @@ class Join:
         # Steps of a fiftieth tell rare from common; within a step the hash decides.
         counts = np.minimum(np.log1p(total) * 50, 65535).astype(np.uint16)
         schema = "doc_id long, n long, class binary, least array<long>, prefix array<long>"
-        return written(self.docs.mapInArrow(_describe(self.words, self.percent, counts), schema), "sets")
+        return written(self.docs.mapInArrow(lean(_describe(self.words, self.percent, counts)), schema), "sets")
 
     def shingles(self, nodes: DataFrame) -> DataFrame:
         """(node, shingles) of the nodes: their sorted sets, read from their texts again."""
@@ -251,7 +251,7 @@ class Join:
                     part = batch.slice(at, 256)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), words)], pa.binary())], ["node", "shingles"])
 
-        return texts.mapInArrow(run, "node long, shingles binary")
+        return texts.mapInArrow(lean(run), "node long, shingles binary")
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) for every row of docs with a doc_id."""
@@ -261,7 +261,7 @@ class Join:
         nodes = sets.where("n > 0").join(classes, "class").where("doc_id = node")
         # Posted shingles of one node alone take part in no pair. Ranges of (key, node): a very common key has several.
         posted = nodes.select("node", "n", F.explode("prefix").alias("key")).repartitionByRange(self.n, "key", "node").sortWithinPartitions("key", "node")
-        shared = written(posted.mapInArrow(_shared_keys, "node long, n long, key long"), "shared-keys")
+        shared = written(posted.mapInArrow(lean(_shared_keys), "node long, n long, key long"), "shared-keys")
         counted = shared.groupBy("node", "n").agg(F.count(F.lit(1)).alias("m"))
         members = written(counted.where(F.col("m") >= shared_least("n", percent)).select("node"), "members")
         few = written(nodes.select("node", "n", "least").join(small(members), "node", "left_semi"), "nodes")
@@ -280,7 +280,7 @@ class Join:
             rows = written(rows.select("node", "n", "key", "chunk"), "neighbours")
             ordered = shingles.join(small(rows), "node").select("key", "chunk", "n", "node", "shingles")
             ordered = ordered.repartition(self.n, "key", "chunk").sortWithinPartitions("key", "chunk", "n", "node")
-            found = written(ordered.mapInArrow(_neighbours(percent), "a long, b long"), "links")
+            found = written(ordered.mapInArrow(lean(_neighbours(percent)), "a long, b long"), "links")
             links = found if links is None else links.unionByName(found)
             labels = written(components(links), "components")
 
@@ -357,7 +357,7 @@ class Join:
         dealt = written(tiles.select("tile", F.inline(ends)).join(homes, "block").select("tile", "side", "n", "node", "component"), "tile-nodes")
         full = shingles.join(small(dealt), "node").select("tile", "side", "n", "node", "component", "shingles")
         full = full.repartition(self.n, "tile").sortWithinPartitions("tile", "side", "n", "node")
-        return full.mapInArrow(_tiles(percent), "a long, b long")
+        return full.mapInArrow(lean(_tiles(percent)), "a long, b long")
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,7 +407,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known, unknown = docs.where("doc_id is not null"), docs.where("doc_id is null").select("text")
     repeated = known.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    found = _of_rows(known, words, percent) if repeated else Join(known, words, percent).run()
+    with small_batches(docs.sparkSession):
+        found = _of_rows(known, words, percent) if repeated else Join(known, words, percent).run()
     sized = unknown.mapInArrow(_sizes(words), "n_shingles long")
     none = F.lit(None).cast("long")
     return found.unionByName(sized.select(none.alias("doc_id"), "n_shingles", none.alias("component_id")))

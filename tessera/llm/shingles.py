@@ -68,7 +68,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return h, counts
 
 
-def shingle_sets(texts: pa.Array, words: int, chunk_bytes: int = 2 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, words: int, chunk_bytes: int = 1 << 19) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes (uint64) of its runs of that many words; the whole sequence if it has fewer words.
 
     Words are runs without white space (ASCII), A-Z counts as a-z. Null, empty and blank texts have an empty set.

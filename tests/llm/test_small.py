@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
-from tessera.llm import ann, bpe, chat, components, decontaminate, jaccard, licenses, shards, shingles, suffixes, toxicity
+from tessera.llm import ann, bpe, chat, common, components, decontaminate, jaccard, licenses, shards, shingles, suffixes, toxicity
 
 RNG = random.Random(11)
 WORDS = [f"w{i}" for i in range(30)]
@@ -201,6 +201,36 @@ def test_suffixes_of_repeated_and_null_ids(spark):
     assert suffixes.dedup_suffixes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_lean_steps_leave_workers_small():
+    def resident():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(line.split()[1]) for line in f if line.startswith("Anonymous:")) / 1024
+
+    common.worker_state()["model"] = [bytes(500) for _ in range(200_000)]  # as left by a step before
+
+    def run(batches):
+        for batch in batches:
+            held = [bytes(1000) for _ in range(100_000)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(held)])], ["n"])
+
+    before = resident()
+    got = list(common.lean(run)(iter([pa.RecordBatch.from_arrays([pa.array([1])], ["n"])] * 2)))
+    assert [b.column(0).to_pylist() for b in got] == [[100_000]] * 2 and not common.worker_state()
+    assert resident() < before - 70
+
+
+def test_near_duplicates_take_small_batches(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen, describe = spark.conf.get(key), [], jaccard.Join.describe
+    monkeypatch.setattr(jaccard.Join, "describe", lambda self: seen.append(spark.conf.get(key)) or describe(self))
+    rows = [(i, f"{i % 50} " + "long text " * 200) for i in range(100)]
+    with monkeypatch.context() as m:
+        m.setattr(common, "BATCH_BYTES", 10_000)
+        got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert seen == ["10000"] and spark.conf.get(key) == before
+    assert len(got) == 100 and all(r.component_id == r.doc_id % 50 for r in got)
+
+
 def test_ranges_of_gram_hashes_hold_equally_many():
     data = np.frombuffer(random.Random(3).randbytes(200_000), np.uint8)
     h = np.unique(suffixes.anchors(data, np.array([len(data)]), 50)[1])
