@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import table, worker_state
+from tessera.llm.common import lean, table, worker_state
 
 #: Byte b stands as the character FIRST + b in the model's pieces: letters that no normalisation touches.
 FIRST = 0x100
@@ -144,7 +144,7 @@ def encode_decode(
                 part = batch.slice(int(a), int(b - a))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, back], [*part.schema.names, ids, decoded])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run, keep=True), schema)
 
 
 def digests(out: DataFrame) -> DataFrame:

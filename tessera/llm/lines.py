@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.llm.common import KEY, SPACE, attach, compact, fresh, partitions, table, with_key, written
+from tessera.llm.common import KEY, SPACE, attach, compact, fresh, lean, partitions, parts, table, with_key, written
 
 _STRIP = SPACE.encode()
 DROP, PENDING, COUNT, FIRST = 0, 1, 2, 3
@@ -27,7 +27,7 @@ def line_key(line: bytes) -> bytes:
 def _hash_lines(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
+        for batch in parts(batches):
             ids, k1, k2, texts = batch.columns
             rows, places, hashes = [], [], []
 
@@ -176,11 +176,11 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 1, min_docs: int = 10, keep_f
     kind = docs.schema["doc_id"].dataType
     fields = [("doc_id", kind), ("_k1", T.LongType()), ("_k2", T.LongType()), ("h1", T.LongType()), ("h2", T.LongType()), ("pos", T.IntegerType())]
     schema = T.StructType([T.StructField(*f) for f in fields])
-    lines = written(with_key(docs).mapInArrow(_hash_lines(max(1, min_chars)), schema), "line-hashes")
+    lines = written(with_key(docs).mapInArrow(lean(_hash_lines(max(1, min_chars))), schema), "line-hashes")
     order = ["h1", "h2", *KEY, "pos"]
     ranged = lines.repartitionByRange(partitions(spark), "h1", "h2", *KEY).sortWithinPartitions(*order)
     out = T.StructType([T.StructField("kind", T.IntegerType()), *schema.fields, T.StructField("docs", T.LongType())])
-    settled = written(ranged.mapInArrow(_stream(min_docs, keep_first, to_arrow_schema(out)), out), "line-runs")
+    settled = written(ranged.mapInArrow(lean(_stream(min_docs, keep_first, to_arrow_schema(out))), out), "line-runs")
     hot = settled.where(F.col("kind") == COUNT).groupBy("h1", "h2").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs)
     # hot has two rows for a partition at most.
     hot = hot.select("h1", "h2")
@@ -198,7 +198,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 1, min_docs: int = 10, keep_f
         drops = drops.unionByName(late.select(*KEY, "pos"))
     places = drops.groupBy(*KEY).agg(F.collect_set("pos").alias("places"))
     maps = T.StructType([*schema.fields[:3], T.StructField("bitmap", T.BinaryType())])
-    return places.mapInArrow(_bitmap(to_arrow_schema(maps)), maps)
+    return places.mapInArrow(lean(_bitmap(to_arrow_schema(maps))), maps)
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts, n_lines, n_dropped = [], [], []
             for text, bitmap in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
                 if bitmap is None:
@@ -227,7 +227,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
             new[at] = pa.array(texts, new[at].type)
             yield pa.RecordBatch.from_arrays([*new, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*columns, "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 1, min_docs: int = 10, keep_first: bool = False) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import WORD, table, written
+from tessera.llm.common import WORD, lean, parts, table, written
 
 BUCKETS = 1 << 22
 #: Lengths of word beginnings that are features beside the word itself.
@@ -261,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
     would leave out stay there.
     """
     rows = sampled(docs, labels, max_rows, label)
-    counted = rows.mapInArrow(_counts, "bucket int, n long, toxic long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    counted = rows.mapInArrow(lean(_counts), "bucket int, n long, toxic long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     size, rate = rows.agg(F.count("*"), F.coalesce(F.avg("label"), F.lit(0.0))).first()
     # BUCKETS flags at most, of a bounded sample.
     kept = np.zeros(BUCKETS, bool)
@@ -272,7 +272,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
     for group in groups:
         for term in group:
             kept[features_of(term)] = True
-    got = rows.mapInArrow(_features(kept, groups), "label int, buckets array<int>, swaps array<string>").toArrow()
+    got = rows.mapInArrow(lean(_features(kept, groups)), "label int, buckets array<int>, swaps array<string>").toArrow()
     documents = [np.asarray(x.values) for part in got["buckets"].chunks for x in part]
     swaps = Counter({(t, o): 0 for group in groups for t in group for o in group if o != t})
     swaps.update(tuple(x.split(" ")) for part in got["swaps"].chunks for x in part.flatten().to_pylist())
@@ -298,7 +298,7 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known()
-        for batch in batches:
+        for batch in parts(batches):
             logits = []
             for text in batch.column(at).to_pylist():
                 found = set().union(*filter(None, map(known.__getitem__, words_of(text))))
@@ -306,7 +306,7 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
             scores = pa.array(_sigmoid(np.array(logits)), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def held_out(doc_id):

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
-from tessera.llm import ann, bpe, chat, common, components, decontaminate, jaccard, licenses, shards, shingles, suffixes, toxicity
+from tessera.llm import ann, bpe, chat, common, components, decontaminate, jaccard, licenses, lines, shards, shingles, suffixes, toxicity
 
 RNG = random.Random(11)
 WORDS = [f"w{i}" for i in range(30)]
@@ -219,6 +219,22 @@ def test_lean_steps_leave_workers_small():
     assert resident() < before - 70
 
 
+def test_toxicity_and_line_steps_leave_workers_small(spark, monkeypatch):
+    steps, docs = [], spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    frame = type(docs)
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, real=frame.mapInArrow: steps.append(f) or real(self, f, *a))
+    toxicity.score(docs, toxicity.Model(0.0, {}))
+    lines.apply_bitmaps(docs, docs.select("doc_id", *common.text_key(F.col("text")), F.lit(None).cast("binary").alias("bitmap")))
+    texts = [f"{i} " + "long text " * 200 for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts)], ["doc_id", "text"])
+    for step, given in zip(steps, [batch, batch.append_column("bitmap", pa.nulls(2000, pa.binary()))], strict=True):
+        common.worker_state()["model"] = "left by a step before"
+        got = list(step(iter([given])))
+        assert not common.worker_state()
+        assert len(got) > 1 and all(b.nbytes < 2 * common.PART_BYTES for b in got)
+        assert [x for b in got for x in b.column(1).to_pylist()] == texts
+
+
 def test_near_duplicates_take_small_batches(spark, monkeypatch):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before, seen, describe = spark.conf.get(key), [], jaccard.Join.describe
