@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import ann, bpe, chat, decontaminate, jaccard, licenses, lines, shards, suffixes, toxicity
+from tessera.llm import ann, bpe, chat, decontaminate, exact, jaccard, licenses, lines, shards, suffixes, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_virtual_slots": shards.op10_virtual_slots,
+    "op12_exact_dedup": exact.op12_exact_dedup,
 }
 SQL = {
     "op1_line_dedup": lines.OP1_SQL,
     "op3_winnowing": decontaminate.op3_sql(),
     "op4_license_scan": licenses.op4_sql(),
     "op7_chat_formatting": chat.op7_sql(),
+    "op12_exact_dedup": exact.OP12_SQL,
 }
