@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import ann, bpe, chat, decontaminate, exact, jaccard, licenses, lines, shards, suffixes, toxicity
+from tessera.llm import ann, bpe, chat, decontaminate, exact, jaccard, licenses, lines, merkle, shards, suffixes, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_virtual_slots": shards.op10_virtual_slots,
     "op12_exact_dedup": exact.op12_exact_dedup,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 SQL = {
     "op1_line_dedup": lines.OP1_SQL,
@@ -23,4 +24,5 @@ SQL = {
     "op4_license_scan": licenses.op4_sql(),
     "op7_chat_formatting": chat.op7_sql(),
     "op12_exact_dedup": exact.OP12_SQL,
+    "op13_merkle_manifest": merkle.op13_sql(),
 }
