@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import ann, bpe, chat, decontaminate, exact, jaccard, licenses, lines, merkle, shards, suffixes, toxicity
+from tessera.llm import align, ann, bpe, chat, decontaminate, exact, jaccard, licenses, lines, merkle, shards, suffixes, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_virtual_slots": shards.op10_virtual_slots,
+    "op11_token_alignment": align.op11_token_alignment,
     "op12_exact_dedup": exact.op12_exact_dedup,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
