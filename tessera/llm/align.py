@@ -1,18 +1,21 @@
 """Cross-tokenizer alignment by relational means: tokens of two tokenizers, their byte ranges, and which of them overlap.
 
-Tokens are exploded with their places, their lengths summed up by a window to ends, and ends of both sides joined: where
-both end is a cut. A running count of cuts numbers the groups between them; tokens of a group whose ranges overlap are
-links, found by a join on group and bin of offsets. None of this is done twice for the same words: texts are first taken
-apart where both tokenizers are bound to cut, each distinct piece is aligned once, as a document of its own, and counted
-by how often it occurs. Then documents are put together from their pieces.
+Tokens are exploded with their places, and their lengths summed up by a window to ends. Ends of both sides are joined:
+where both end is a cut, and a running count of cuts numbers the groups. Each joined row also is the stretch of bytes from
+the end before to its own, over which one token of each side lies, the next one to end: these two are linked, and no two
+others are. So a running window finds the links of a group by range, without comparing its pairs.
+
+None of this is done twice for the same words: texts are first taken apart where both tokenizers are bound to cut, each
+distinct piece is aligned once, as a document of its own, and counted by how often it occurs. Then documents are put
+together from the results of their pieces, block by block.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -27,14 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import lean, table, worker_state, written
+from tessera.llm.common import lean, partitions, table, worker_state, written
 
 #: Documents are taken apart in blocks of about so many bytes of text, each with its own list of distinct pieces.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 #: A single space between characters that aren't white space, by Python's wide notion of that.
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: Byte offsets in one bin of the join of links: no more tokens than that meet in a bin, however large the group.
-BIN = 256
 #: Id pairs up to which their counts are broadcast; beyond, they are joined by an exchange.
 BROADCAST_PAIRS = 1_000_000
 #: Tokens that a batch of encoded pieces has.
@@ -118,36 +119,65 @@ class Pieces(Shipped):
         return self.model.encode(texts, num_threads=1)
 
 
+class Known(dict):
+    """The places of a block's pieces in its list; -1 for what a split at spaces gives next to other white space."""
+
+    def __init__(self):
+        super().__init__()
+        self.pieces: list[str] = []
+
+    def add(self, piece: str) -> int:
+        self[piece] = place = len(self.pieces)
+        self.pieces.append(piece)
+        return place
+
+    def __missing__(self, piece: str) -> int:
+        if piece and not piece[0].isspace() and not piece[-1].isspace():
+            return self.add(piece)
+        self[piece] = -1
+        return -1
+
+    def places(self, text: str, whole: bool) -> np.ndarray:
+        """Those of the text's pieces."""
+        if not whole:
+            found = np.array(list(map(self.__getitem__, text.split(" "))), np.int32)
+            if found.min() >= 0:
+                return found
+        parts = [text] if whole else SINGLE_SPACE.split(text)
+        places = map(self.get, parts, [-1] * len(parts))
+        return np.array([self.add(piece) if at < 0 else at for piece, at in zip(parts, places, strict=True)], np.int32)
+
+
 def _take_apart(whole: bool, block_bytes: int, arrow: pa.Schema):
     """Rows of documents (block, doc, doc_id, pieces: places in the block's list) and of that list (block, at, piece, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size = TaskContext.get().partitionId() << 32, 0
         ids: list[pa.Array] = []
-        known: dict[str, int] = {}
+        known = Known()
         found: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal block, size
+            nonlocal block, size, known
             ends = np.cumsum([0, *map(len, found)])
             flat = np.concatenate([np.empty(0, np.int32), *found])
             places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), type=arrow.field("pieces").type)
             doc_ids = pa.concat_arrays(ids)
             for n, columns in (
                 (len(found), {"doc": pa.array(np.arange(len(found), dtype=np.int32)), "doc_id": doc_ids, "pieces": places}),
-                (len(known), {"at": pa.array(np.arange(len(known), dtype=np.int32)), "piece": pa.array(list(known), pa.string()), "n": pa.array(np.bincount(flat, minlength=len(known)).astype(np.int64))}),
+                (len(known.pieces), {"at": pa.array(np.arange(len(known.pieces), dtype=np.int32)), "piece": pa.array(known.pieces, pa.string()), "n": pa.array(np.bincount(flat, minlength=len(known.pieces)).astype(np.int64))}),
             ):
                 if n:
                     columns["block"] = pa.array(np.full(n, block))
                     yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)).cast(f.type) for f in arrow], schema=arrow)
             block, size = block + 1, 0
-            ids.clear(), known.clear(), found.clear()
+            known = Known()
+            ids.clear(), found.clear()
 
         for batch in batches:
             for doc_id, text in zip(range(len(batch)), batch.column(1), strict=True):
                 text = text.as_py()
-                parts = [] if not text else [text] if whole else SINGLE_SPACE.split(text)
-                found.append(np.fromiter((known.setdefault(p, len(known)) for p in parts), np.int32, len(parts)))
+                found.append(known.places(text, whole) if text else np.empty(0, np.int32))
                 ids.append(batch.column(0).slice(doc_id, 1))
                 size += len(text or "") + 1
                 if size >= block_bytes:
@@ -159,15 +189,13 @@ def _take_apart(whole: bool, block_bytes: int, arrow: pa.Schema):
 
 
 def _encode(a: ByteLevel | Pieces, b: ByteLevel | Pieces, arrow: pa.Schema):
-    """Each piece with its tokens of both sides as (id, size); ok says whether joined tokens are the space and the piece."""
+    """Each piece with the ids of both sides; ok says whether joined tokens are the space and the piece."""
 
     def tokens(side: ByteLevel | Pieces, texts: list[str], kind: pa.DataType) -> tuple[pa.Array, list[bool]]:
         ids = side.encode(texts)
         names = side.token_bytes
         fine = [b"".join([names[i] for i in found]) == b" " + text.encode() for found, text in zip(ids, texts, strict=True)]
-        flat = [i for found in ids for i in found]
-        pairs = pa.StructArray.from_arrays([pa.array(flat, pa.int32()), pa.array([len(names[i]) for i in flat], pa.int32())], fields=list(kind.value_type))
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pairs, type=kind), fine
+        return pa.array(ids, kind), fine
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side_a, side_b = worker_state().setdefault(("align", hash(a), hash(b)), (a, b))
@@ -189,43 +217,39 @@ def _encode(a: ByteLevel | Pieces, b: ByteLevel | Pieces, arrow: pa.Schema):
     return run
 
 
-def _tokens(encoded: DataFrame, side: str) -> DataFrame:
-    """(piece_id, k, id, start, end), a row a token: lengths summed up in order of places."""
-    rows = encoded.select("piece_id", F.posexplode(side).alias("k", "t")).select("piece_id", "k", "t.id", "t.size")
-    end = F.sum("size").over(Window.partitionBy("piece_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("size")).drop("size")
-
-
-def _grouped(tokens: DataFrame, ends: DataFrame) -> DataFrame:
-    """tokens with g, the number of cuts before; a cut is an end that is in ends, those of the other side, too."""
-    both = tokens.join(ends.select("piece_id", "end", F.lit(1).alias("cut")), ["piece_id", "end"], "left")
-    cut = F.coalesce("cut", F.lit(0))
-    before = F.sum(cut).over(Window.partitionBy("piece_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) - cut
-    return both.withColumn("g", before).drop("cut")
-
-
-def _binned(tokens: DataFrame, side: str) -> DataFrame:
-    first, last = F.floor(F.col("start") / BIN), F.floor((F.col("end") - 1) / BIN)
-    return tokens.select("piece_id", "g", F.explode(F.sequence(first, last)).alias("bin"), *[F.col(c).alias(f"{side}_{c}") for c in ("id", "start", "end")])
-
-
-def align_pieces(encoded: DataFrame) -> DataFrame:
-    """encoded(piece_id, n, a, b) -> piece_id, n, n_a, n_b, n_groups, groups string, links array<long>: pair() of each link."""
-    tokens_a, tokens_b = _tokens(encoded, "a"), _tokens(encoded, "b")
-    a, b = _grouped(tokens_a, tokens_b), _grouped(tokens_b, tokens_a)
-    # A pair of ranges that overlap meets in every bin they share; the bin where the later of them starts tells it once.
-    start = F.greatest("a_start", "b_start")
-    meeting = (start < F.least("a_end", "b_end")) & (F.col("bin") == F.floor(start / BIN))
-    links = _binned(a, "a").join(_binned(b, "b"), ["piece_id", "g", "bin"]).where(meeting)
-    links = links.groupBy("piece_id").agg(F.collect_list(pair(F.col("a_id"), F.col("b_id"))).alias("links"))
-    side = [t.select("piece_id", "g", F.lit(name).alias("side"), "k", "id") for name, t in (("a", a), ("b", b))]
-    ids = [F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("k", "id")))), lambda t: t["id"].cast("string")), ",") for s in "ab"]
-    groups = side[0].unionByName(side[1]).groupBy("piece_id", "g").agg(F.concat(ids[0], F.lit("|"), ids[1]).alias("ids"))
-    groups = groups.groupBy("piece_id").agg(
-        F.count(F.lit(1)).alias("n_groups"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "ids"))), lambda g: g["ids"]), ";").alias("groups")
+def _ends(encoded: DataFrame, side: str, sizes: list[int]) -> DataFrame:
+    """(piece_id, end, a, b), a row a token, whose id is in its side's column: lengths summed up in order of places."""
+    rows = encoded.select("piece_id", F.posexplode(side).alias("k", "id"))
+    # The lengths of the vocabulary's tokens, a constant.
+    size = F.element_at(F.split(F.lit(",".join(map(str, sizes))), ",").cast("array<int>"), F.col("id") + 1)
+    end = F.sum(size).over(Window.partitionBy("piece_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    none = F.lit(None).cast("int")
+    return rows.select("piece_id", end.alias("end"), *[(F.col("id") if s == side else none).alias(s) for s in "ab"])
+
+
+def align_pieces(encoded: DataFrame, sizes_a: list[int], sizes_b: list[int]) -> DataFrame:
+    """encoded(piece_id, piece, n, a, b) -> piece_id, piece, n, n_a, n_b, n_groups, groups string, links array<long>, pair() of each.
+
+    Pieces are exchanged once, before they are exploded: all that follows is done where a piece's tokens are.
+    """
+    spread = encoded.repartition(4 * partitions(encoded.sparkSession), "piece_id")
+    tokens = _ends(spread, "a", sizes_a).unionByName(_ends(spread, "b", sizes_b))
+    # Ends of both sides meet: an outer join on piece and end that leaves pieces where they are.
+    joined = tokens.groupBy("piece_id", "end").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    backward = Window.partitionBy("piece_id").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
+    over = [F.last(s, ignorenulls=True).over(backward) for s in "ab"]
+    cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
+    stretches = joined.select("piece_id", "end", "a", "b", pair(*over).alias("link"), F.sum(cut).over(backward).alias("g"))
+    inside = F.array_sort(F.collect_list(F.struct("end", "a", "b", "link"))).alias("rows")
+    groups = stretches.groupBy("piece_id", "g").agg(inside)
+    ids = [F.array_join(F.col(f"rows.{s}").cast("array<string>"), ",") for s in "ab"]
+    groups = groups.select("piece_id", F.struct(-F.col("g"), F.concat(ids[0], F.lit("|"), ids[1]).alias("ids"), F.col("rows.link").alias("links")).alias("group"))
+    whole = groups.groupBy("piece_id").agg(F.array_sort(F.collect_list("group")).alias("all"))
+    whole = whole.select(
+        "piece_id", F.size("all").cast("long").alias("n_groups"), F.array_join("all.ids", ";").alias("groups"), F.flatten("all.links").alias("links")
     )
-    sizes = [F.size(s).cast("long").alias(f"n_{s}") for s in "ab"]
-    return encoded.select("piece_id", "n", *sizes).join(groups, "piece_id").join(links, "piece_id")
+    counts = [F.size(s).cast("long").alias(f"n_{s}") for s in "ab"]
+    return whole.join(encoded.select("piece_id", "piece", "n", *counts), "piece_id")
 
 
 def pair(a: Column, b: Column) -> Column:
@@ -239,16 +263,39 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     return counts.withColumn("best", best)
 
 
-@contextmanager
-def _joined_by_block(spark: SparkSession) -> Iterator[None]:
-    """What is run inside may join on block and place where both sides are partitioned by block alone."""
-    key = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+TOTALS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+#: Pieces whose results are put together at a time, however long the document.
+SLICE_PIECES = 1 << 18
+
+
+def _put_together(keep_groups: bool, arrow: pa.Schema):
+    """A block's documents from its list of pieces: counts added up, groups joined."""
+
+    def run(docs: pa.Table, facts: pa.Table) -> pa.Table:
+        places = np.asarray(facts.column("at"), np.int64)
+        order = np.full(int(places.max()) + 1 if len(places) else 0, -1, np.int64)
+        order[places] = np.arange(len(places))
+        of = {c: np.asarray(facts.column(c), np.int64) for c in TOTALS if c != "n_links"}
+        of["n_links"] = of["n_a"] + of["n_b"] - of["n_groups"]  # a link for each end of either side
+        sums = [of[c] for c in TOTALS]
+        groups = pa.compute.binary_join_element_wise(facts.column("groups"), ";", "").combine_chunks()
+        groups = groups.chunk(0) if isinstance(groups, pa.ChunkedArray) else groups
+        rows: list[list] = [[] for _ in arrow]
+        for doc_id, pieces in zip(range(len(docs)), docs.column("pieces"), strict=True):
+            at = order[pieces.values.to_numpy()] if pieces.is_valid and len(pieces.values) else np.empty(0, np.int64)
+            digest, texts = hashlib.sha256(), []
+            for start in range(0, len(at), SLICE_PIECES):
+                some = groups.take(pa.array(at[start : start + SLICE_PIECES]))
+                text = some.buffers()[2].to_pybytes()[: int(np.frombuffer(some.buffers()[1], np.int32)[len(some)])]
+                text = text[:-1] if start + SLICE_PIECES >= len(at) else text
+                digest.update(text)
+                texts += [text] * keep_groups
+            values = [*[int(s[at].sum()) for s in sums], digest.hexdigest() if len(at) else "", *[b"".join(texts).decode()] * keep_groups]
+            for column, value in zip(rows[1:], values, strict=True):
+                column.append(value)
+        return pa.Table.from_arrays([docs.column("doc_id"), *[pa.array(c, f.type) for c, f in zip(rows[1:], list(arrow)[1:], strict=True)]], schema=arrow)
+
+    return run
 
 
 @dataclass
@@ -267,17 +314,17 @@ def align(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces, keep_gr
     tokens: zeros, and an empty string unhashed; they count nowhere. Repeated rows and ids are rows of their own, null ids
     pass through; other columns play no part; an empty table gives none. whole: texts aren't taken apart, which is so
     anyway if a tokenizer doesn't cut at every single space. A text without such is one piece, however long: its tokens
-    must fit a window's buffer, which spills.
+    must fit a window's buffer, which spills, and the rows of its group an array.
     """
     spark = docs.sparkSession
     whole = not (a.cuts_at_spaces() and b.cuts_at_spaces()) if whole is None else whole
     apart = StructType([*_schema("block long, doc int").fields, docs.schema["doc_id"], *_schema("pieces array<int>, at int, piece string, n long").fields])
-    parts = written(docs.select("doc_id", "text").mapInArrow(lean(_take_apart(whole, block_bytes, to_arrow_schema(apart))), apart), "pieces", few_files=False)
-    lists, texts = parts.where("at is not null").select("block", "at", "piece", "n"), parts.where("at is null").select("block", "doc", "doc_id", "pieces")
+    parts = written(docs.select("doc_id", "text").mapInArrow(lean(_take_apart(whole, block_bytes, to_arrow_schema(apart))), apart), "pieces", "zstd", few_files=False)
+    lists, texts = parts.where("n > 0").select("block", "at", "piece", "n"), parts.where("at is null").select("block", "doc", "doc_id", "pieces")
 
-    schema = _schema("piece_id long, piece string, n long, ok boolean, a array<struct<id:int,size:int>>, b array<struct<id:int,size:int>>")
+    schema = _schema("piece_id long, piece string, n long, ok boolean, a array<int>, b array<int>")
     distinct = lists.groupBy("piece").agg(F.sum("n").alias("n"))
-    encoded = written(distinct.mapInArrow(lean(_encode(a, b, to_arrow_schema(schema)), keep=True), schema), "encoded")
+    encoded = written(distinct.mapInArrow(lean(_encode(a, b, to_arrow_schema(schema)), keep=True), schema), "encoded", "zstd")
     # Documents with a piece that doesn't give its bytes back have no tokens, and count nowhere.
     bad = written(lists.join(encoded.where(~F.col("ok")).select("piece"), "piece").groupBy("block").agg(F.collect_set("at").alias("bad")), "bad-pieces")
     fine = encoded.where("ok")
@@ -288,23 +335,21 @@ def align(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces, keep_gr
         lost = lost.groupBy("block", "at").count().join(lists, ["block", "at"]).groupBy("piece").agg(F.sum("count").alias("lost"))
         fine = fine.join(lost, "piece", "left").withColumn("n", F.col("n") - F.coalesce("lost", F.lit(0))).where("n > 0").drop("lost")
 
-    aligned = written(align_pieces(fine), "aligned")
+    sizes = [[len(t) for t in side.token_bytes] for side in (a, b)]
+    aligned = written(align_pieces(fine, *sizes), "aligned", "zstd")
     pairs = written(pair_counts(aligned), "pairs")
     known = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
     linked = aligned.select("piece_id", F.explode("links").alias("pair")).join(known, "pair")
-    sums = linked.groupBy("piece_id").agg(F.count(F.lit(1)).alias("n_links"), F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    facts = aligned.drop("n", "links").join(sums, "piece_id").join(encoded.select("piece_id", "piece"), "piece_id").drop("piece_id")
-    facts = lists.select("block", "at", "piece").join(facts, "piece").drop("piece")
-
-    words = texts.repartition("block").select("block", "doc", "doc_id", F.posexplode_outer("pieces").alias("k", "at"))
-    joined = words.join(facts.repartition("block").hint("shuffle_hash"), ["block", "at"], "left")
-    totals = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
-    in_order = F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "groups"))))
-    out = joined.groupBy("block", "doc", "doc_id").agg(*totals, F.array_join(F.transform(in_order, lambda p: p["groups"]), ";").alias("groups"))
-    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
-    out = out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"), *["groups"] * keep_groups)
-    with _joined_by_block(spark):
-        return Alignment(written(out, "alignment"), pairs)
+    sums = linked.groupBy("piece_id").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    facts = aligned.drop("n", "links").join(sums, "piece_id").drop("piece_id")
+    facts = lists.select(F.col("block").alias("of"), "at", "piece").join(facts, "piece").drop("piece")
+
+    out = StructType([docs.schema["doc_id"], *_schema(", ".join(f"{c} long" for c in TOTALS) + ", groups_sha256 string" + ", groups string" * keep_groups).fields])
+    arrow = to_arrow_schema(out)
+    run = _put_together(keep_groups, arrow)
+    # A block is bounded, but for a single longer document; blocks without a fine piece have documents all the same.
+    done = texts.groupBy("block").cogroup(facts.groupBy("of")).applyInArrow(lambda left, right: run(left, right), out)
+    return Alignment(written(done, "alignment"), pairs)
 
 
 def _schema(ddl: str) -> StructType:

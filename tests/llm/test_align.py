@@ -92,7 +92,7 @@ def test_small_blocks_and_whole_texts_give_the_same(spark, want):
 
 def test_pairs_joined_by_exchange(spark, want, monkeypatch):
     monkeypatch.setattr(align, "BROADCAST_PAIRS", 0)
-    monkeypatch.setattr(align, "BIN", 16)
+    monkeypatch.setattr(align, "SLICE_PIECES", 3)
     out = align.align(spark.createDataFrame(rows(), SCHEMA), align.ByteLevel.read(A_PATH), align.Pieces.read(B_PATH))
     assert collected(out.documents) == want and out.pairs.where("count < 1").isEmpty()
 
