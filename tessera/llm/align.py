@@ -228,7 +228,7 @@ def _ends(encoded: DataFrame, side: str, sizes: list[int]) -> DataFrame:
 
 
 def align_pieces(encoded: DataFrame, sizes_a: list[int], sizes_b: list[int]) -> DataFrame:
-    """encoded(piece_id, piece, n, a, b) -> piece_id, piece, n, n_a, n_b, n_groups, groups string, links array<long>, pair() of each.
+    """encoded(piece_id, piece, n, a, b) -> piece_id, piece, n, n_a, groups string, links array<long>, pair() of each.
 
     Pieces are exchanged once, before they are exploded: all that follows is done where a piece's tokens are.
     """
@@ -246,10 +246,10 @@ def align_pieces(encoded: DataFrame, sizes_a: list[int], sizes_b: list[int]) ->
     groups = groups.select("piece_id", F.struct(-F.col("g"), F.concat(ids[0], F.lit("|"), ids[1]).alias("ids"), F.col("rows.link").alias("links")).alias("group"))
     whole = groups.groupBy("piece_id").agg(F.array_sort(F.collect_list("group")).alias("all"))
     whole = whole.select(
-        "piece_id", F.size("all").cast("long").alias("n_groups"), F.array_join("all.ids", ";").alias("groups"), F.flatten("all.links").alias("links")
+        "piece_id", F.array_join("all.ids", ";").alias("groups"), F.flatten("all.links").alias("links")
     )
-    counts = [F.size(s).cast("long").alias(f"n_{s}") for s in "ab"]
-    return whole.join(encoded.select("piece_id", "piece", "n", *counts), "piece_id")
+    # Partitioned alike, so that nothing is exchanged for this.
+    return whole.join(spread.select("piece_id", "piece", "n", F.size("a").cast("long").alias("n_a")), "piece_id")
 
 
 def pair(a: Column, b: Column) -> Column:
@@ -275,7 +275,10 @@ def _put_together(keep_groups: bool, arrow: pa.Schema):
         places = np.asarray(facts.column("at"), np.int64)
         order = np.full(int(places.max()) + 1 if len(places) else 0, -1, np.int64)
         order[places] = np.arange(len(places))
-        of = {c: np.asarray(facts.column(c), np.int64) for c in TOTALS if c != "n_links"}
+        of = {c: np.asarray(facts.column(c), np.int64) for c in ("n_a", "n_best", "count_sum")}
+        marks = {c: np.asarray(pa.compute.count_substring(facts.column("groups"), c), np.int64) for c in ";,"}
+        of["n_groups"] = marks[";"] + 1
+        of["n_b"] = marks[","] + 2 * of["n_groups"] - of["n_a"]
         of["n_links"] = of["n_a"] + of["n_b"] - of["n_groups"]  # a link for each end of either side
         sums = [of[c] for c in TOTALS]
         groups = pa.compute.binary_join_element_wise(facts.column("groups"), ";", "").combine_chunks()
