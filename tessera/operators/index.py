@@ -1,29 +1,23 @@
-"""An inverted index in immutable versions: update, remove, search."""
+"""Search engines: over documents as they stand, and over an index that is updated in segments."""
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.lexer import Lexer
+from tessera.operators.segments import Conflict, Pointer, Segments, positions
 from tessera.plans.ast import Builder, Query
-from tessera.plans.indexed import Postings
+from tessera.plans.indexed import WINDOW, Postings
 from tessera.plans.parser import Parser
+from tessera.plans.ranked import Ranking
 from tessera.plans.scan import condition
 
-MAX_RESULTS = 262_144
-#: Times that an edit is made anew when another writer was first.
-ATTEMPTS = 5
-
+__all__ = ["Conflict", "IndexEngine", "Pointer", "ScanEngine", "SearchResult", "files_of", "positions", "relevance", "top_hits"]
 
-def positions(docs: DataFrame, lexer: Lexer = Lexer(), text: str = "content") -> DataFrame:
-    """content_id, term, positions array<int>: one row for each distinct term of a document."""
-    tokens = docs.select("content_id", F.posexplode(lexer.terms(F.col(text))).alias("pos", "term"))
-    return tokens.groupBy("content_id", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+MAX_RESULTS = 262_144
 
 
 @dataclass
@@ -33,11 +27,16 @@ class SearchResult:
     errors: list[str] = field(default_factory=list)
     rows: DataFrame | None = None
     warnings: list[str] = field(default_factory=list)
+    limit: int | None = None
 
     @property
     def failed(self) -> bool:
         return bool(self.errors)
 
+    def truncated(self) -> bool:
+        """Whether there may be more than the limit let through: counts the rows."""
+        return bool(self.limit) and self.rows is not None and self.rows.count() == self.limit
+
 
 class ScanEngine:
     """Answers queries over documents (content_id, content) without an index."""
@@ -52,130 +51,55 @@ class ScanEngine:
             return SearchResult(query.errors, None, query.warnings)
         # The condition refers to the terms many times; they are computed once, below it.
         terms = self.docs.select("content_id", F.explode(F.array(self.lexer.terms(F.col("content")))).alias("_terms"))
-        found = terms.where(condition(query.node, F.col("_terms"))).select("content_id")
-        return SearchResult([], found.limit(limit) if limit else found, query.warnings)
-
-
-class Conflict(RuntimeError):
-    """Another writer was first."""
-
-
-class Pointer:
-    """Which version of what lies under a path is the current one: numbered files, each written once."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self._path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}")
-        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        return _limited(terms.where(condition(query.node, F.col("_terms"))).select("content_id"), limit, query.warnings)
 
-    def names(self) -> list[str]:
-        if not self._fs.exists(self._path("")):
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path("")))
 
-    def pointers(self) -> list[str]:
-        return [n for n in self.names() if n.startswith("CURRENT-")]
-
-    def read(self, name: str) -> str:
-        stream = self._fs.open(self._path(name))
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def current(self) -> tuple[int, str | None]:
-        """The number of the current pointer, -1 if there is none, and its version."""
-        names = self.pointers()
-        return (int(names[-1][8:]), self.read(names[-1])) if names else (-1, None)
-
-    def get(self) -> str | None:
-        return self.current()[1]
-
-    def set(self, version: str, after: int) -> None:
-        """Makes version the one after the pointer numbered after, which its writer began from; Conflict if another one came first."""
-        path = self._path(f"CURRENT-{after + 1:012d}")
-        try:
-            stream = self._fs.create(path, False)
-        except Py4JJavaError as problem:
-            if self._fs.exists(path):
-                raise Conflict(f"version {after + 1} is already written") from problem
-            raise
-        stream.write(bytearray(version.encode()))
-        stream.close()
-
-    def vacuum(self, keep: int) -> None:
-        """Deletes the tables, named as in name-version, of all but the newest versions, and their pointers."""
-        pointers = self.pointers()
-        live = {self.read(p) for p in pointers[-keep:]}
-        for n in self.names():
-            if n in pointers[:-keep] or "-" in n and n not in pointers and n.rsplit("-", 1)[1] not in live:
-                self._fs.delete(self._path(n), True)
+def _limited(found: DataFrame, limit: int | None, warnings: list[str]) -> SearchResult:
+    """The smallest ids, if there is a limit: the same ones each time."""
+    return SearchResult([], found.orderBy("content_id").limit(limit) if limit else found, warnings, limit)
 
 
 class IndexEngine:
-    """An index under a path: folders documents-V, postings-V and vocabulary-V, and a pointer that names the current V.
+    """An index under a path, in segments; see segments.py. Readers see the segments of one list, whatever writers do.
 
-    A version is written whole and then pointed to, so that readers see it or the one before. Postings are sorted by term
-    within files: a term's filter reads the row groups that can have it. Ids live with the index, so that they stay valid
-    from one session to the next.
+    Ids live with the index, so that they stay valid from one session to the next. Ranks count replaced documents among
+    those that have a term, until their segment is merged.
     """
 
-    def __init__(self, spark: SparkSession, path: str, lexer: Lexer = Lexer(), **options):
+    def __init__(self, spark: SparkSession, path: str, lexer: Lexer = Lexer(), window: int = WINDOW, **options):
+        """window: how many ids share the bounds of ranks; one index has one."""
         self.spark, self.path, self.lexer, self.parser = spark, path.rstrip("/"), lexer, Parser(lexer, **options)
         self.builder = Builder(self.parser)
-        self.pointer = Pointer(spark, self.path)
+        self.segments = Segments(spark, self.path, window)
 
     def tables(self, version: str | None = None) -> Postings:
         """Those of a version, or of the current one."""
-        version = version or self.pointer.get()
-        if version is None:
-            docs = self.spark.createDataFrame([], "content_id long")
-            return Postings(docs, self.spark.createDataFrame([], "content_id long, term string, positions array<int>"), self.spark.createDataFrame([], "term string, documents long"))
-        read = lambda name: self.spark.read.parquet(f"{self.path}/{name}-{version}")
-        return Postings(read("documents"), read("postings"), read("vocabulary"))
-
-    def _edit(self, change) -> None:
-        """Writes change(old tables), (documents, postings), as the version after the one it began from.
-
-        If another writer's version came meanwhile, the change is made anew on top of that.
-        """
-        for attempt in range(ATTEMPTS):
-            number, base = self.pointer.current()
-            documents, postings = change(self.tables(base))
-            version = uuid.uuid4().hex[:12]
-            documents.write.parquet(f"{self.path}/documents-{version}")
-            postings.select("content_id", "term", "positions").repartitionByRange("term").sortWithinPartitions("term", "content_id").write.parquet(f"{self.path}/postings-{version}")
-            written = self.spark.read.parquet(f"{self.path}/postings-{version}")
-            written.groupBy("term").agg(F.count(F.lit(1)).alias("documents")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.path}/vocabulary-{version}")
-            try:
-                return self.pointer.set(version, number)
-            except Conflict:
-                if attempt + 1 == ATTEMPTS:
-                    raise
+        return self.segments.tables(version)
 
     def update(self, docs: DataFrame) -> None:
         """Puts documents (content_id, content) in, in place of those of the same id. Of an id given twice, any one text counts."""
-        docs = docs.where("content_id is not null").dropDuplicates(["content_id"]).select("content_id", "content")
-        ids = docs.select("content_id")
-
-        def change(old: Postings) -> tuple[DataFrame, DataFrame]:
-            documents = old.documents.join(ids, "content_id", "left_anti").unionByName(ids)
-            return documents, old.postings.join(ids, "content_id", "left_anti").unionByName(positions(docs, self.lexer))
-
-        self._edit(change)
+        self.segments.append(self.segments.put(docs.where("content_id is not null").dropDuplicates(["content_id"]).select("content_id", "content"), self.lexer))
+        self.segments.merge()
 
     def remove(self, ids: DataFrame) -> None:
-        ids = ids.select("content_id").distinct()
-        self._edit(lambda old: (old.documents.join(ids, "content_id", "left_anti"), old.postings.join(ids, "content_id", "left_anti")))
+        self.segments.append(self.segments.write(None, None, ids.where("content_id is not null")))
+        self.segments.merge()
 
-    def search(self, query: Query | str, limit: int | None = MAX_RESULTS) -> SearchResult:
+    def search(self, query: Query | str, limit: int | None = MAX_RESULTS, ranked: bool = False) -> SearchResult:
+        """ranked: the best of them first, with their score; see ranked.py. Else the smallest ids, if there is a limit; truncated() says whether it was reached."""
         query = self.parser(query) if isinstance(query, str) else query
         if query.errors:
             return SearchResult(query.errors, None, query.warnings)
-        found = self.tables().ids(query.node)
-        return SearchResult([], found.limit(limit) if limit else found, query.warnings)
+        tables = self.tables()
+        if not ranked:
+            return _limited(tables.ids(query.node), limit, query.warnings)
+        ranking = Ranking(tables, query.node)
+        if limit is None:
+            return SearchResult([], ranking.scored(tables).orderBy(F.desc("score"), "content_id"), query.warnings)
+        return SearchResult([], ranking.best(limit).rows, query.warnings)
 
     def vacuum(self, keep: int = 2) -> None:
-        self.pointer.vacuum(keep)
+        self.segments.pointer.vacuum(keep)
 
 
 def relevance(postings: Postings, words: list[str]) -> DataFrame:

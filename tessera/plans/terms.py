@@ -11,16 +11,21 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.ast import Fuzzy, Node, Prefix, Range, Regex, Term, Wildcard
+from tessera.plans.automata import BadRegex, automaton
 
 
 class UnsupportedRegex(ValueError):
     pass
 
 
+class NeedsAutomaton(UnsupportedRegex):
+    """The pattern has operators that Java's regular expressions lack."""
+
+
 def java_regex(pattern: str) -> str:
     """The anchored Java form of an automaton pattern: . ? * + {n,m} | () [] "quoted" # are known; ~ & @ <n-m> aren't all.
 
-    # is the empty language, @ any string; ~, & and <n-m> raise UnsupportedRegex.
+    # is the empty language, @ any string; ~, & and <n-m>, which Java's have not, raise NeedsAutomaton.
     """
     out, i = [], 0
     while i < len(pattern):
@@ -46,7 +51,7 @@ def java_regex(pattern: str) -> str:
         elif c == "#":
             out.append("(?!)")
         elif c in "~&<":
-            raise UnsupportedRegex(f"{c} isn't supported in regular expressions")
+            raise NeedsAutomaton(f"{c} isn't one of Java's operators")
         elif c in "^$":
             out.append("\\" + c)
         else:
@@ -56,8 +61,15 @@ def java_regex(pattern: str) -> str:
 
 
 def checked_regex(pattern: str) -> None:
-    """Raises UnsupportedRegex for a pattern that java_regex() or Java's own compiler refuses."""
-    form = java_regex(pattern)
+    """Raises UnsupportedRegex for a pattern that java_regex(), Java's own compiler or automaton() refuses."""
+    try:
+        form = java_regex(pattern)
+    except NeedsAutomaton:
+        try:
+            automaton(pattern)
+        except BadRegex as problem:
+            raise UnsupportedRegex(f"/{pattern}/ isn't a regular expression: {problem}") from problem
+        return
     try:
         if session := SparkSession.getActiveSession():
             session._jvm.java.util.regex.Pattern.compile(form)
@@ -110,7 +122,10 @@ def holds(node: Node, term: Column) -> Column:
     if isinstance(node, Wildcard):
         return term.rlike(wildcard_regex(node))
     if isinstance(node, Regex):
-        return term.rlike(java_regex(node.pattern))
+        try:
+            return term.rlike(java_regex(node.pattern))
+        except NeedsAutomaton:
+            return automaton(node.pattern).holds(term)
     if isinstance(node, Range):
         out = F.lit(True)
         if node.low is not None:

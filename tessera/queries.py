@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +11,10 @@ from tessera.functions import text as fn
 from tessera.functions.lexer import Lexer, has_cjk
 from tessera.functions.tolerant import edited_token, highlight, tokenize
 from tessera.operators import mirror
-from tessera.operators.index import ScanEngine, files_of, positions, relevance, top_hits
+from tessera.operators.index import IndexEngine, ScanEngine, files_of, positions, relevance, top_hits
 from tessera.plans.ast import AND, NOT, OR, Builder
-from tessera.plans.indexed import Postings
 from tessera.plans.parser import Parser
+from tessera.sources.shared import shared_dir
 from tessera.streaming.tree import debounced
 
 QUERIES: dict = {}
@@ -75,11 +77,21 @@ def vocab_df(spark, sf_dir):
     return positions(docs(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
 
 
-def tables(spark: SparkSession, sf_dir: str) -> Postings:
-    """An index that isn't written."""
-    rows = docs(spark, sf_dir)
-    found = positions(rows)
-    return Postings(rows.select("content_id"), found, found.groupBy("term").agg(F.count(F.lit(1)).alias("documents")))
+_INDEXES: dict[tuple[str, str], IndexEngine] = {}
+
+
+def new_engine(spark: SparkSession) -> IndexEngine:
+    return IndexEngine(spark, f"{shared_dir(spark)}/tessera-index-{uuid.uuid4().hex[:12]}")
+
+
+def index(spark: SparkSession, sf_dir: str) -> IndexEngine:
+    """The index of the documents under sf_dir, which a session writes once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        engine = new_engine(spark)
+        engine.update(docs(spark, sf_dir))
+        _INDEXES[key] = engine
+    return _INDEXES[key]
 
 
 # Fixed texts of queries, and what they mean in SQL over a document's terms t.
@@ -98,11 +110,17 @@ TEXT_QUERIES = {
     "q_wildcard": ("th??", _ANY("regexp_full_match(x, 'th..')")),
     "q_leading_wildcard": ("*tion", _ANY("ends_with(x, 'tion')")),
     "q_regex": ("/[st]h(e|at)+/", _ANY("regexp_full_match(x, '[st]h(e|at)+')")),
+    "q_regex_alternatives": ("/.irst|p[ao]ir/", _ANY("regexp_full_match(x, '.irst|p[ao]ir')")),
+    "q_regex_complement": ("/th.*&~(.*e.*)/", _ANY("starts_with(x, 'th') AND NOT contains(x, 'e')")),
+    "q_regex_numbers": ("/<10-99>/", _ANY("regexp_full_match(x, '[1-9][0-9]')")),
+    "q_regex_long_numbers": ("/<7-1200>/", _ANY("regexp_full_match(x, '[0-9]+') AND TRY_CAST(x AS HUGEINT) BETWEEN 7 AND 1200")),
+    "q_infix": ("*ight*", _ANY("contains(x, 'ight')")),
     "q_range_incl": ("[that TO the]", _ANY("x >= 'that' AND x <= 'the'")),
     "q_range_excl": ("{that TO the}", _ANY("x > 'that' AND x < 'the'")),
     "q_range_mixed": ("[w TO with}", _ANY("x >= 'w' AND x < 'with'")),
     "q_range_open": ("[zu TO *]", _ANY("x >= 'zu'")),
     "q_fuzzy": ("idiot~1", _ANY("damerau_levenshtein(x, 'idiot') <= 1")),
+    "q_fuzzy_two": ("idiot~2", _ANY("damerau_levenshtein(x, 'idiot') <= 2 AND damerau_levenshtein(x, 'idiot') < least(length(x), 5)")),
     "q_boolean_text": ("(the OR une) AND that && !of", f"({_HAS('the')} OR {_HAS('une')}) AND {_HAS('that')} AND NOT {_HAS('of')}"),
     "q_no_precedence": ("the AND that OR of", f"{_HAS('the')} AND {_HAS('that')}"),
     "q_nested_negative": ("the AND (NOT that)", f"{_HAS('the')} AND NOT {_HAS('that')}"),
@@ -119,13 +137,13 @@ def _scan(text: str):
 
 
 def _indexed(text: str):
-    return lambda spark, sf_dir: tables(spark, sf_dir).ids(Parser()(text).node)
+    return lambda spark, sf_dir: index(spark, sf_dir).search(text, None).rows
 
 
 for _name, (_text, _where) in TEXT_QUERIES.items():
     QUERIES[_name] = _scan(_text)
     SQL[_name] = f"WITH {_lexed()} SELECT content_id FROM k WHERE {_where}"
-for _name in ("q_term", "q_not", "q_pure_not", "q_phrase", "q_prefix", "q_leading_wildcard", "q_regex", "q_range_mixed", "q_fuzzy", "q_boolean_text", "q_no_precedence"):
+for _name in ("q_term", "q_not", "q_pure_not", "q_phrase", "q_prefix", "q_leading_wildcard", "q_regex", "q_regex_alternatives", "q_regex_complement", "q_regex_numbers", "q_regex_long_numbers", "q_infix", "q_range_mixed", "q_fuzzy", "q_fuzzy_two", "q_boolean_text", "q_no_precedence"):
     QUERIES["index_" + _name[2:]] = _indexed(TEXT_QUERIES[_name][0])
     SQL["index_" + _name[2:]] = SQL[_name]
 
@@ -140,7 +158,7 @@ def q_phrase_slop(spark, sf_dir):
 
 @query(f"WITH {_lexed()}{_SLOP}")
 def index_phrase_slop(spark, sf_dir):
-    return tables(spark, sf_dir).ids(Parser()('"of with"~3').node)
+    return index(spark, sf_dir).search('"of with"~3', None).rows
 
 
 @query(f"WITH {_lexed()} SELECT content_id FROM k WHERE {_HAS('the')} AND ({_HAS('that')} OR {_HAS('scum')}) AND NOT {_HAS('of')}")
@@ -203,23 +221,53 @@ SELECT content_id, round(score, 6) AS score FROM s ORDER BY round(score, 9) DESC
 
 @query(_RANK)
 def ranked_hits(spark, sf_dir):
-    scored = relevance(tables(spark, sf_dir), ["moron", "that"])
+    scored = relevance(index(spark, sf_dir).tables(), ["moron", "that"])
     return top_hits(scored.withColumn("score", F.round("score", 9)), 20).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_lexed()} SELECT content_id, count(DISTINCT term) AS terms FROM (SELECT content_id, unnest(t) AS term FROM k WHERE content_id % 3 <> 0 UNION ALL SELECT content_id, unnest(['replaced', 'content']) FROM k WHERE content_id % 3 = 0) GROUP BY content_id")
 def upsert_replace(spark, sf_dir):
-    """Postings after an update that replaces every third document."""
-    rows = docs(spark, sf_dir)
-    new = rows.where(F.col("content_id") % 3 == 0).select("content_id", F.lit("Replaced content").alias("content"))
-    kept = positions(rows).join(new.select("content_id"), "content_id", "left_anti")
-    return kept.unionByName(positions(new)).groupBy("content_id").agg(F.count(F.lit(1)).alias("terms"))
+    """Postings after an update of an index that replaces every third document."""
+    engine, rows = new_engine(spark), docs(spark, sf_dir)
+    engine.update(rows)
+    engine.update(rows.where(F.col("content_id") % 3 == 0).select("content_id", F.lit("Replaced content").alias("content")))
+    return engine.tables().postings.groupBy("content_id").agg(F.count(F.lit(1)).alias("terms"))
 
 
 @query(f"WITH {_lexed()} SELECT content_id, count(DISTINCT term) AS terms FROM (SELECT content_id, unnest(t) AS term FROM k WHERE content_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) GROUP BY content_id")
 def remove_ids(spark, sf_dir):
-    gone = read(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("content_id"))
-    return positions(docs(spark, sf_dir)).join(gone, "content_id", "left_anti").groupBy("content_id").agg(F.count(F.lit(1)).alias("terms"))
+    engine = new_engine(spark)
+    engine.update(docs(spark, sf_dir))
+    engine.remove(read(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("content_id")))
+    return engine.tables().postings.groupBy("content_id").agg(F.count(F.lit(1)).alias("terms"))
+
+
+def _term_sql(word: str) -> str:
+    return f"sqrt(len(list_filter(t, x -> x = '{word}'))) / sqrt(len(t)) * power(1 + ln((SELECT count(*) FROM k) / ((SELECT count(*) FROM k WHERE {_HAS(word)}) + 1)), 2)".replace("x -> ", "lambda x: ")
+
+
+def _phrase_sql(a: str, b: str) -> str:
+    times = f"len(list_filter(generate_series(1, len(t) - 1), lambda i: t[i] = '{a}' AND t[i + 1] = '{b}'))"
+    idf = " + ".join(f"1 + ln((SELECT count(*) FROM k) / ((SELECT count(*) FROM k WHERE {_HAS(w)}) + 1))" for w in (a, b))
+    return f"sqrt({times}) / sqrt(len(t)) * power({idf}, 2)"
+
+
+# Queries ranked as whole trees: their text, which documents they hold for, and the score there.
+RANKED_QUERIES = {
+    "ranked_or": ("moron^2 OR that", f"{_HAS('moron')} OR {_HAS('that')}", f"2 * {_term_sql('moron')} + {_term_sql('that')}"),
+    "ranked_phrase": ('+the^0.5 "of the"^3 -nicht', f"{_HAS('the')} AND NOT {_HAS('nicht')}", f"0.5 * {_term_sql('the')} + 3 * {_phrase_sql('of', 'the')}"),
+    "ranked_nested": ("(nicht OR pour^4) AND (th* OR de^2)^0.5", f"({_HAS('nicht')} OR {_HAS('pour')}) AND ({_ANY('starts_with(x, ' + repr('th') + ')')} OR {_HAS('de')})",
+        f"{_term_sql('nicht')} + 4 * {_term_sql('pour')} + 0.5 * (CASE WHEN {_ANY('starts_with(x, ' + repr('th') + ')')} THEN 1 ELSE 0 END + 2 * {_term_sql('de')})"),
+}
+
+
+def _ranked(text: str):
+    return lambda spark, sf_dir: index(spark, sf_dir).search(text, 50, ranked=True).rows
+
+
+for _name, (_text, _where, _score) in RANKED_QUERIES.items():
+    QUERIES[_name] = _ranked(_text)
+    SQL[_name] = f"WITH {_lexed()} SELECT content_id, round({_score}, 9) AS score FROM k WHERE {_where} ORDER BY score DESC, content_id LIMIT 50"
 
 
 _DIFF = """WITH a AS (SELECT source || '/' || doc_id AS path, doc_id AS content_id, n_chars AS length, doc_id AS mtime FROM documents),

@@ -194,16 +194,16 @@ def test_no_update_is_lost_between_two_writers(spark, tmp_path):
     docs = lambda i, t: spark.createDataFrame([(i, t)], "content_id long, content string")
     one, two = IndexEngine(spark, str(tmp_path / "ix")), IndexEngine(spark, str(tmp_path / "ix"))
     one.update(docs(1, "first"))
-    plain, times = one.tables, []
+    plain, times = one.segments.pointer.current, []
 
-    def late(version=None):
-        found = plain(version)
+    def late():
+        found = plain()
         if not times:
             times.append(1)
             two.update(docs(2, "second"))
         return found
 
-    one.tables = late
+    one.segments.pointer.current = late
     one.update(docs(3, "third"))
     assert sorted(r[0] for w in ("first", "second", "third") for r in two.search(w).rows.collect()) == [1, 2, 3]
 
