@@ -189,13 +189,13 @@ def _take_apart(whole: bool, block_bytes: int, arrow: pa.Schema):
 
 
 def _encode(a: ByteLevel | Pieces, b: ByteLevel | Pieces, arrow: pa.Schema):
-    """Each piece with the ids of both sides; ok says whether joined tokens are the space and the piece."""
+    """Each piece with the ids of a, which are n_a, and then those of b; ok says whether joined tokens are the space and the piece."""
 
-    def tokens(side: ByteLevel | Pieces, texts: list[str], kind: pa.DataType) -> tuple[pa.Array, list[bool]]:
+    def tokens(side: ByteLevel | Pieces, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
         ids = side.encode(texts)
         names = side.token_bytes
         fine = [b"".join([names[i] for i in found]) == b" " + text.encode() for found, text in zip(ids, texts, strict=True)]
-        return pa.array(ids, kind), fine
+        return ids, fine
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side_a, side_b = worker_state().setdefault(("align", hash(a), hash(b)), (a, b))
@@ -208,32 +208,34 @@ def _encode(a: ByteLevel | Pieces, b: ByteLevel | Pieces, arrow: pa.Schema):
                     continue
                 part = batch.slice(start, end - start)
                 texts = part.column("piece").to_pylist()
-                (ta, fine_a), (tb, fine_b) = (tokens(s, texts, arrow.field(k).type) for s, k in ((side_a, "a"), (side_b, "b")))
+                (ids_a, fine_a), (ids_b, fine_b) = tokens(side_a, texts), tokens(side_b, texts)
                 ok = [x and y for x, y in zip(fine_a, fine_b, strict=True)]
                 numbers = pa.array(np.arange(number, number + len(texts)))
                 number += len(texts)
-                yield pa.RecordBatch.from_arrays([numbers, part.column("piece"), part.column("n"), pa.array(ok), ta, tb], schema=arrow)
+                n_a = pa.array(list(map(len, ids_a)), pa.int32())
+                ids = pa.array([x + y for x, y in zip(ids_a, ids_b, strict=True)], arrow.field("ids").type)
+                yield pa.RecordBatch.from_arrays([numbers, part.column("piece"), part.column("n"), pa.array(ok), n_a, ids], schema=arrow)
 
     return run
 
 
-def _ends(encoded: DataFrame, side: str, sizes: list[int]) -> DataFrame:
+def _ends(encoded: DataFrame, sizes_a: list[int], sizes_b: list[int]) -> DataFrame:
     """(piece_id, end, a, b), a row a token, whose id is in its side's column: lengths summed up in order of places."""
-    rows = encoded.select("piece_id", F.posexplode(side).alias("k", "id"))
-    # The lengths of the vocabulary's tokens, a constant.
-    size = F.element_at(F.split(F.lit(",".join(map(str, sizes))), ",").cast("array<int>"), F.col("id") + 1)
-    end = F.sum(size).over(Window.partitionBy("piece_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    none = F.lit(None).cast("int")
-    return rows.select("piece_id", end.alias("end"), *[(F.col("id") if s == side else none).alias(s) for s in "ab"])
+    rows = encoded.select("piece_id", "n_a", F.posexplode("ids").alias("k", "id")).withColumn("is_b", F.col("k") >= F.col("n_a"))
+    # The lengths of the vocabularies' tokens, a constant.
+    sizes = F.split(F.lit(",".join(map(str, sizes_a + sizes_b))), ",").cast("array<int>")
+    size = F.element_at(sizes, F.col("id") + F.when(F.col("is_b"), 1 + len(sizes_a)).otherwise(1))
+    end = F.sum(size).over(Window.partitionBy("piece_id", "is_b").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select("piece_id", end.alias("end"), F.when(~F.col("is_b"), F.col("id")).alias("a"), F.when(F.col("is_b"), F.col("id")).alias("b"))
 
 
 def align_pieces(encoded: DataFrame, sizes_a: list[int], sizes_b: list[int]) -> DataFrame:
-    """encoded(piece_id, piece, n, a, b) -> piece_id, piece, n, n_a, groups string, links array<long>, pair() of each.
+    """encoded(piece_id, piece, n, n_a, ids) -> piece_id, piece, n, n_a, groups string, links array<long>, pair() of each.
 
     Pieces are exchanged once, before they are exploded: all that follows is done where a piece's tokens are.
     """
     spread = encoded.repartition(4 * partitions(encoded.sparkSession), "piece_id")
-    tokens = _ends(spread, "a", sizes_a).unionByName(_ends(spread, "b", sizes_b))
+    tokens = _ends(spread, sizes_a, sizes_b)
     # Ends of both sides meet: an outer join on piece and end that leaves pieces where they are.
     joined = tokens.groupBy("piece_id", "end").agg(F.max("a").alias("a"), F.max("b").alias("b"))
     backward = Window.partitionBy("piece_id").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
@@ -249,7 +251,7 @@ def align_pieces(encoded: DataFrame, sizes_a: list[int], sizes_b: list[int]) ->
         "piece_id", F.array_join("all.ids", ";").alias("groups"), F.flatten("all.links").alias("links")
     )
     # Partitioned alike, so that nothing is exchanged for this.
-    return whole.join(spread.select("piece_id", "piece", "n", F.size("a").cast("long").alias("n_a")), "piece_id")
+    return whole.join(spread.select("piece_id", "piece", "n", "n_a"), "piece_id")
 
 
 def pair(a: Column, b: Column) -> Column:
@@ -325,13 +327,13 @@ def align(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces, keep_gr
     parts = written(docs.select("doc_id", "text").mapInArrow(lean(_take_apart(whole, block_bytes, to_arrow_schema(apart))), apart), "pieces", "zstd", few_files=False)
     lists, texts = parts.where("n > 0").select("block", "at", "piece", "n"), parts.where("at is null").select("block", "doc", "doc_id", "pieces")
 
-    schema = _schema("piece_id long, piece string, n long, ok boolean, a array<int>, b array<int>")
+    schema = _schema("piece_id long, piece string, n long, ok boolean, n_a int, ids array<int>")
     distinct = lists.groupBy("piece").agg(F.sum("n").alias("n"))
     encoded = written(distinct.mapInArrow(lean(_encode(a, b, to_arrow_schema(schema)), keep=True), schema), "encoded", "zstd")
     # Documents with a piece that doesn't give its bytes back have no tokens, and count nowhere.
-    bad = written(lists.join(encoded.where(~F.col("ok")).select("piece"), "piece").groupBy("block").agg(F.collect_set("at").alias("bad")), "bad-pieces")
-    fine = encoded.where("ok")
-    if not bad.isEmpty():
+    fine, spoils = encoded.where("ok"), encoded.where(~F.col("ok")).select("piece")
+    if not spoils.isEmpty():
+        bad = written(lists.join(spoils, "piece").groupBy("block").agg(F.collect_set("at").alias("bad")), "bad-pieces")
         spoilt = F.arrays_overlap("pieces", "bad")
         texts = texts.join(bad, "block", "left").withColumn("pieces", F.when(~F.coalesce(spoilt, F.lit(False)), F.col("pieces"))).drop("bad")
         lost = parts.where("at is null").select("block", "pieces").join(bad, "block").where(spoilt).select("block", F.explode("pieces").alias("at"))
@@ -342,9 +344,8 @@ def align(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces, keep_gr
     aligned = written(align_pieces(fine, *sizes), "aligned", "zstd")
     pairs = written(pair_counts(aligned), "pairs")
     known = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
-    linked = aligned.select("piece_id", F.explode("links").alias("pair")).join(known, "pair")
-    sums = linked.groupBy("piece_id").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    facts = aligned.drop("n", "links").join(sums, "piece_id").drop("piece_id")
+    linked = aligned.select("piece", "n_a", "groups", F.explode("links").alias("pair")).join(known, "pair")
+    facts = linked.groupBy("piece").agg(F.first("n_a").alias("n_a"), F.first("groups").alias("groups"), F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
     facts = lists.select(F.col("block").alias("of"), "at", "piece").join(facts, "piece").drop("piece")
 
     out = StructType([docs.schema["doc_id"], *_schema(", ".join(f"{c} long" for c in TOTALS) + ", groups_sha256 string" + ", groups string" * keep_groups).fields])
