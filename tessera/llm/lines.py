@@ -55,7 +55,7 @@ def _hash_lines(min_chars: int):
     return run
 
 
-def _stream(min_docs: int, keep_first: bool, schema: pa.Schema):
+def _stream(min_docs: int, keep_first: bool, by_id: bool, schema: pa.Schema):
     """Rows (kind, document, hash, place): DROP for lines of keys found in min_docs documents at least.
 
     A key that the partition holds alone is decided here. Of the first and the last key of a partition a COUNT row gives
@@ -93,11 +93,17 @@ def _stream(min_docs: int, keep_first: bool, schema: pa.Schema):
             part = pa.Table.from_batches([batch])
             k1, k2, h1, h2 = (np.asarray(batch.column(i)) for i in (1, 2, 3, 4))
             ids = batch.column(0)
+
+            def document(i: int, ids=ids, k1=k1, k2=k2) -> tuple:
+                return (ids[i].as_py(),) if by_id else (ids[i].as_py(), k1[i], k2[i])
+
             codes = np.asarray(ids.dictionary_encode().indices.fill_null(-1))
             goes_on = key == (h1[0], h2[0])
             new_key = np.r_[not goes_on, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
-            same_doc = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]) & (codes[1:] == codes[:-1])
-            new_doc = np.r_[not goes_on or last != (ids[0].as_py(), k1[0], k2[0]), new_key[1:] | ~same_doc]
+            same_doc = codes[1:] == codes[:-1] if by_id else (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]) & (codes[1:] == codes[:-1])
+            new_doc = np.r_[not goes_on or last != document(0), new_key[1:] | ~same_doc]
+            if by_id:
+                new_doc &= codes >= 0
             begins = np.flatnonzero(np.r_[True, new_key[1:]])
             ends = np.r_[begins[1:], len(h1)]
             counts = np.add.reduceat(new_doc.astype(np.int64), begins)
@@ -126,7 +132,7 @@ def _stream(min_docs: int, keep_first: bool, schema: pa.Schema):
                 held.clear()
             for kind in (DROP, PENDING, FIRST):
                 yield from result(part.take(pa.array(np.flatnonzero(kinds == kind))), kind)
-            key, last, docs = (h1[-1], h2[-1]), (ids[len(ids) - 1].as_py(), k1[-1], k2[-1]), int(counts[-1])
+            key, last, docs = (h1[-1], h2[-1]), document(len(ids) - 1), int(counts[-1])
             if docs < min_docs:
                 held.append(part.slice(int(begins[-1])))
         if key is not None:
@@ -161,12 +167,14 @@ def dropped_lines(bitmap: bytes | None, n: int) -> np.ndarray:
     return np.concatenate([bits, np.zeros(n - len(bits), np.uint8)]).astype(bool)
 
 
-def line_bitmaps(docs: DataFrame, min_chars: int = 1, min_docs: int = 10, keep_first: bool = False) -> DataFrame:
+def line_bitmaps(docs: DataFrame, min_chars: int = 1, min_docs: int = 10, keep_first: bool = False, by_id: bool = False) -> DataFrame:
     """doc_id, _k1, _k2, bitmap (zlib): for each document that loses lines, which ones.
 
     A line's key is the line stripped of white space and with A-Z lower-cased. Keys of at least min_chars code points
     that are found in at least min_docs documents lose all their lines in every document, or, with
     keep_first, all but the first in order of doc_id and place. A null or empty text is one empty line. Rows of equal doc_id and text (nulls included) are copies of one document and count once.
+    With by_id, a doc_id is one document, however many texts its rows have, and rows without one count nowhere. An empty table gives
+    none; columns but doc_id and text play no part.
 
     The lines' hashes, 128 bits, are range-partitioned by hash and document, so that a very common line spreads
     over several partitions, and sorted by hash, document and place. Each partition streams its runs; what a run that reaches the partition's
@@ -178,9 +186,10 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 1, min_docs: int = 10, keep_f
     schema = T.StructType([T.StructField(*f) for f in fields])
     lines = written(with_key(docs).mapInArrow(lean(_hash_lines(max(1, min_chars))), schema), "line-hashes")
     order = ["h1", "h2", *KEY, "pos"]
-    ranged = lines.repartitionByRange(partitions(spark), "h1", "h2", *KEY).sortWithinPartitions(*order)
+    # What counts as one document stands in one partition.
+    ranged = lines.repartitionByRange(partitions(spark), "h1", "h2", *(KEY[:1] if by_id else KEY)).sortWithinPartitions(*order)
     out = T.StructType([T.StructField("kind", T.IntegerType()), *schema.fields, T.StructField("docs", T.LongType())])
-    settled = written(ranged.mapInArrow(lean(_stream(min_docs, keep_first, to_arrow_schema(out))), out), "line-runs")
+    settled = written(ranged.mapInArrow(lean(_stream(min_docs, keep_first, by_id, to_arrow_schema(out))), out), "line-runs")
     hot = settled.where(F.col("kind") == COUNT).groupBy("h1", "h2").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs)
     # hot has two rows for a partition at most.
     hot = hot.select("h1", "h2")
@@ -230,14 +239,14 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return joined.mapInArrow(lean(run), schema)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 1, min_docs: int = 10, keep_first: bool = False) -> DataFrame:
-    """docs without the lines of common keys; a null text stays null. See line_bitmaps()."""
-    return apply_bitmaps(docs, line_bitmaps(docs, min_chars, min_docs, keep_first))
+def dedup_lines(docs: DataFrame, min_chars: int = 1, min_docs: int = 10, keep_first: bool = False, by_id: bool = False) -> DataFrame:
+    """docs without the lines of common keys; a null text stays null, other columns pass through. See line_bitmaps()."""
+    return apply_bitmaps(docs, line_bitmaps(docs, min_chars, min_docs, keep_first, by_id))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return compact(dedup_lines(docs, 1, 10)).select(
+    return compact(dedup_lines(docs, 1, 10, by_id=True)).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
 

@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from tessera.llm import lines
@@ -42,3 +43,14 @@ def test_edge_rows(spark):
     out = lines.dedup_lines(docs, 1, 2).collect()
     assert sorted((r.doc_id or 0, r.text, r.n_lines, r.n_dropped) for r in out) == [(0, "b", 2, 1)] * 2 + [(1, "", 1, 1)] * 2
     assert lines.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_repeated_and_null_ids_against_the_sql(spark, tmp_path):
+    rows = [(i // 2, f"five ids on ten texts\n{i}") for i in range(10)] + [(20 + i, f"nine ids and none\n{i}") for i in range(9)] + [(None, "nine ids and none"), (None, "other")]
+    rows += [(40 + i, f" Ten IDS\nx{i}") for i in range(10)] + [(40, "ten ids"), (40, None), (None, None), (None, "ten ids\nlast"), (41, f" Ten IDS\nx{1}")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted([tuple(r) for r in lines.op1_line_dedup(spark, str(tmp_path)).collect()], key=str)
+    with duckdb.connect() as c:
+        c.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        assert sorted(c.sql(lines.OP1_SQL).fetchall(), key=str) == got
+    assert sum(r[2] for r in got) == 13
