@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import path_ancestors, path_key
+from tessera.sources.shared import shared_dir
 
 FILE, DIRECTORY, ROOT, UNCERTAIN = "File", "Directory", "Root", "Uncertain"
 CREATED, CHANGED, DELETED, RENAMED, FOUND = "Created", "Changed", "Deleted", "Renamed", "Found"
@@ -63,9 +65,9 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
     before: path, content_id, length, mtime; after: path, length, mtime. Both may have a digest of the content too. Paths
     meet without regard to case. A new or changed file gets a new id, after the largest there was; a file that is found
-    elsewhere with the same length and time, and the same digest where there are digests, in the place of one that went is
-    renamed and keeps its id, as long as the match is unique on both sides. Without digests another file of equal length
-    and time passes for the old one.
+    elsewhere with the same length and time in the place of one that went is renamed and keeps its id. With digests, which
+    must be the same too, several such are paired in order of path: equal files may stand for each other. Without, the
+    match must be unique on both sides, and another file of equal length and time passes for the old one.
     """
     mark = ["length", "mtime", *(["digest"] if "digest" in before.columns and "digest" in after.columns else [])]
     old = before.select(path_key(F.col("path")).alias("_key"), F.col("path").alias("old_path"), "content_id", *[F.col(c).alias(f"_{c}") for c in mark])
@@ -73,9 +75,14 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     both = old.join(new, "_key", "full_outer")
     gone, came = both.where("path is null"), both.where("old_path is null")
     held = [f"_{c}" for c in mark]
-    g = gone.select("old_path", "content_id", *held).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*held))).where("_n = 1")
-    c = came.select("path", *[F.col(m).alias(f"_{m}") for m in mark]).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*held))).where("_n = 1")
-    moved = g.drop("_n").join(c.drop("_n"), held).select("path", "old_path", "content_id")
+    g, c = gone.select("old_path", "content_id", *held), came.select("path", *[F.col(m).alias(f"_{m}") for m in mark])
+    if "digest" in mark:
+        moved = places(g, held, ["old_path"]).join(places(c, held, ["path"]), [*held, "place"])
+    else:
+        alone = F.count(F.lit(1)).alias("_n")
+        g = g.groupBy(*held).agg(F.first("old_path").alias("old_path"), F.first("content_id").alias("content_id"), alone).where("_n = 1").drop("_n")
+        moved = g.join(c.groupBy(*held).agg(F.first("path").alias("path"), alone).where("_n = 1").drop("_n"), held)
+    moved = moved.select("path", "old_path", "content_id")
     changed = both.where("path is not null and old_path is not null and not (length <=> _length and mtime <=> _mtime)")
     fresh = came.select("path").join(moved.select("path"), "path", "left_anti").select("path", F.lit(CREATED).alias("change_type")).unionByName(changed.select("path", F.lit(CHANGED).alias("change_type")))
     numbered = with_new_ids(fresh, before)
@@ -87,18 +94,32 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def places(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df with place, from 1, in the given order among the rows of equal keys; nulls are equal and come first.
+
+    Ranges of keys and order are numbered by themselves and then shifted, so that a frequent key spreads over tasks. The
+    ranges are written to the shared folder: another sampling of them would number other rows.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tessera-places-{uuid.uuid4().hex[:16]}"
+    dealt = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, *order)
+    dealt.withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    rows = dealt.withColumn("_row", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)))
+    # A row for each range and one more for each key at most.
+    sizes = rows.groupBy("_part", *keys).agg(F.max("_row").alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(F.col("_part").alias("_of"), *[F.col(k).alias(f"_of_{k}") for k in keys], F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    same = F.col("_part") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return rows.join(shift, same).withColumn("place", (F.col("_shift") + F.col("_row")).cast("long")).select(*df.columns, "place")
+
+
 def with_new_ids(fresh: DataFrame, before: DataFrame) -> DataFrame:
-    """Dense ids in order of path, after the largest of before: partitions are numbered by themselves and then shifted."""
-    ordered = fresh.repartitionByRange("path").sortWithinPartitions("path")
-    part = F.spark_partition_id()
-    counted = ordered.withColumn("_part", part)
-    rows = counted.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy("path")))
-    # One row for each partition.
-    sizes = rows.groupBy("_part").agg(F.max("_row").alias("_size"))
-    shift = sizes.withColumn("_shift", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_shift")
-    top = before.agg(F.coalesce(F.max("content_id"), F.lit(-1)).alias("_top"))
-    out = rows.join(F.broadcast(shift), "_part").join(F.broadcast(top))
-    return out.withColumn("content_id", (F.col("_top") + F.col("_shift") + F.col("_row")).cast("long")).drop("_part", "_row", "_shift", "_top")
+    """Dense ids in order of path, after the largest of before."""
+    top = before.agg(F.coalesce(F.max("content_id"), F.lit(-1)).alias("_top"))  # one row
+    return places(fresh, [], ["path"]).join(F.broadcast(top)).withColumn("content_id", (F.col("_top") + F.col("place")).cast("long")).drop("_top", "place")
 
 
 def apply_diff(before: DataFrame, after: DataFrame, diff: DataFrame) -> DataFrame:
@@ -178,15 +199,5 @@ def size_order(tasks: DataFrame) -> DataFrame:
 
 
 def size_places(tasks: DataFrame) -> DataFrame:
-    """tasks with their place in size_order, from 1; null lengths come first.
-
-    Ranges of (length, seq) are numbered by themselves and then shifted by the rows before them, so that no task holds the
-    whole queue. The number of ranges is given, so that it's the same wherever the plan is run.
-    """
-    ranges = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tasks.repartitionByRange(ranges, "length", "seq").withColumn("_part", F.spark_partition_id())
-    rows = dealt.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy("length", "seq")))
-    # One row for each range.
-    sizes = rows.groupBy("_part").agg(F.max("_row").alias("_size"))
-    shift = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
-    return rows.join(F.broadcast(shift), "_part").withColumn("place", (F.col("_shift") + F.col("_row")).cast("long")).drop("_part", "_row", "_shift")
+    """tasks with their place in size_order, from 1; null lengths come first."""
+    return places(tasks, [], ["length", "seq"])

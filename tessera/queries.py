@@ -294,6 +294,24 @@ def snapshot_diff(spark, sf_dir):
     return mirror.snapshot_diff(before, after.unionByName(new))
 
 
+@query("""WITH a AS (SELECT lang || '/' || doc_id AS path, doc_id AS content_id, sha256(coalesce(text, '')) AS d FROM documents),
+b AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'moved/' || doc_id ELSE lang || '/' || doc_id END AS path, sha256(coalesce(text, '')) AS d FROM documents WHERE doc_id % 5 <> 1),
+g AS (SELECT path AS p, content_id, d, row_number() OVER (PARTITION BY d ORDER BY path) AS n FROM a WHERE path NOT IN (SELECT path FROM b)),
+c AS (SELECT path AS q, d, row_number() OVER (PARTITION BY d ORDER BY path) AS n FROM b WHERE path NOT IN (SELECT path FROM a)),
+mv AS (SELECT p, q, content_id FROM g JOIN c USING (d, n))
+SELECT q AS path, 'Renamed' AS change_type, p AS old_path, content_id FROM mv
+UNION ALL SELECT p, 'Deleted', NULL, content_id FROM g WHERE p NOT IN (SELECT p FROM mv)
+UNION ALL SELECT q, 'Created', NULL, (SELECT max(content_id) FROM a) + row_number() OVER (ORDER BY q) FROM c WHERE q NOT IN (SELECT q FROM mv)""")
+def snapshot_moves(spark, sf_dir):
+    """Files with digests, many of them copies of each other, of which some move and some go: each one that came has one that went."""
+    rows = read(spark, sf_dir, "documents", "doc_id", "lang", "text")
+    path, digest = F.concat("lang", F.lit("/"), "doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256)
+    fixed = [F.lit(0).alias("length"), F.lit(0).alias("mtime"), digest.alias("digest")]
+    before = rows.select(path.alias("path"), F.col("doc_id").alias("content_id"), *fixed)
+    moved = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("moved/"), "doc_id")).otherwise(path)
+    return mirror.snapshot_diff(before, rows.where("doc_id % 5 <> 1").select(moved.alias("path"), *fixed))
+
+
 @query("""WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM m)
 SELECT user_id, count(*) AS n_events, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM g GROUP BY user_id, burst""")
