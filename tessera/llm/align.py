@@ -33,7 +33,7 @@ from pyspark.sql.types import StructType
 from tessera.llm.common import lean, partitions, table, worker_state, written
 
 #: Documents are taken apart in blocks of about so many bytes of text, each with its own list of distinct pieces.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 80 << 20
 #: A single space between characters that aren't white space, by Python's wide notion of that.
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Id pairs up to which their counts are broadcast; beyond, they are joined by an exchange.
@@ -324,7 +324,9 @@ def align(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces, keep_gr
     spark = docs.sparkSession
     whole = not (a.cuts_at_spaces() and b.cuts_at_spaces()) if whole is None else whole
     apart = StructType([*_schema("block long, doc int").fields, docs.schema["doc_id"], *_schema("pieces array<int>, at int, piece string, n long").fields])
-    parts = written(docs.select("doc_id", "text").mapInArrow(lean(_take_apart(whole, block_bytes, to_arrow_schema(apart))), apart), "pieces", "zstd", few_files=False)
+    # Few long tasks: a piece is sent once for each block that has it.
+    docs = docs.select("doc_id", "text").coalesce(2 * spark.sparkContext.defaultParallelism)
+    parts = written(docs.mapInArrow(lean(_take_apart(whole, block_bytes, to_arrow_schema(apart))), apart), "pieces", "zstd", few_files=False)
     lists, texts = parts.where("n > 0").select("block", "at", "piece", "n"), parts.where("at is null").select("block", "doc", "doc_id", "pieces")
 
     schema = _schema("piece_id long, piece string, n long, ok boolean, n_a int, ids array<int>")
