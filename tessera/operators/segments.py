@@ -89,10 +89,12 @@ class Pointer:
                 self._fs.delete(self._path(n), True)
 
 
-def positions(docs: DataFrame, lexer: Lexer = Lexer(), text: str = "content") -> DataFrame:
-    """content_id, term, positions array<int>: one row for each distinct term of a document."""
-    tokens = docs.select("content_id", F.posexplode(lexer.terms(F.col(text))).alias("pos", "term"))
-    return tokens.groupBy("content_id", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+def positions(docs: DataFrame, lexer: Lexer = Lexer(), text: str = "content", length: bool = False) -> DataFrame:
+    """content_id, term, positions array<int>: one row for each distinct term of a document; with its number of terms, if asked for."""
+    lexed = docs.select("content_id", F.explode(F.array(lexer.terms(F.col(text)))).alias("terms"))
+    tokens = lexed.select("content_id", F.size("terms").alias("length"), F.posexplode("terms").alias("pos", "term"))
+    known = [F.first("length").alias("length")] if length else []
+    return tokens.groupBy("content_id", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"), *known)
 
 
 def grams(vocabulary: DataFrame) -> DataFrame:
@@ -168,16 +170,20 @@ class Segments:
     def _sorted(self, df: DataFrame, kind: str, name: str, *keys: str) -> None:
         df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(f"{self.path}/{kind}-{name}")
 
-    def write(self, documents: DataFrame | None, postings: Callable[[DataFrame], DataFrame] | None, mentioned: DataFrame) -> Segment:
-        """A segment that no list names yet. documents: content_id, length; postings: what they have, from the written ones."""
+    def write(self, documents: DataFrame | None, postings: DataFrame | None, removed: DataFrame | None = None) -> Segment:
+        """A segment that no list names yet. documents: content_id; postings: what they have; removed: further ids that it mentions."""
         name = uuid.uuid4().hex[:12]
-        self._sorted(mentioned.select("content_id").distinct(), "mentioned", name, "content_id")
-        n, m = 0, self.read("mentioned", name).count()
+        n = m = 0
         if documents is not None:
-            self._sorted(documents.select("content_id", "length"), "documents", name, "content_id")
-            n = self.read("documents", name).count()
+            self._sorted(documents.select("content_id"), "documents", name, "content_id")
+            n = m = self.read("documents", name).count()
+        if removed is not None:
+            ids = removed.select("content_id")
+            ids = ids.unionByName(self.read("documents", name)) if n else ids
+            self._sorted(ids.distinct(), "mentioned", name, "content_id")
+            m = self.read("mentioned", name).count()
         if n:
-            rows = postings(self.read("documents", name)).withColumn("window", F.floor(F.col("content_id") / self.window).cast("long"))
+            rows = postings.withColumn("window", F.floor(F.col("content_id") / self.window).cast("long"))
             self._sorted(rows.select("term", "window", "content_id", "positions", "length"), "postings", name, "term", "window", "content_id")
             impact = F.max(F.sqrt(F.size("positions")) / F.sqrt("length")).alias("impact")
             self._sorted(self.read("postings", name).groupBy("term", "window").agg(impact, F.count(F.lit(1)).alias("documents")), "windows", name, "term", "window")
@@ -188,13 +194,16 @@ class Segments:
 
     def put(self, docs: DataFrame, lexer: Lexer) -> Segment:
         """A segment of documents (content_id, content)."""
-        lexed = docs.select("content_id", F.size(lexer.terms(F.col("content"))).alias("length"))
-        return self.write(lexed, lambda written: positions(docs, lexer).join(written, "content_id"), docs)
+        return self.write(docs, positions(docs, lexer, length=True))
+
+    def _mentioned(self, segment: Segment) -> DataFrame:
+        """The ids that a segment puts or removes; those of its documents, if there are no more."""
+        return self.read("documents" if segment.documents == segment.mentioned else "mentioned", segment)
 
     def _live(self, kind: str, segments: list[Segment], k: int) -> DataFrame:
         """The rows of segment k whose documents no later segment mentions."""
         rows = self.read(kind, segments[k])
-        later = [self.read("mentioned", s) for s in segments[k + 1 :]]
+        later = [self._mentioned(s) for s in segments[k + 1 :]]
         for df in later[1:]:
             later[0] = later[0].unionByName(df)
         return rows.join(later[0], "content_id", "left_anti") if later else rows
@@ -209,10 +218,10 @@ class Segments:
                 found[0] = found[0].unionByName(df)
             return found[0] if found else None
 
-        ids = self.read("mentioned", run[0])
+        ids = self._mentioned(run[0])
         for s in run[1:]:
-            ids = ids.unionByName(self.read("mentioned", s))
-        return self.write(live("documents"), lambda written: live("postings").select("term", "content_id", "positions", "length"), ids)
+            ids = ids.unionByName(self._mentioned(s))
+        return self.write(live("documents"), live("postings"), ids)
 
     def change(self, edit: Callable[[list[Segment]], list[Segment] | None]) -> None:
         """Puts edit(segments) in place of the list, anew if another writer's list came meanwhile; None leaves it."""
@@ -250,7 +259,7 @@ class Segments:
         """What the segments of a version, or of the current one, hold together."""
         segments = parse_segments(version if version is not None else self.pointer.get())
         kinds = {
-            "documents": "content_id long, length int", "postings": "term string, window long, content_id long, positions array<int>, length int",
+            "documents": "content_id long", "postings": "term string, window long, content_id long, positions array<int>, length int",
             "windows": "term string, window long, impact double, documents long", "vocabulary": "term string, documents long",
             "grams": "gram string, term string", "variants": "variant string, term string",
         }

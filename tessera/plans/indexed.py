@@ -18,7 +18,7 @@ WINDOW = 1024
 #: Characters of the grams that lead from a pattern to terms.
 GRAM = 3
 #: First characters of a term whose deletions are kept, and how many at once: edits that fuzzy terms allow.
-VARIANT_PREFIX, VARIANT_EDITS = 8, 2
+VARIANT_PREFIX, VARIANT_EDITS = 7, 2
 #: Terms that are given by name, so that the files' statistics can tell which parts of the postings to read; more are joined.
 NAMED_TERMS = 200
 

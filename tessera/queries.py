@@ -12,6 +12,8 @@ from tessera.functions.lexer import Lexer, has_cjk
 from tessera.functions.tolerant import edited_token, highlight, tokenize
 from tessera.operators import mirror
 from tessera.operators.index import IndexEngine, ScanEngine, files_of, positions, relevance, top_hits
+from tessera.operators.snippets import offsets, snippets
+from tessera.operators.work import ADD, REMOVE, pending, work_order
 from tessera.plans.ast import AND, NOT, OR, Builder
 from tessera.plans.parser import Parser
 from tessera.sources.shared import shared_dir
@@ -294,6 +296,40 @@ def snapshot_diff(spark, sf_dir):
     return mirror.snapshot_diff(before, after.unionByName(new))
 
 
+_PLACES = f"""WITH w AS (SELECT doc_id AS content_id, unnest(regexp_extract_all(coalesce(text, ''), '{_WORD}', 0)) AS word,
+  unnest(string_split_regex(coalesce(text, ''), '{_WORD}')[:-2]) AS gap, generate_subscripts(regexp_extract_all(coalesce(text, ''), '{_WORD}', 0), 1) AS pos FROM documents),
+o AS (SELECT content_id, pos, lower(word) AS term, sum(length(word) + length(gap)) OVER (PARTITION BY content_id ORDER BY pos) - length(word) AS start, length(word) AS n FROM w)"""
+
+
+@query(f"""{_PLACES}, l AS (SELECT content_id, start + n AS "end", max(CASE WHEN term = 'the' THEN start END) OVER s AS a, max(CASE WHEN term = 'that' THEN start END) OVER s AS b
+  FROM o WHERE term IN ('the', 'that') WINDOW s AS (PARTITION BY content_id ORDER BY pos)),
+r AS (SELECT content_id, least(a, b) AS start, "end", row_number() OVER (PARTITION BY content_id ORDER BY "end" - least(a, b), "end") AS k FROM l WHERE a IS NOT NULL AND b IS NOT NULL)
+SELECT content_id, start::INT AS start, "end"::INT AS "end" FROM r WHERE k = 1""")
+def shortest_snippets(spark, sf_dir):
+    """Where in each document the shortest stretch with both words is."""
+    return snippets(docs(spark, sf_dir), ["the", "that"])
+
+
+@query(f"{_PLACES} SELECT content_id, count(*) AS terms, sum(start)::BIGINT AS starts, max(start + n)::INT AS last FROM o GROUP BY content_id")
+def term_offsets(spark, sf_dir):
+    found = offsets(docs(spark, sf_dir))
+    return found.groupBy("content_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("start").alias("starts"), F.max("end").alias("last"))
+
+
+@query("""WITH r AS (SELECT event_id AS seq, user_id AS key, CASE WHEN event_type IN (SELECT min(event_type) FROM events) THEN 'Remove' ELSE 'Add' END AS op, CAST(floor(value) AS BIGINT) AS size FROM events WHERE user_id IS NOT NULL),
+m AS (SELECT *, CASE WHEN op = lag(op) OVER k THEN 0 ELSE 1 END AS new FROM r WINDOW k AS (PARTITION BY key ORDER BY seq)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY seq) AS run FROM m),
+q AS (SELECT key, any_value(op) AS op, min(seq) AS seq, max_by(size, seq) AS size FROM g WHERE run = (SELECT max(h.run) FROM g h WHERE h.key = g.key) GROUP BY key)
+SELECT key, op, seq, size, row_number() OVER (ORDER BY op = 'Add', CASE WHEN op = 'Add' THEN size END NULLS FIRST, seq) AS place FROM q""")
+def work_queue(spark, sf_dir):
+    """Users as keys whose events ask for work: one kind of event for removal, the others for addition, by value."""
+    events = read(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value")
+    kind = F.broadcast(events.agg(F.min("event_type").alias("_kind")))  # one row
+    op = F.when(F.col("event_type") == F.col("_kind"), REMOVE).otherwise(ADD)
+    requests = events.join(kind).select(F.col("event_id").alias("seq"), F.col("user_id").alias("key"), op.alias("op"), F.floor("value").cast("long").alias("size"))
+    return work_order(pending(requests))
+
+
 @query("""WITH a AS (SELECT lang || '/' || doc_id AS path, doc_id AS content_id, sha256(coalesce(text, '')) AS d FROM documents),
 b AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'moved/' || doc_id ELSE lang || '/' || doc_id END AS path, sha256(coalesce(text, '')) AS d FROM documents WHERE doc_id % 5 <> 1),
 g AS (SELECT path AS p, content_id, d, row_number() OVER (PARTITION BY d ORDER BY path) AS n FROM a WHERE path NOT IN (SELECT path FROM b)),
