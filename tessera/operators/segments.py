@@ -105,13 +105,13 @@ def grams(vocabulary: DataFrame) -> DataFrame:
 
 
 def variants(vocabulary: DataFrame) -> DataFrame:
-    """(variant, term): what is left of a term's first characters without up to VARIANT_EDITS of them."""
+    """(variant, term): hashes of what is left of a term's first characters without up to VARIANT_EDITS of them."""
     start = F.substring("term", 1, VARIANT_PREFIX)
-    each = F.transform(F.sequence(F.lit(1), F.lit(VARIANT_PREFIX)), lambda i: F.substring(start, i, F.lit(1)))
-    gone = [places for n in range(VARIANT_EDITS + 1) for places in combinations(range(VARIANT_PREFIX), n)]
-    lettered = vocabulary.select("term", each.alias("letters"))
-    left = [F.concat(*[F.col("letters")[i] for i in range(VARIANT_PREFIX) if i not in places]) for places in gone]
-    return lettered.select(F.explode(F.array_distinct(F.array(*left))).alias("variant"), "term")
+    # Two places to leave out; one past the end leaves nothing out.
+    places = combinations([*range(VARIANT_PREFIX), *[VARIANT_PREFIX] * VARIANT_EDITS], VARIANT_EDITS)
+    gone = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in sorted(set(places))])
+    left = F.transform(gone, lambda g: F.concat(F.substring(start, F.lit(1), g["a"]), F.substring(start, g["a"] + 2, g["b"] - g["a"] - 1), F.substring(start, g["b"] + 2, F.lit(VARIANT_PREFIX))))
+    return vocabulary.select(F.explode(F.array_distinct(left)).alias("variant"), "term").select(F.xxhash64("variant").alias("variant"), "term")
 
 
 @dataclass(frozen=True)
@@ -189,7 +189,7 @@ class Segments:
             self._sorted(self.read("postings", name).groupBy("term", "window").agg(impact, F.count(F.lit(1)).alias("documents")), "windows", name, "term", "window")
             self._sorted(self.read("windows", name).groupBy("term").agg(F.sum("documents").alias("documents")), "vocabulary", name, "term")
             self._sorted(grams(self.read("vocabulary", name)), "grams", name, "gram", "term")
-            self._sorted(variants(self.read("vocabulary", name)), "variants", name, "variant", "term")
+            self._sorted(variants(self.read("vocabulary", name)), "variants", name, "variant")
         return Segment(name, n, m)
 
     def put(self, docs: DataFrame, lexer: Lexer) -> Segment:
@@ -261,7 +261,7 @@ class Segments:
         kinds = {
             "documents": "content_id long", "postings": "term string, window long, content_id long, positions array<int>, length int",
             "windows": "term string, window long, impact double, documents long", "vocabulary": "term string, documents long",
-            "grams": "gram string, term string", "variants": "variant string, term string",
+            "grams": "gram string, term string", "variants": "variant long, term string",
         }
         found = {}
         for kind, schema in kinds.items():

@@ -48,4 +48,5 @@ def deletions(word: str, edits: int, prefix: int) -> set[str]:
 
 def near_candidates(variants: DataFrame, node: Fuzzy, prefix: int) -> DataFrame:
     """Every term within the edits shares a variant with the word, as each edit takes no more than a character from either start."""
-    return variants.where(F.col("variant").isin(*sorted(deletions(node.word, node.edits, prefix)))).select("term").distinct()
+    hashes = [F.xxhash64(F.lit(v)) for v in sorted(deletions(node.word, node.edits, prefix))]
+    return variants.where(F.col("variant").isin(*hashes)).select("term").distinct()
