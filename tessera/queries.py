@@ -96,6 +96,12 @@ def index(spark: SparkSession, sf_dir: str) -> IndexEngine:
     return _INDEXES[key]
 
 
+@query(SQL["vocab_df"])
+def index_vocabulary(spark, sf_dir):
+    """The written vocabulary; the first query of a session on an index writes it."""
+    return index(spark, sf_dir).tables().vocabulary
+
+
 # Fixed texts of queries, and what they mean in SQL over a document's terms t.
 _HAS = "list_contains(t, '{}')".format
 _PHRASE = "contains(' ' || array_to_string(t, ' ') || ' ', ' {} ')".format
