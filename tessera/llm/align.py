@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import lean, partitions, table, worker_state, written
+from tessera.llm.common import dropped, lean, partitions, table, worker_state, written
 
 #: Documents are taken apart in blocks of about so many bytes of text, each with its own list of distinct pieces.
 BLOCK_BYTES = 32 << 20
@@ -148,8 +148,17 @@ class Known(dict):
         return np.array([self.add(piece) if at < 0 else at for piece, at in zip(parts, places, strict=True)], np.int32)
 
 
+def packed(places: np.ndarray) -> bytes:
+    """Places by planes of their bytes, the lowest first: frequent pieces have low places, so that upper planes are nearly all zeros."""
+    return places.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(pieces: bytes | None) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pieces or b"", np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def _take_apart(whole: bool, block_bytes: int, arrow: pa.Schema):
-    """Rows of documents (block, doc, doc_id, pieces: places in the block's list) and of that list (block, at, piece, n)."""
+    """Rows of documents (block, doc, doc_id, pieces: packed places in the block's list) and of that list (block, at, piece, n), frequent ones first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size = TaskContext.get().partitionId() << 32, 0
@@ -159,13 +168,15 @@ def _take_apart(whole: bool, block_bytes: int, arrow: pa.Schema):
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal block, size, known
-            ends = np.cumsum([0, *map(len, found)])
-            flat = np.concatenate([np.empty(0, np.int32), *found])
-            places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), type=arrow.field("pieces").type)
+            times = np.bincount(np.concatenate([np.empty(0, np.int32), *found]), minlength=len(known.pieces))
+            order = np.argsort(-times, kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            places = pa.array([packed(rank[f]) for f in found], pa.binary())
             doc_ids = pa.concat_arrays(ids)
             for n, columns in (
                 (len(found), {"doc": pa.array(np.arange(len(found), dtype=np.int32)), "doc_id": doc_ids, "pieces": places}),
-                (len(known.pieces), {"at": pa.array(np.arange(len(known.pieces), dtype=np.int32)), "piece": pa.array(known.pieces, pa.string()), "n": pa.array(np.bincount(flat, minlength=len(known.pieces)).astype(np.int64))}),
+                (len(known.pieces), {"at": pa.array(np.arange(len(known.pieces), dtype=np.int32)), "piece": pa.array(known.pieces, pa.string()).take(pa.array(order)), "n": pa.array(times[order].astype(np.int64))}),
             ):
                 if n:
                     columns["block"] = pa.array(np.full(n, block))
@@ -270,6 +281,16 @@ TOTALS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 SLICE_PIECES = 1 << 18
 
 
+def _lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, pieces, bad) -> (block, at, lost): how often a piece stands in documents that have one of the bad places."""
+    for batch in batches:
+        for block, pieces, bad in zip(*batch.columns, strict=True):
+            places = unpacked(pieces.as_py())
+            if np.isin(places, bad.values.to_numpy()).any():
+                at, lost = np.unique(places, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block.as_py())), pa.array(at.astype(np.int32)), pa.array(lost.astype(np.int64))], ["block", "at", "lost"])
+
+
 def _put_together(keep_groups: bool, arrow: pa.Schema):
     """A block's documents from its list of pieces: counts added up, groups joined."""
 
@@ -287,7 +308,10 @@ def _put_together(keep_groups: bool, arrow: pa.Schema):
         groups = groups.chunk(0) if isinstance(groups, pa.ChunkedArray) else groups
         rows: list[list] = [[] for _ in arrow]
         for doc_id, pieces in zip(range(len(docs)), docs.column("pieces"), strict=True):
-            at = order[pieces.values.to_numpy()] if pieces.is_valid and len(pieces.values) else np.empty(0, np.int64)
+            at = unpacked(pieces.as_py())
+            at = order[at] if not len(at) or at.max() < len(order) else np.array([-1])
+            # A piece without facts doesn't give its bytes back, and spoils the text.
+            at = at[:0] if (at < 0).any() else at
             digest, texts = hashlib.sha256(), []
             for start in range(0, len(at), SLICE_PIECES):
                 some = groups.take(pa.array(at[start : start + SLICE_PIECES]))
@@ -323,7 +347,7 @@ def align(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces, keep_gr
     """
     spark = docs.sparkSession
     whole = not (a.cuts_at_spaces() and b.cuts_at_spaces()) if whole is None else whole
-    apart = StructType([*_schema("block long, doc int").fields, docs.schema["doc_id"], *_schema("pieces array<int>, at int, piece string, n long").fields])
+    apart = StructType([*_schema("block long, doc int").fields, docs.schema["doc_id"], *_schema("pieces binary, at int, piece string, n long").fields])
     parts = written(docs.select("doc_id", "text").mapInArrow(lean(_take_apart(whole, block_bytes, to_arrow_schema(apart))), apart), "pieces", "zstd", few_files=False)
     lists, texts = parts.where("n > 0").select("block", "at", "piece", "n"), parts.where("at is null").select("block", "doc", "doc_id", "pieces")
 
@@ -334,26 +358,30 @@ def align(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces, keep_gr
     fine, spoils = encoded.where("ok"), encoded.where(~F.col("ok")).select("piece")
     if not spoils.isEmpty():
         bad = written(lists.join(spoils, "piece").groupBy("block").agg(F.collect_set("at").alias("bad")), "bad-pieces")
-        spoilt = F.arrays_overlap("pieces", "bad")
-        texts = texts.join(bad, "block", "left").withColumn("pieces", F.when(~F.coalesce(spoilt, F.lit(False)), F.col("pieces"))).drop("bad")
-        lost = parts.where("at is null").select("block", "pieces").join(bad, "block").where(spoilt).select("block", F.explode("pieces").alias("at"))
-        lost = lost.groupBy("block", "at").count().join(lists, ["block", "at"]).groupBy("piece").agg(F.sum("count").alias("lost"))
+        lost = texts.select("block", "pieces").join(bad, "block").mapInArrow(lean(_lost), "block long, at int, lost long")
+        lost = lost.groupBy("block", "at").agg(F.sum("lost").alias("lost")).join(lists.drop("n"), ["block", "at"]).groupBy("piece").agg(F.sum("lost").alias("lost"))
         fine = fine.join(lost, "piece", "left").withColumn("n", F.col("n") - F.coalesce("lost", F.lit(0))).where("n > 0").drop("lost")
 
     sizes = [[len(t) for t in side.token_bytes] for side in (a, b)]
     aligned = written(align_pieces(fine, *sizes), "aligned", "zstd")
+    dropped(encoded)
     pairs = written(pair_counts(aligned), "pairs")
     known = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
     linked = aligned.select("piece", "n_a", "groups", F.explode("links").alias("pair")).join(known, "pair")
     facts = linked.groupBy("piece").agg(F.first("n_a").alias("n_a"), F.first("groups").alias("groups"), F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    facts = lists.select(F.col("block").alias("of"), "at", "piece").join(facts, "piece").drop("piece")
+    facts = written(facts, "facts", "zstd")
+    dropped(aligned)
+    of_blocks = written(lists.select(F.col("block").alias("of"), "at", "piece").join(facts, "piece").drop("piece"), "facts-of-blocks", "zstd")
+    dropped(facts)
 
     out = StructType([docs.schema["doc_id"], *_schema(", ".join(f"{c} long" for c in TOTALS) + ", groups_sha256 string" + ", groups string" * keep_groups).fields])
     arrow = to_arrow_schema(out)
     run = _put_together(keep_groups, arrow)
     # A block is bounded, but for a single longer document; blocks without a fine piece have documents all the same.
-    done = texts.groupBy("block").cogroup(facts.groupBy("of")).applyInArrow(lambda left, right: run(left, right), out)
-    return Alignment(written(done, "alignment"), pairs)
+    done = texts.groupBy("block").cogroup(of_blocks.groupBy("of")).applyInArrow(lambda left, right: run(left, right), out)
+    done = written(done, "alignment")
+    dropped(parts, of_blocks)
+    return Alignment(done, pairs)
 
 
 def _schema(ddl: str) -> StructType:

@@ -129,6 +129,20 @@ def clean(spark: SparkSession) -> None:
         _made.discard(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more. What they were made of goes too: Spark removes a shuffle's
+    files once the driver's garbage is collected, which may not be due for long after the job."""
+    for df in tables:
+        spark = df.sparkSession
+        name = next((part for file in df.inputFiles()[:1] for part in file.split("/") if part.startswith("tessera-")), None)
+        for path in [p for p in _made if name and p.endswith("/" + name)]:
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _made.discard(path)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
