@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -73,10 +75,60 @@ def test_licenses(spark):
     docs = [(1, "Released under the MIT License.\nx"), (2, None), (3, "released, under the mit"), (4, "cc by cc by"), (None, "Apache-License apache license")]
     out = licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"))
     got = {r.doc_id: ([(p.at, p.label) for p in r.places], [b.template for b in r.blocks]) for r in out.collect()}
-    assert got[1] == ([(3, "mit")], ["notice-mit"]) and got[2] == ([], []) and got[3] == ([], ["notice-mit"])
+    assert got[1] == ([(3, "mit")], ["notice-mit"]) and got[2] == ([], []) and got[3] == ([], [])  # three of the four pairs of words
     assert got[4][0] == [(0, "cc-by"), (2, "cc-by")] and got[None][0] == [(0, "apache"), (2, "apache")]
 
 
+def test_license_blocks_are_stretches_of_words_in_order(spark):
+    bsd = licenses.TEMPLATES["notice-bsd"].split()
+    lines = "\n# ".join(" ".join(bsd[i : i + 8]) for i in range(0, len(bsd), 8))
+    docs = [(1, lines), (2, "the software version 2 released by mit under the old license rules the day"), (3, "x " * 50 + lines.upper() + " y" * 50 + " " + lines), (4, " z ".join(bsd))]
+    docs += [(5, "so.\n\n" + licenses.TEMPLATES["text-mit"].replace("the software is", "THE SOFTWARE\nis")), (6, " ".join(sorted(bsd)))]
+    out = licenses.scan_licenses(spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, blocks int"))
+    got = {r.doc_id: [(b.at, b.template, b.containment) for b in r.blocks] for r in out.collect()}
+    assert got[1] == [(0, "notice-bsd", 1.0)] and got[2] == got[4] == got[6] == []
+    assert got[3] == [(50, "notice-bsd", 1.0), (100 + len(bsd), "notice-bsd", 1.0)]
+    assert {t for _, t, _ in got[5]} == {"notice-mit-text", "text-mit"} and (1, "text-mit", 1.0) in got[5]
+    empty = licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string"))
+    assert empty.count() == 0 and "blocks" in empty.columns
+    with pytest.raises(ValueError, match="two words"):
+        licenses.scan_licenses(out, {"one": "word"})
+
+
+def license_brute(text, templates, threshold):
+    found, words = [], re.findall(common.WORD, (text or "").translate(toxicity._FOLD))
+    pairs = list(zip(words, words[1:], strict=False))
+    for name, template in templates.items():
+        own = template.split()
+        known = set(zip(own, own[1:], strict=False))
+        last = None
+        for at, pair in enumerate(pairs):
+            if pair in known:
+                share = len(known.intersection(pairs[at : at + math.ceil((len(own) - 1) / threshold - 1e-9)])) / len(known)
+                if share >= threshold - 1e-9:
+                    if last is not None and at - last < math.ceil((len(own) - 1) / threshold - 1e-9):
+                        found[-1] = (*found[-1][:2], max(found[-1][2], share))
+                    else:
+                        found.append((at, name, share))
+                    last = at
+    return sorted(found)
+
+
+def test_license_blocks_equal_brute_force(spark):
+    rng = random.Random(4)
+    templates = {"ab": "a b", "long": "a b c a b d e f g h b c d a e", "short": "c d e c d", "loop": "a a b a a"}
+    docs = [(i, rng.choice([" ", "\n", ", "]).join(rng.choice("abcdefgh") if rng.random() < 0.4 else rng.choice(list(templates.values())) for _ in range(rng.randint(0, 30)))) for i in range(120)]
+    docs += [(None, docs[0][1]), (200, None), (0, docs[0][1]), (201, " ".join(templates["long"] for _ in range(3000)))]
+    for threshold in (0.6, 0.8, 1.0):
+        out = licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), templates, threshold).collect()
+        assert len(out) == len(docs)
+        texts = {}
+        for doc_id, text in docs:
+            texts[doc_id] = license_brute(text, templates, threshold)
+        for r in out:
+            assert [(b.at, b.template, round(b.containment, 9)) for b in r.blocks] == [(a, t, round(c, 9)) for a, t, c in texts[r.doc_id]], (r.doc_id, threshold)
+
+
 def jaccard_brute(rows, words, percent):
     sets = {}
     for doc, t in rows:
