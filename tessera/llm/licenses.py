@@ -232,9 +232,9 @@ hit AS (SELECT r, s - 1 AS pos, label FROM (SELECT r, w, words, label, unnest(ra
   WHERE w[s : s + len(words) - 1] = words),
 base AS (SELECT r, count(*) AS n, min(pos) AS a, max(pos) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hit GROUP BY r),
 t(name, token, size, need, span) AS (VALUES {templates}),
-h AS (SELECT r, at, t.* FROM (SELECT r, i - 1 AS at, w[i] || ' ' || w[i + 1] AS token FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM w)) JOIN t USING (token)),
-m AS (SELECT r, name, max(k / size) AS c FROM (SELECT a.r, a.name, a.at, any_value(a.size) AS size, any_value(a.need) AS need, count(DISTINCT b.token) AS k
-  FROM h a JOIN h b ON a.r = b.r AND a.name = b.name AND b.at BETWEEN a.at AND a.at + a.span - 1 GROUP BY a.r, a.name, a.at) WHERE k >= need GROUP BY r, name),
+h AS (SELECT r, pos, t.* FROM (SELECT r, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS token FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM w)) JOIN t USING (token)),
+m AS (SELECT r, name, max(k / size) AS c FROM (SELECT a.r, a.name, a.pos, any_value(a.size) AS size, any_value(a.need) AS need, count(DISTINCT b.token) AS k
+  FROM h a JOIN h b ON a.r = b.r AND a.name = b.name AND b.pos BETWEEN a.pos AND a.pos + a.span - 1 GROUP BY a.r, a.name, a.pos) WHERE k >= need GROUP BY r, name),
 own AS (SELECT r, max(c) AS c FROM m GROUP BY r),
 labels AS (SELECT r, string_agg(x, ',' ORDER BY x) AS labels FROM (SELECT r, label AS x FROM hit UNION SELECT r, name FROM m) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, z::BIGINT AS last_word,
