@@ -36,7 +36,7 @@ from tessera.llm.common import dropped, lean, partitions, table, worker_state, w
 BLOCK_BYTES = 32 << 20
 #: A single space between characters that aren't white space, by Python's wide notion of that.
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: Id pairs up to which their counts are broadcast; beyond, they are joined by an exchange.
+#: Id pairs whose counts are broadcast at most, the frequent ones; links of others are joined by an exchange.
 BROADCAST_PAIRS = 1_000_000
 #: Tokens that a batch of encoded pieces has.
 BATCH_TOKENS = 1 << 18
@@ -276,6 +276,21 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     return counts.withColumn("best", best)
 
 
+def with_counts(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """links(piece, pair) with count and best. Frequent pairs, BROADCAST_PAIRS at most, are looked up where their links are; links of the others are exchanged."""
+    if pairs.count() <= BROADCAST_PAIRS:
+        return links.join(F.broadcast(pairs), "pair")
+    level = F.floor(F.log2("count"))
+    # 64 levels at most.
+    sizes = {r["level"]: r["count"] for r in pairs.groupBy(level.alias("level")).count().collect()}
+    cut, room = max(sizes) + 1, BROADCAST_PAIRS
+    while (room := room - sizes.get(cut - 1, 0)) >= 0:
+        cut -= 1
+    known = links.join(F.broadcast(pairs.where(level >= cut)), "pair", "left")
+    rest = known.where("count IS NULL").select("piece", "pair").join(pairs.where(level < cut), "pair")
+    return known.where("count IS NOT NULL").unionByName(rest)
+
+
 TOTALS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 #: Pieces whose results are put together at a time, however long the document.
 SLICE_PIECES = 1 << 18
@@ -366,9 +381,9 @@ def align(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces, keep_gr
     aligned = written(align_pieces(fine, *sizes), "aligned", "zstd")
     dropped(encoded)
     pairs = written(pair_counts(aligned), "pairs")
-    known = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
-    linked = aligned.select("piece", "n_a", "groups", F.explode("links").alias("pair")).join(known, "pair")
-    facts = linked.groupBy("piece").agg(F.first("n_a").alias("n_a"), F.first("groups").alias("groups"), F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    found = with_counts(aligned.select("piece", F.explode("links").alias("pair")), pairs)
+    facts = found.groupBy("piece").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    facts = aligned.select("piece", "n_a", "groups").join(facts, "piece")
     facts = written(facts, "facts", "zstd")
     dropped(aligned)
     of_blocks = written(lists.select(F.col("block").alias("of"), "at", "piece").join(facts, "piece").drop("piece"), "facts-of-blocks", "zstd")

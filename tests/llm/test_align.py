@@ -104,3 +104,14 @@ def test_empty_table(spark):
 
 def test_tokenizers_cut_at_single_spaces():
     assert align.ByteLevel.read(A_PATH).cuts_at_spaces() and align.Pieces.read(B_PATH).cuts_at_spaces()
+
+
+def test_rare_pairs_are_exchanged(spark, monkeypatch):
+    links = [(f"p{i % 7}", i * i % 23) for i in range(200)]
+    counts = Counter(pair for _, pair in links)
+    pairs = spark.createDataFrame([(p, n, p % 2 == 0) for p, n in counts.items()], "pair long, count long, best boolean")
+    expected = sorted((piece, pair, counts[pair], pair % 2 == 0) for piece, pair in links)
+    for most in (0, 3, 6, 100):
+        monkeypatch.setattr(align, "BROADCAST_PAIRS", most)
+        got = align.with_counts(spark.createDataFrame(links, "piece string, pair long"), pairs).select("piece", "pair", "count", "best").collect()
+        assert sorted(map(tuple, got)) == expected
