@@ -120,22 +120,31 @@ class Pieces(Shipped):
 
 
 class Known(dict):
-    """The places of a block's pieces in its list; -1 for what a split at spaces gives next to other white space."""
+    """The places of a block's pieces in its list; -1 for what a split at spaces gives next to other white space.
+
+    Pieces that begin or end with white space have theirs in edged: a text is cut there at no space, whatever texts came before.
+    """
 
     def __init__(self):
         super().__init__()
         self.pieces: list[str] = []
+        self.edged: dict[str, int] = {}
 
-    def add(self, piece: str) -> int:
-        self[piece] = place = len(self.pieces)
-        self.pieces.append(piece)
+    def __missing__(self, piece: str) -> int:
+        inner = piece and not piece[0].isspace() and not piece[-1].isspace()
+        self[piece] = place = len(self.pieces) if inner else -1
+        if inner:
+            self.pieces.append(piece)
         return place
 
-    def __missing__(self, piece: str) -> int:
-        if piece and not piece[0].isspace() and not piece[-1].isspace():
-            return self.add(piece)
-        self[piece] = -1
-        return -1
+    def place(self, piece: str) -> int:
+        """That of a piece of any kind."""
+        at = self[piece]
+        if at < 0:
+            at = self.edged.setdefault(piece, len(self.pieces))
+            if at == len(self.pieces):
+                self.pieces.append(piece)
+        return at
 
     def places(self, text: str, whole: bool) -> np.ndarray:
         """Those of the text's pieces."""
@@ -143,9 +152,7 @@ class Known(dict):
             found = np.array(list(map(self.__getitem__, text.split(" "))), np.int32)
             if found.min() >= 0:
                 return found
-        parts = [text] if whole else SINGLE_SPACE.split(text)
-        places = map(self.get, parts, [-1] * len(parts))
-        return np.array([self.add(piece) if at < 0 else at for piece, at in zip(parts, places, strict=True)], np.int32)
+        return np.array([self.place(piece) for piece in ([text] if whole else SINGLE_SPACE.split(text))], np.int32)
 
 
 def packed(places: np.ndarray) -> bytes:

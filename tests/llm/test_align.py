@@ -97,6 +97,16 @@ def test_pairs_joined_by_exchange(spark, want, monkeypatch):
     assert collected(out.documents) == want and out.pairs.where("count < 1").isEmpty()
 
 
+def test_pieces_with_white_space_at_their_ends_cut_no_later_text(spark):
+    """Both tokens of "\\xa0 \\xa0" are one to the first tokenizer, also after a text that is the second half alone."""
+    texts = ["\xa0", "\xa0 \xa0", "a\xa0", "\xa0b", "a\xa0 \xa0b", "foo\n", "\nbar", "foo\n \nbar", "\xa0 \xa0"]
+    known = align.Known()
+    assert [len(known.places(t, False)) for t in texts] == [1] * len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).coalesce(1)
+    out = align.align(docs, align.ByteLevel.read(A_PATH), align.Pieces.read(B_PATH)).documents
+    assert collected(out) == plain(list(enumerate(texts)))
+
+
 def test_empty_table(spark):
     out = align.align(spark.createDataFrame([], SCHEMA), align.ByteLevel.read(A_PATH), align.Pieces.read(B_PATH))
     assert out.documents.count() == 0 and out.pairs.count() == 0
