@@ -9,9 +9,10 @@ from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
+from tessera.functions.lexer import CJ_CLASS, Lexer
 from tessera.operators.index import Conflict, IndexEngine, Pointer, ScanEngine
-from tessera.operators.segments import FAN, Segment, parse_segments, to_merge, variants
-from tessera.plans import automata, ranked
+from tessera.operators.segments import FAN, Segment, document_terms, parse_segments, positions, to_merge, variants
+from tessera.plans import automata, indexed, ranked
 from tessera.plans.ast import Bool, Boost, Fuzzy, MatchAll, Phrase, Prefix, Regex, Term, Wildcard
 from tessera.plans.indexed import VARIANT_PREFIX
 from tessera.plans.parser import Parser
@@ -251,6 +252,38 @@ def test_bounds_leave_windows_unread(spark, tmp_path, monkeypatch):
     assert "window" in plan and "PushedFilters" in plan
 
 
+def test_texts_are_exchanged_and_postings_are_not(spark, tmp_path, monkeypatch):
+    """Every (term, window) has its rows in one file, so that grouping by document or window is done where they are read."""
+    rng = random.Random(11)
+    docs = spark.createDataFrame([(i, words_of(rng, 60)) for i in range(400)], "content_id long, content string").repartition(5)
+    assert "hashpartitioning" not in document_terms(docs, Lexer())._jdf.queryExecution().executedPlan().toString()
+    engine = IndexEngine(spark, str(tmp_path / "ix"), window=16)
+    engine.update(docs)
+    files = engine.tables().postings.select("term", "window", F.input_file_name().alias("f")).distinct()
+    assert files.groupBy("term", "window").count().where("count > 1").isEmpty()
+    monkeypatch.setattr(indexed, "NAMED_TERMS", 0)
+    found = engine.search("a*", None).rows
+    assert "LeftSemi" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == ScanEngine(docs).search("a*", None).rows.count()
+
+
+def test_positions_of_repeated_and_null_ids(spark):
+    rows = [(1, "b a b"), (1, "a c"), (None, "x y"), (None, "x"), (2, None), (3, "ΣΑΣ Ab"), (4, "")]
+    got = {(r.content_id, r.term): r.positions for r in positions(spark.createDataFrame(rows, "content_id long, content string")).collect()}
+    assert got == {(1, "b"): [0, 2], (1, "a"): [0, 1], (1, "c"): [1], (None, "x"): [0, 0], (None, "y"): [1], (3, "σασ"): [0], (3, "ab"): [1]}
+
+
+def test_cheaper_pattern_finds_the_same_words(spark):
+    """Against the plain intersections of classes, for every character of the BMP and some beyond, and with extra ones."""
+    codes = [c for c in range(0x1, 0x10000) if not 0xD800 <= c < 0xE000] + [0x10400, 0x1D7D8, 0x20000, 0x1F600]
+    texts = ["".join(map(chr, codes[i : i + 300])) for i in range(0, len(codes), 300)] + ["".join(f"a{chr(c)}b" for c in codes[i : i + 300]) for i in range(0, len(codes), 300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for lexer in (Lexer(preserve_case=True), Lexer("@#$%'é漢^]-", True, 3)):
+        word = r"\p{L}\p{Nd}_" + "".join(f"\\x{{{ord(c):X}}}" for c in lexer.extra)
+        plain = f"[{word}&&[{CJ_CLASS}]]|[{word}&&[\\x{{0}}-\\x{{FFFF}}]&&[^{CJ_CLASS}]]{{1,{lexer.max_length}}}"
+        assert df.where(lexer.terms(F.col("t")) != F.regexp_extract_all("t", F.lit(plain), F.lit(0))).isEmpty()
+
+
 def test_limits_are_the_smallest_ids(spark, tmp_path):
     engine = IndexEngine(spark, str(tmp_path / "ix"))
     engine.update(spark.createDataFrame([(i, "word") for i in (5, 3, 9, 1)], "content_id long, content string"))
