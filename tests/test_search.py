@@ -1,5 +1,8 @@
+import random
+import re
 import pytest
 from pyspark.sql import functions as F
+from tessera.functions import tolerant
 from tessera import queries
 from tessera.functions.lexer import Lexer
 from tessera.operators.index import IndexEngine, ScanEngine
@@ -144,3 +147,14 @@ def test_bad_patterns_are_errors_of_the_result(spark):
         assert Parser()(text).errors, text
     for text in ('/a(b|c)"."[0-9]+/', "/a~b/", "/a&b/", "/<1-5>/"):
         assert not Parser()(text).errors, text
+
+
+def test_runs_of_plain_characters_are_one_unit(monkeypatch):
+    """And the tokens are those of a scan character by character."""
+    rng = random.Random(8)
+    signs = [*"&|+-!(){}[]^\"~*?:\\/ \n漢aé", "AND", "OR", "NOT", "TO", "TO ", "TOM", "abc", "field:", "\\/"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    assert len(tolerant._Scan("word and word").units) == 5
+    runs = [(tolerant.tokenize(t), tolerant.edited_token(t, len(t) // 2)) for t in texts]
+    monkeypatch.setattr(tolerant, "_UNIT", re.compile(r"(?P<space>\s+)|\\[" + re.escape(tolerant.SPECIAL) + r"]|.", re.S))
+    assert runs == [(tolerant.tokenize(t), tolerant.edited_token(t, len(t) // 2)) for t in texts]
