@@ -93,3 +93,10 @@ def test_offsets_and_snippets(spark):
     assert snippets(docs, ["the"]).where("content_id = 8").first().end == 3 and snippets(docs.limit(0), ["the"]).count() == 0
     with pytest.raises(ValueError):
         snippets(docs, [])
+
+
+def test_offsets_are_summed_up_where_the_text_is(spark):
+    docs = spark.createDataFrame([(1, "a bb  ccc"), (1, None), (None, "x"), (2, ", a")], "content_id long, content string")
+    found = offsets(docs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, 0, "a", 0, 1), (1, 1, "bb", 2, 4), (1, 2, "ccc", 6, 9), (None, 0, "x", 0, 1), (2, 0, "a", 2, 3)], key=str)
