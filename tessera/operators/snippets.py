@@ -18,7 +18,8 @@ def offsets(docs: DataFrame, lexer: Lexer = Lexer(), text: str = "content") -> D
 
     A text is words and the gaps around them, one more than the words: a word starts after all gaps and words before.
     """
-    return _placed(docs, lexer, text).select("content_id", F.inline("words")).select("content_id", "pos", "term", "start", "end")
+    term = F.col("word") if lexer.preserve_case else fold(F.col("word"))
+    return _placed(docs, lexer, text).select("content_id", F.inline("words")).select("content_id", "pos", term.alias("term"), "start", "end")
 
 
 @F.arrow_udf(ArrayType(IntegerType()))
@@ -31,7 +32,7 @@ def _running(sizes: pa.Array) -> pa.Array:
 
 
 def _placed(docs: DataFrame, lexer: Lexer, text: str, among: list[str] | None = None) -> DataFrame:
-    """content_id, words array<struct<pos, term, start, end>> of each text with words, summed up where it stands; of those among alone, if given."""
+    """content_id, words array<struct<pos, word, start, end>> of each text with words, summed up where it stands; of those among alone, if given."""
     if lexer.custom:
         raise ValueError("a custom lexer doesn't tell where its terms stand")
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -48,11 +49,10 @@ def _placed(docs: DataFrame, lexer: Lexer, text: str, among: list[str] | None =
 
     def word(w: Column, i: Column) -> Column:
         end = F.get("ends", i)
-        term = w if lexer.preserve_case else fold(w)
-        return F.struct(i.alias("pos"), term.alias("term"), (end - F.char_length(w)).alias("start"), end.alias("end"))
+        return F.struct(i.alias("pos"), w.alias("word"), (end - F.char_length(w)).alias("start"), end.alias("end"))
 
     words = F.transform("found", word)
-    return placed.select("content_id", (words if among is None else F.filter(words, lambda w: w["term"].isin(*among))).alias("words"))
+    return placed.select("content_id", (words if among is None else F.filter(words, lambda w: (w["word"] if lexer.preserve_case else fold(w["word"])).isin(*among))).alias("words"))
 
 
 def snippets(docs: DataFrame, words: list[str], lexer: Lexer = Lexer()) -> DataFrame:
@@ -64,7 +64,8 @@ def snippets(docs: DataFrame, words: list[str], lexer: Lexer = Lexer()) -> DataF
     words = list(dict.fromkeys(words))
     if not words:
         raise ValueError("no words")
-    rows = _placed(docs, lexer, "content", words).select("content_id", F.inline("words"))
+    term = F.col("word") if lexer.preserve_case else fold(F.col("word"))
+    rows = _placed(docs, lexer, "content", words).select("content_id", F.inline("words")).withColumn("term", term)
     so_far = Window.partitionBy("content_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     last = [F.last(F.when(F.col("term") == w, F.col("start")), ignorenulls=True).over(so_far) for w in words]
     first = last[0] if len(last) == 1 else F.when(reduce(lambda a, b: a & b, [c.isNotNull() for c in last]), F.least(*last))
