@@ -22,6 +22,7 @@ from functools import cached_property
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tokenizers
 from pyspark import TaskContext
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import dropped, lean, partitions, table, worker_state, written
+from tessera.llm.common import compact, dropped, lean, partitions, release, small_batches, spent_shuffles_removed, table, worker_state, written
 
 #: Documents are taken apart in blocks of about so many bytes of text, each with its own list of distinct pieces.
 BLOCK_BYTES = 32 << 20
@@ -156,12 +157,19 @@ class Known(dict):
 
 
 def packed(places: np.ndarray) -> bytes:
-    """Places by planes of their bytes, the lowest first: frequent pieces have low places, so that upper planes are nearly all zeros."""
-    return places.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Places by planes of their bytes, the lowest first: frequent pieces have low places, so that upper planes are nearly all zeros.
+
+    Compressed here, with their number in 4 bytes before them: what exchanges compress by has no codes for frequent bytes.
+    """
+    planes = places.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(places).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
 
 
 def unpacked(pieces: bytes | None) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(pieces or b"", np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    if not pieces:
+        return np.empty(0, np.int64)
+    planes = pa.decompress(pieces[4:], 4 * int.from_bytes(pieces[:4], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def _take_apart(whole: bool, block_bytes: int, arrow: pa.Schema):
@@ -219,7 +227,7 @@ def _encode(a: ByteLevel | Pieces, b: ByteLevel | Pieces, arrow: pa.Schema):
         side_a, side_b = worker_state().setdefault(("align", hash(a), hash(b)), (a, b))
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            lengths = np.asarray(pa.compute.binary_length(batch.column("piece")), np.int64)
+            lengths = np.asarray(pc.binary_length(batch.column("piece")), np.int64)
             cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(lengths) // BATCH_TOKENS)) + 1).tolist(), len(batch)]
             for start, end in zip(cuts, cuts[1:], strict=False):
                 if start == end:
@@ -317,16 +325,23 @@ def _put_together(keep_groups: bool, arrow: pa.Schema):
     """A block's documents from its list of pieces: counts added up, groups joined."""
 
     def run(docs: pa.Table, facts: pa.Table) -> pa.Table:
+        worker_state().clear()
+        try:
+            return of_block(docs, facts)
+        finally:
+            release()
+
+    def of_block(docs: pa.Table, facts: pa.Table) -> pa.Table:
         places = np.asarray(facts.column("at"), np.int64)
         order = np.full(int(places.max()) + 1 if len(places) else 0, -1, np.int64)
         order[places] = np.arange(len(places))
         of = {c: np.asarray(facts.column(c), np.int64) for c in ("n_a", "n_best", "count_sum")}
-        marks = {c: np.asarray(pa.compute.count_substring(facts.column("groups"), c), np.int64) for c in ";,"}
+        marks = {c: np.asarray(pc.count_substring(facts.column("groups"), c), np.int64) for c in ";,"}
         of["n_groups"] = marks[";"] + 1
         of["n_b"] = marks[","] + 2 * of["n_groups"] - of["n_a"]
         of["n_links"] = of["n_a"] + of["n_b"] - of["n_groups"]  # a link for each end of either side
         sums = [of[c] for c in TOTALS]
-        groups = pa.compute.binary_join_element_wise(facts.column("groups"), ";", "").combine_chunks()
+        groups = pc.binary_join_element_wise(facts.column("groups"), ";", "").combine_chunks()
         groups = groups.chunk(0) if isinstance(groups, pa.ChunkedArray) else groups
         rows: list[list] = [[] for _ in arrow]
         for doc_id, pieces in zip(range(len(docs)), docs.column("pieces"), strict=True):
@@ -367,7 +382,11 @@ def align(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces, keep_gr
     anyway if a tokenizer doesn't cut at every single space. A text without such is one piece, however long: its tokens
     must fit a window's buffer, which spills, and the rows of its group an array.
     """
-    spark = docs.sparkSession
+    with spent_shuffles_removed(docs.sparkSession):
+        return _align(docs, a, b, keep_groups, block_bytes, whole)
+
+
+def _align(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces, keep_groups: bool, block_bytes: int, whole: bool | None) -> Alignment:
     whole = not (a.cuts_at_spaces() and b.cuts_at_spaces()) if whole is None else whole
     apart = StructType([*_schema("block long, doc int").fields, docs.schema["doc_id"], *_schema("pieces binary, at int, piece string, n long").fields])
     parts = written(docs.select("doc_id", "text").mapInArrow(lean(_take_apart(whole, block_bytes, to_arrow_schema(apart))), apart), "pieces", "zstd", few_files=False)
@@ -375,7 +394,8 @@ def align(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces, keep_gr
 
     schema = _schema("piece_id long, piece string, n long, ok boolean, n_a int, ids array<int>")
     distinct = lists.groupBy("piece").agg(F.sum("n").alias("n"))
-    encoded = written(distinct.mapInArrow(lean(_encode(a, b, to_arrow_schema(schema)), keep=True), schema), "encoded", "zstd")
+    # Few partitions before pieces are numbered, not after it: partitions that a task reads together have one partition id.
+    encoded = written(compact(distinct).mapInArrow(lean(_encode(a, b, to_arrow_schema(schema)), keep=True), schema), "encoded", "zstd", few_files=False)
     # Documents with a piece that doesn't give its bytes back have no tokens, and count nowhere.
     fine, spoils = encoded.where("ok"), encoded.where(~F.col("ok")).select("piece")
     if not spoils.isEmpty():
@@ -388,9 +408,10 @@ def align(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces, keep_gr
     aligned = written(align_pieces(fine, *sizes), "aligned", "zstd")
     dropped(encoded)
     pairs = written(pair_counts(aligned), "pairs")
-    found = with_counts(aligned.select("piece", F.explode("links").alias("pair")), pairs)
-    facts = found.groupBy("piece").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    facts = aligned.select("piece", "n_a", "groups").join(facts, "piece")
+    # Numbers of pieces stand for them, which are shorter.
+    found = with_counts(aligned.select(F.col("piece_id").alias("piece"), F.explode("links").alias("pair")), pairs)
+    counts = found.groupBy(F.col("piece").alias("piece_id")).agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    facts = aligned.select("piece_id", "piece", "n_a", "groups").join(counts, "piece_id").drop("piece_id")
     facts = written(facts, "facts", "zstd")
     dropped(aligned)
     of_blocks = written(lists.select(F.col("block").alias("of"), "at", "piece").join(facts, "piece").drop("piece"), "facts-of-blocks", "zstd")
@@ -401,7 +422,8 @@ def align(docs: DataFrame, a: ByteLevel | Pieces, b: ByteLevel | Pieces, keep_gr
     run = _put_together(keep_groups, arrow)
     # A block is bounded, but for a single longer document; blocks without a fine piece have documents all the same.
     done = texts.groupBy("block").cogroup(of_blocks.groupBy("of")).applyInArrow(lambda left, right: run(left, right), out)
-    done = written(done, "alignment")
+    with small_batches(docs.sparkSession):
+        done = written(done, "alignment")
     dropped(parts, of_blocks)
     return Alignment(done, pairs)
 

@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -125,3 +127,55 @@ def test_rare_pairs_are_exchanged(spark, monkeypatch):
         monkeypatch.setattr(align, "BROADCAST_PAIRS", most)
         got = align.with_counts(spark.createDataFrame(links, "piece string, pair long"), pairs).select("piece", "pair", "count", "best").collect()
         assert sorted(map(tuple, got)) == expected
+
+
+def test_exchanges_leave_no_files_behind(spark, monkeypatch):
+    """Once a table is written, the files of the exchanges before it are gone, without the driver's garbage being collected."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = manager.getAllFiles()
+        names = (found.apply(i).getName() for i in range(found.size()))
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before, left, write = files(), {}, align.written
+
+    def written(df, name, *more, **named):
+        out, until = write(df, name, *more, **named), time.time() + 5
+        while (kept := files() - before) and time.time() < until:
+            time.sleep(0.1)
+        left[name] = len(kept)
+        return out
+
+    monkeypatch.setattr(align, "written", written)
+    monkeypatch.setattr(align, "dropped", lambda *tables: None)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key)
+    align.align(spark.createDataFrame(rows(), SCHEMA).repartition(3), align.ByteLevel.read(A_PATH), align.Pieces.read(B_PATH))
+    assert len(left) > 5 and not any(v for k, v in left.items() if k != "pieces"), left
+    assert spark.conf.get(key) == setting
+
+
+def test_packed_places_are_compressed():
+    """Frequent places take less than their lowest byte, to which no exchange brings them; all come back."""
+    rng = random.Random(3)
+    for n in (0, 1, 5, 4000):
+        places = np.array([int(300 ** rng.random()) - 1 for _ in range(n)], np.int32)
+        packed = align.packed(places)
+        assert align.unpacked(packed).tolist() == places.tolist() and len(packed) < max(32, n)
+    assert align.unpacked(align.packed(np.array([1 << 30, 0, 70_000], np.int32))).tolist() == [1 << 30, 0, 70_000]
+    assert len(align.unpacked(None)) == 0
+
+
+def test_pieces_have_numbers_of_their_own_over_many_partitions(spark, want):
+    """More partitions of pieces than are written as files: those that a task reads together don't share numbers."""
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        out = align.align(spark.createDataFrame(rows(), SCHEMA).repartition(3), align.ByteLevel.read(A_PATH), align.Pieces.read(B_PATH))
+        assert collected(out.documents) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
